@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, media, mixing, neardup, pieces, quality, sharding, substrings, urlfilter
+from . import htmltext, media, mixing, neardup, pieces, pii, quality, sharding, substrings, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,16 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.cluster(table(spark, sf_dir, "documents"), size=3, percent=85)
 
 
+#: Pseudonyms here can be recomputed by whoever reads this; real keys come from the caller.
+PII_KEY = "public demonstration key"
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pii.protect(table(spark, sf_dir, "documents"), PII_KEY)
+    kinds = F.array_join(F.array_sort(F.array_distinct("pii_found")), ",")
+    return done.select("doc_id", "text", F.coalesce(F.size("pii_found"), F.lit(0)).cast("long").alias("n_found"), F.coalesce(kinds, F.lit("")).alias("kinds"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_clean_words")
@@ -94,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media": op2_media,
     "op3_mixing": op3_mixing,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_pii": op5_pii,
     "op6_quality": op6_quality,
     "op7_pieces": op7_pieces,
     "op8_url_filter": op8_url_filter,
