@@ -9,10 +9,10 @@ Which values of a sketch generate pairs: similar texts share many retained value
 among their rarest few (how many follows from the similarity and, for texts with more shingles than a
 sketch holds, from a binomial tail below ``MISS``).  Lists of at most ``SHORT`` texts are paired in full.
 Longer lists are never paired in full, and are not cut either: each has a leader, the text with the most
-long-list values.  Every text that has one of its rarest values there is compared with the leader, and
-enters with the shingles that the leader lacks put first, then in hash order.  In that order two similar
-texts share a shingle within a short prefix, at places that bound how similar they can be; joined on
-shingles, sizes and places, they are compared unless links found before connect them already.
+long-list values, with which every text is compared that has one of its rarest values there.  All these
+texts then enter with their whole shingle sets, rarest shingles first.  In that order two similar texts
+share a shingle within a short prefix, at places that bound how similar they can be; joined on shingles,
+sizes and places, they are compared unless links found before connect them already.
 """
 
 from __future__ import annotations
@@ -34,6 +34,10 @@ from .components import components, matching
 SKETCH = 64
 SHORT = 32
 MISS = 1e-9
+#: Shingles that one task counts at a time.
+BUCKET = 1_000_000
+#: Classes of hashes by which texts are told apart before they are compared.
+PARITY = 512
 
 
 class _Hashes(dict):
@@ -112,34 +116,71 @@ def _texts(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
 
 
 def _compare(pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Exact comparison of (a, b, of_leader, text_a, text_b): a, b, linked, and for pairs with a leader ``a``
-    the number of shingles of ``b`` and its prefix in the leader's order."""
+    """(a, b) of the pairs (a, b, text_a, text_b) whose whole shingle sets are similar enough."""
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        linked, sizes, prefixes, held = [], [], [], (None, set())
-        for leads, one, two in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+        linked, held = [], (None, set())
+        for one, two in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             if held[0] != one:
                 held = (one, shingle_set(words_of(one), size))
-            left, words = held[1], words_of(two)
-            right = shingle_set(words, size)
+            left, right = held[1], shingle_set(words_of(two), size)
             shared = len(left & right)
             linked.append(100 * shared >= percent * (len(left) + len(right) - shared))
-            sizes.append(len(right))
-            prefix = []
-            if leads:
-                keep = len(right) - ceil(Fraction(percent * len(right), 100)) + 1
-                lead = dict.fromkeys(shingle_hashes(words_of(one), size).tolist())
-                own = np.unique(shingle_hashes(words, size)).tolist()
-                prefix = sorted(own, key=lambda v: (v in lead, v))[:keep]
-            prefixes.append(np.array(prefix, np.uint64).view(np.int64))
-        return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(linked), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["a", "b", "linked", "n", "prefix"])
+        return batch.filter(pa.array(linked, pa.bool_())).select(["a", "b"])
 
-    return arrow_map(pairs, each, "a long, b long, linked boolean, n long, prefix array<long>")
+    return arrow_map(pairs, each, "a long, b long")
+
+
+def _rare_first(texts: DataFrame, size: int, percent: int, buckets: int) -> DataFrame:
+    """(nid, n, parity, i, value): for each of the ``texts`` the prefix of its shingles, rarest first, that it can
+    share with any similar text; n is the number of its shingles, i a shingle's place, and those alone are left
+    out.  ``parity`` has a bit for each of PARITY classes of hashes: whether the text's number of shingles in it
+    is odd.  Two texts differ in as many shingles as bits at least.
+
+    Shingles are counted in ``buckets`` of their hashes; a text sends each bucket one list.
+    """
+
+    def dealt(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out: list[list] = [[], [], []]
+        for nid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            values = np.unique(shingle_hashes(words_of(text), size))
+            at = (values % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(at, kind="stable")
+            found, starts = np.unique(at[order], return_index=True)
+            for bucket, part in zip(found.tolist(), np.split(values[order], starts[1:]), strict=True):
+                for column, x in zip(out, (bucket, nid, part.view(np.int64)), strict=True):
+                    column.append(x)
+        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int64()))], ["bucket", "nid", "values"])
+
+    def counted(rows: pa.Table) -> pa.Table:
+        lists = rows.column("values").combine_chunks()
+        _, place, times = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        dfs = pa.ListArray.from_arrays(lists.offsets, pa.array(times[place].astype(np.int32)))
+        return pa.table({"nid": rows.column("nid"), "values": lists, "dfs": dfs})
+
+    def prefixes(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sizes, parities, places, kept = [], [], [], []
+        for parts in batch.column(1).to_pylist():
+            values = np.concatenate([p["values"] for p in parts])
+            dfs = np.concatenate([p["dfs"] for p in parts])
+            n = len(values)
+            order = np.lexsort((values, dfs))[: n - ceil(Fraction(percent * n, 100)) + 1]
+            met = np.flatnonzero(dfs[order] > 1)
+            sizes.append(n)
+            parities.append(np.packbits((np.bincount(values.view(np.uint64) % np.uint64(PARITY), minlength=PARITY) & 1).astype(np.uint8)).view(np.int64))
+            places.append(met)
+            kept.append(values[order[met]])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(parities, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int64())), pa.array(kept, pa.list_(pa.int64()))], ["nid", "n", "parity", "i", "value"])
+
+    lists = arrow_map(texts.select("nid", "text"), dealt, "bucket long, nid long, values array<long>")
+    dfs = lists.groupBy("bucket").applyInArrow(counted, "nid long, values array<long>, dfs array<int>")
+    whole = dfs.groupBy("nid").agg(F.collect_list(F.struct("values", "dfs")).alias("parts"))
+    return arrow_map(whole, prefixes, "nid long, n long, parity array<long>, i array<long>, value array<long>").select("nid", "n", "parity", F.inline(F.arrays_zip("i", "value")))
 
 
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     one, two = (texts.select(F.col("nid").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-    return pairs.join(two, "b").join(one, "a").select("a", "b", "of_leader", "text_a", "text_b")
+    return pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b")
 
 
 def links(nodes: DataFrame, docs: DataFrame, size: int, percent: int, text_col: str) -> DataFrame:
@@ -172,30 +213,33 @@ def links(nodes: DataFrame, docs: DataFrame, size: int, percent: int, text_col:
     whole = F.greatest("n_a", "n_b") <= k  # then sketches are the sets
     common = F.size(F.array_intersect("s_a", "s_b"))
     likely = F.when(whole, common * 100 >= (F.col("n_a") + F.col("n_b") - common) * percent).otherwise(both >= F.least(F.size(union), F.lit(shared)))
-    pairs = pairs.join(sketch_a, "a").join(sketch_b, "b").where(likely).select("a", "b", F.lit(False).alias("of_leader"))
+    pairs = pairs.join(sketch_a, "a").join(sketch_b, "b").where(likely).select("a", "b")
 
     long_lists = ranked.where(F.col("df") > SHORT)
     leaders = long_lists.groupBy("value").agg(F.max(F.struct("hot", -F.col("nid"))).alias("lead")).select("value", (-F.col("lead.col2")).alias("a"))
-    families = long_lists.where("rare").join(leaders, "value").select("a", F.col("nid").alias("b"), F.lit(True).alias("of_leader")).distinct()
-    pairs = cut(pairs.unionByName(families), "pairs")
+    families = long_lists.where("rare").join(leaders, "value").select("a", F.col("nid").alias("b"))
+    pairs = cut(pairs.unionByName(families).distinct(), "pairs")
+    members = cut(families.select(F.col("b").alias("nid")).distinct(), "members")
     wanted = pairs.select(F.col("a").alias("nid")).union(pairs.select("b")).distinct()
     texts = cut(_texts(docs, nodes.select("nid", "text_hash").join(wanted, "nid"), text_col), "texts")
-    compared = cut(_compare(_with_texts(pairs, texts), size, percent), "compared")
-    found = compared.where("linked and a != b").select("a", "b")
+    found = cut(_compare(_with_texts(pairs.where("a != b"), texts), size, percent), "found")
 
     roots = components(found)
-    entries = compared.where(F.size("prefix") > 0).select(F.col("a").alias("lead"), F.col("b").alias("nid"), "n", F.posexplode("prefix").alias("i", "value"))
+    held_all = members.join(nodes, "nid").agg(F.sum("n_shingles")).first()[0] or 0
+    entries = _rare_first(texts.join(members, "nid", "left_semi"), size, percent, max(16, held_all // BUCKET))
     entries = cut(entries.join(roots.select(F.col("node").alias("nid"), "root"), "nid", "left").withColumn("root", F.coalesce("root", "nid")), "entries")
     # a list whose texts are all connected, or whose sizes no entry can reach, need not be paired
-    spread = entries.groupBy("lead", "value").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("n").alias("least")).where("r0 != r1").drop("r0", "r1")
-    open_ = entries.join(spread, ["lead", "value"])
+    spread = entries.groupBy("value").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("n").alias("least")).where("r0 != r1").drop("r0", "r1")
+    open_ = entries.join(spread, "value")
     reach = (F.col("n") - F.col("i")) * (100 + percent) - F.col("n") * percent  # at least percent times the other's size
     open_ = open_.where(reach >= F.col("least") * percent)
     small = open_.where(reach >= F.col("n") * percent)  # what the smaller of two needs
-    b, a = (x.select("lead", "value", F.col("nid").alias(y), F.col("n").alias(f"n_{y}"), reach.alias(f"reach_{y}"), F.col("root").alias(f"root_{y}")) for x, y in ((small, "b"), (open_, "a")))
+    b, a = (x.select("value", F.col("nid").alias(y), F.col("n").alias(f"n_{y}"), F.col("parity").alias(f"parity_{y}"), reach.alias(f"reach_{y}"), F.col("root").alias(f"root_{y}")) for x, y in ((small, "b"), (open_, "a")))
     fits = (F.struct("n_b", "b") < F.struct("n_a", "a")) & (F.col("root_a") != F.col("root_b")) & (F.col("n_b") * 100 >= F.col("n_a") * percent) & (F.col("reach_a") >= F.col("n_b") * percent) & (F.col("reach_b") >= F.col("n_a") * percent)
-    rest = a.join(b, ["lead", "value"]).where(fits).select("a", "b", F.lit(False).alias("of_leader")).distinct()
-    more = _compare(_with_texts(rest, texts), size, percent).where("linked").select("a", "b")
+    apart = F.aggregate(F.zip_with("parity_a", "parity_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    near = apart * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)
+    rest = a.join(b, "value").where(fits & near).select("a", "b").distinct()
+    more = _compare(_with_texts(rest, texts), size, percent)
     return found.unionByName(more)
 
 
