@@ -76,8 +76,24 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def arrow_map(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = 2000) -> DataFrame:
+#: Rows of one Arrow batch at most, in the JVM and in a worker: texts may be long.
+BATCH_ROWS = 1000
+
+
+def settle(spark: SparkSession) -> None:
+    """Session settings that the operators rely on.
+
+    Arrow batches stay small.  A union does not claim its children's partitioning: under adaptive
+    execution the children's partitions may be coalesced unlike, and then rows are paired wrongly.
+    """
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
+def arrow_map(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
     """``mapInArrow`` in slices of at most ``rows`` rows, so that long texts do not add up in a worker."""
+    settle(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

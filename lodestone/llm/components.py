@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Keys of eight bytes that are broadcast at most: 16 MB.
-BROADCAST_ROWS = 2_000_000
+#: Keys of eight bytes that are broadcast at most: 4 MB, some 20 MB as a hash table.
+BROADCAST_ROWS = 500_000
 
 
 def matching(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:

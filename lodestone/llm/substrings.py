@@ -36,14 +36,16 @@ from .components import matching
 
 WINDOW = 20
 GRAM = 6
-GROUP = 20_000
+GROUP = 4_000
+#: Words of one text whose stretches share a salt.
+REACH = 4_096
 #: Word counts of the prefixes by which a group's suffixes are split.
 DEPTHS = (10, 15, 20)
 
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
+        if len(self) > 50_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -79,11 +81,11 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def _signatures(rows: DataFrame) -> DataFrame:
-    """row_key, doc_id, text_hash, node (of the words), n_words, anchors (distinct), twice (those that occur again)."""
+    """row_key, doc_id, text_hash, node (of the words), n_words, anchors (distinct), times (places of each)."""
     kind = dict(rows.dtypes)["doc_id"]
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        nodes, counts, once, twice = [], [], [], []
+        nodes, counts, once, often = [], [], [], []
         for text in batch.column(3).to_pylist():
             words = words_of(text)
             grams, at = anchors_of(words)
@@ -91,28 +93,29 @@ def _signatures(rows: DataFrame) -> DataFrame:
             nodes.append(blake2b(b" ".join(words), digest_size=16).digest())
             counts.append(len(words))
             once.append(values)
-            twice.append(values[times > 1])
-        return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(nodes, pa.binary()), pa.array(counts, pa.int64()), _lists(once), _lists(twice)], ["row_key", "doc_id", "text_hash", "node", "n_words", "anchors", "twice"])
+            often.append(times)
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(nodes, pa.binary()), pa.array(counts, pa.int64()), _lists(once), _lists(often)], ["row_key", "doc_id", "text_hash", "node", "n_words", "anchors", "times"])
 
-    return arrow_map(rows, each, f"row_key long, doc_id {kind}, text_hash long, node binary, n_words long, anchors array<long>, twice array<long>")
+    return arrow_map(rows, each, f"row_key long, doc_id {kind}, text_hash long, node binary, n_words long, anchors array<long>, times array<long>")
 
 
 def _stretches(texts: DataFrame) -> DataFrame:
-    """Of (nid, rank, tie, values, salts, text): a row for each anchor among ``values``, with the words of all
-    windows that have it, from the first such window's start."""
+    """Of (nid, rank, tie, values, parts, text): a row for each anchor among ``values``, with the words of all
+    windows that have it, from the first such window's start, and a salt where its group has several parts."""
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        nid, rank, tie, values, salts, text = (batch.column(k).to_pylist() for k in range(6))
+        nid, rank, tie, values, parts, text = (batch.column(k).to_pylist() for k in range(6))
         out: list[list] = [[] for _ in range(7)]
         for k in range(batch.num_rows):
             words = words_of(text[k])
             grams, at = anchors_of(words)
             # windows with one anchor are neighbours
             starts = np.flatnonzero(np.diff(at, prepend=-1))
-            wanted = dict(zip(values[k], salts[k], strict=True))
+            wanted = dict(zip(values[k], parts[k], strict=True))
             ends = [*starts[1:], len(at)]
             for value, a, b in zip(grams[at[starts]].tolist(), starts.tolist(), ends, strict=True):
-                if (salt := wanted.get(value)) is not None:
+                if (split := wanted.get(value)) is not None:
+                    salt = 0 if split == 1 else 1 + xxhash.xxh64_intdigest(f"{nid[k]} {a // REACH}") % split
                     for column, x in zip(out, (value, salt, nid[k], rank[k], tie[k], a, b" ".join(words[a : b + WINDOW - 1])), strict=True):
                         column.append(x)
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
@@ -173,7 +176,7 @@ def _repeats(stretches: DataFrame) -> DataFrame:
             for nid, starts in gone.items():
                 for column, x in zip(out, (nid, None, None, starts, None), strict=True):
                     column.append(x)
-            if len(out[0]) > 5000:
+            if len(out[0]) > 2000:
                 yield made()
         yield made()
 
@@ -228,22 +231,20 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "row_key")
     long_rows = rows.where(F.col("n_words") >= WINDOW)
-    nodes = long_rows.groupBy("node").agg(F.min(place).alias("first"), F.min_by(F.struct("anchors", "twice"), place).alias("own"))
+    nodes = long_rows.groupBy("node").agg(F.min(place).alias("first"), F.min_by(F.struct("anchors", "times"), place).alias("own"))
     nodes = cut(nodes.select("node", "first.*", "own.*", F.monotonically_increasing_id().alias("nid")), "nodes")
 
-    # anchors that occur in two texts, or in one twice, with their number of texts
-    postings = nodes.select("nid", F.explode("anchors").alias("value"))
-    shared = postings.withColumn("df", F.count("*").over(Window.partitionBy("value"))).where("df > 1")
-    inner = nodes.select("nid", F.explode("twice").alias("value"), F.lit(1).cast("long").alias("df"))
-    salt = F.when(F.col("df") > GROUP, F.pmod(F.xxhash64("nid"), F.ceil(F.col("df") / GROUP)) + 1).otherwise(0).cast("int")
-    salted = shared.unionByName(inner).groupBy("nid", "value").agg(F.max("df").alias("df")).select("nid", "value", salt.alias("salt"))
-    wanted = salted.groupBy("nid").agg(F.collect_list(F.struct("value", "salt")).alias("at"))
+    # anchors that occur again, here or elsewhere, and the number of parts that their groups need
+    postings = nodes.select("nid", F.inline(F.arrays_zip("anchors", "times"))).select("nid", F.col("anchors").alias("value"), "times")
+    shared = postings.withColumn("all", F.sum("times").over(Window.partitionBy("value"))).where(F.col("all") > 1)
+    parts = F.ceil(F.col("all") / GROUP).cast("int")
+    wanted = shared.groupBy("nid").agg(F.collect_list(F.struct("value", parts.alias("parts"))).alias("at"))
     # ids order texts; a null one, and the last there is, come after all others
     rank = F.when(F.col("last"), F.lit((1 << 63) - 1)).otherwise(F.col("doc_id").cast("long"))
-    wanted = cut(wanted.join(nodes, "nid").select("nid", "text_hash", rank.alias("rank"), F.col("row_key").alias("tie"), F.col("at.value").alias("values"), F.col("at.salt").alias("salts")), "wanted")
+    wanted = cut(wanted.join(nodes, "nid").select("nid", "text_hash", rank.alias("rank"), F.col("row_key").alias("tie"), F.col("at.value").alias("values"), F.col("at.parts").alias("parts")), "wanted")
 
     texts = matching(source.select("text_hash", "text"), wanted.select("text_hash").distinct(), "text_hash")
-    texts = texts.groupBy("text_hash").agg(F.first("text").alias("text")).join(wanted, "text_hash").select("nid", "rank", "tie", "values", "salts", "text")
+    texts = texts.groupBy("text_hash").agg(F.first("text").alias("text")).join(wanted, "text_hash").select("nid", "rank", "tie", "values", "parts", "text")
     stretches = _stretches(texts)
     dealt = stretches.repartition("value", "salt").sortWithinPartitions("value", "salt")
     found = cut(_repeats(dealt), "repeats")
