@@ -73,17 +73,9 @@ def repeat_words(tokens: Column) -> Column:
     return let(tokens, of).cast("long")
 
 
-def judge(docs: DataFrame, text_col: str = "text", min_words: int = 50, max_repeat: int = 50, max_lost: float = 0.4) -> DataFrame:
-    """All rows and columns of ``docs`` plus a struct ``quality``.
-
-    Its fields: ``n_words``, ``word_chars`` (code points in words), ``n_symbols``, ``n_dup_lines`` (lines with a
-    word that equal an earlier one), ``n_repeat_words``, ``base_failed`` (under ``min_words`` words, or over
-    ``max_repeat`` percent of them repeat), ``clean_text`` (without failing lines), ``n_clean_words`` and ``kept``
-    (not ``base_failed``, and at most ``max_lost`` of the words went with failing lines).
-    A null or empty text has no words, so it fails; its ``clean_text`` is empty.  Rows are judged alone, so
-    repeated rows get equal verdicts.  A column named ``quality`` in ``docs`` is replaced.
-    """
-    text = F.coalesce(F.col(text_col), F.lit(""))
+def verdict_on(text: Column, min_words: int = 50, max_repeat: int = 50, max_lost: float = 0.4) -> Column:
+    """The struct that :func:`judge` adds, of a text."""
+    text = F.coalesce(text, F.lit(""))
 
     def base(lines: Column) -> Column:
         real = F.filter(lines, lambda x: x["n"] > 0)
@@ -104,11 +96,28 @@ def judge(docs: DataFrame, text_col: str = "text", min_words: int = 50, max_repe
         own = [q[x].alias(x) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "clean_text", "n_clean_words")]
         return F.struct(*own, failed.alias("base_failed"), (~failed & (q["n_clean_words"] >= q["n_words"] * (1 - max_lost))).alias("kept"))
 
-    return docs.withColumn("quality", let(let(judged_lines(text), base), verdict))
+    return let(let(judged_lines(text), base), verdict)
+
+
+def judge(docs: DataFrame, text_col: str = "text", **limits) -> DataFrame:
+    """All rows and columns of ``docs`` plus a struct ``quality``.
+
+    Its fields: ``n_words``, ``word_chars`` (code points in words), ``n_symbols``, ``n_dup_lines`` (lines with a
+    word that equal an earlier one), ``n_repeat_words``, ``base_failed`` (under ``min_words`` (50) words, or over
+    ``max_repeat`` (50) percent of them repeat), ``clean_text`` (without failing lines), ``n_clean_words`` and ``kept``
+    (not ``base_failed``, and at most ``max_lost`` (0.4) of the words went with failing lines).
+    A null or empty text has no words, so it fails; its ``clean_text`` is empty.  Rows are judged alone, so
+    repeated rows get equal verdicts.  A column named ``quality`` in ``docs`` is replaced.
+    """
+    return docs.withColumn("quality", verdict_on(F.col(text_col), **limits))
 
 
 def passing(docs: DataFrame, text_col: str = "text", **limits) -> DataFrame:
-    """The kept documents with cleaned texts, in the columns of ``docs``."""
+    """The kept documents with cleaned texts, in the columns of ``docs``.
+
+    Verdicts are filtered inside an array, so that they are computed once for filter and projection.
+    """
     own = docs.columns
-    judged = judge(docs.select(F.struct(*own).alias("row"), F.col(text_col).alias("text")), **limits).where("quality.kept")
+    kept = F.filter(F.array(verdict_on(F.col(text_col), **limits)), lambda q: q["kept"])
+    judged = docs.select(F.struct(*own).alias("row"), F.explode(kept).alias("quality"))
     return judged.select(*(F.col("quality.clean_text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in own))
