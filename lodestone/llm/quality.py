@@ -26,7 +26,7 @@ def line_verdict(line: Column, n: Column) -> Column:
     ``navigation``: a separator (| > » › · •) for every four words at least, or at most five words without an
     ending.  ``symbols``: over half as many symbols as words.  ``shouting``: three words or more all in
     capitals, or an exclamation run for every second word.  ``repetition``: 20 words or more of which under
-    a quarter are distinct.  ``punctuation``: over five words and no ending.  ``boilerplate``: a stock phrase
+    a quarter are distinct.  ``punctuation``: over five words, no ending and no sentence's end inside.  ``boilerplate``: a stock phrase
     in under 30 words.  A line without words fails none.
     """
     def lacks(characters: str) -> Column:
@@ -41,7 +41,7 @@ def line_verdict(line: Column, n: Column) -> Column:
         .when(lacks(SYMBOLS) * 2 > n, "symbols")
         .when(((n >= 3) & ~line.rlike(r"\p{Ll}") & line.rlike(r"\p{Lu}")) | ((F.octet_length(line) - F.octet_length(F.replace(line, F.lit("!!")))) > n), "shouting")
         .when((n >= 20) & (F.size(F.array_distinct(words(line))) * 4 < n), "repetition")
-        .when(~F.right(F.rtrim(line), F.lit(1)).isin(*ENDINGS), F.when(n <= 5, "navigation").otherwise("punctuation"))
+        .when(~F.right(F.rtrim(line), F.lit(1)).isin(*ENDINGS) & ~((n > 5) & line.rlike("[.!?] ")), F.when(n <= 5, "navigation").otherwise("punctuation"))
         .when((n < 30) & stock, "boilerplate")
     )
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, media, mixing, neardup, pieces, pii, quality, sharding, substrings, urlfilter
+from . import htmltext, media, mixing, neardup, oracles, pieces, pii, quality, sharding, substrings, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -112,4 +112,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html": op10_html,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_quality": oracles.QUALITY,
+    "op8_url_filter": oracles.url_filter(RULES),
+    "op9_substrings": oracles.SUBSTRINGS,
+}

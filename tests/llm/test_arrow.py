@@ -218,7 +218,7 @@ def test_pipeline_keeps_clean_documents(spark, model):
     r = random.Random(5)
     text = lambda: " ".join(" ".join(f"Word{r.randrange(3000)}" for _ in range(12)) + "." for _ in range(8))
     clean = [text() for _ in range(30)]
-    data = [(k, t, "en", f"s{k % 3}", len(t or "")) for k, t in enumerate([*clean, clean[0], clean[1] + " one.", "short", None, "BUY!! NOW!! " * 50, clean[2] + " bob@mail.example.com"])]
+    data = [(k, t, "en", f"s{k % 3}", len(t or "")) for k, t in enumerate([*clean, clean[0], clean[1] + " one.", "short", None, "BUY!! NOW!! " * 50, clean[2] + " Or bob@mail.example.com too."])]
     docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
     columns = docs.columns
     stages = dict(p.STAGES)
