@@ -35,7 +35,7 @@ def index(chunks: DataFrame) -> Index:
     """
     found = postings(chunks)
     corpus = chunks.select(F.size(tokens(F.col("text"))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
+    df = found.groupBy("term").agg(F.count("tf").alias("df"))  # counted on tf, so that both uses of the postings share one exchange
     raw = df.join(F.broadcast(corpus.select("n"))).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean_idf"))  # one row, like corpus
     terms = raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.col("mean_idf") * EPSILON).otherwise(F.col("raw")).alias("idf"))
