@@ -40,6 +40,12 @@ def compress(ranked: DataFrame, order: str = "rerank_rank", budget: int = CONTEX
     return ranked.groupBy("query_id").agg(F.aggregate(ordered, start, step, lambda s: F.array_join(s["parts"], "\n\n")).alias("context"))
 
 
+def context_or_raw(query: Column, context: Column, raw: Column) -> Column:
+    """The compressed context, unless it lost an entity of the query that the raw chunks have: then these."""
+    lost = F.exists(query_entities(query), lambda e: F.contains(F.lower(raw), F.lower(e)) & ~F.contains(F.lower(context), F.lower(e)))
+    return F.when(lost, raw).otherwise(context)
+
+
 def coverage(query: Column, context: Column) -> Column:
     return covered(query_entities(query), context)
 

@@ -18,6 +18,25 @@ def hit(same_document: Column, page: Column, expected_page: Column, wanted: Colu
     return (F.coalesce(same_document, F.lit(False)) & F.coalesce(F.abs(page - expected_page) <= 3, F.lit(False))) | (overlap > 0.20)
 
 
+def expected_documents(queries: DataFrame, documents: DataFrame) -> DataFrame:
+    """(query_id, document_id): the document with the query's expected file name, or null where there is none."""
+    named = documents.select("document_id", F.col("filename").alias("document_filename"))
+    return queries.join(named, "document_filename", "left").select("query_id", "document_id")
+
+
+def candidate_reduction(kept: Column, candidates: Column) -> Column:
+    return 1 - kept / candidates
+
+
+def cache_hit_rate(queries: DataFrame, *hits: DataFrame) -> DataFrame:
+    """One row: the share of queries that one of the ``hits`` (query_id) answers."""
+    found = hits[0].select("query_id")
+    for h in hits[1:]:
+        found = found.union(h.select("query_id"))
+    marked = queries.select("query_id").join(found.distinct().withColumn("hit", F.lit(1.0)), "query_id", "left")
+    return marked.agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("cache_hit_rate"), (1 - F.avg(F.coalesce("hit", F.lit(0.0)))).alias("activation"))
+
+
 def per_query(ranked: DataFrame) -> DataFrame:
     """Metrics of each query from (query_id, rank, hit); nDCG's ideal is of the hits retrieved."""
     one, place = F.col("hit").cast("int"), F.col("rank")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scores, text, vectors
-from ..operators import answer, bm25, cache, chunking, evaluate, fusion, knowledge, page_index, vector
+from ..operators import answer, bm25, cache, chunking, evaluate, fusion, knowledge, page_index, sampling, vector
 from ..schemas import CONCEPT_TYPES
 from ..sources import elements
 from . import pipeline, planner
@@ -685,3 +685,18 @@ def known_item(spark, sf_dir):
     c, q = chunks(spark, sf_dir), asked(spark, sf_dir)
     hits = bm25.top_k(q, c).select("query_id", "chunk_id").join(q, "query_id").join(c.select("chunk_id", "text"), "chunk_id")
     return hits.groupBy("query_id").agg(F.max(F.contains("text", "query").cast("int")).alias("found"))
+
+
+@query(
+    f"""WITH {CHUNKS}, n AS (SELECT chunk_id, text, len({pieces("text")}) AS w FROM chunks), s AS (SELECT chunk_id, list_filter(list_transform(string_split(text, '.'), lambda x: trim(x)), lambda x: len({pieces("x")}) > 10) AS s FROM n WHERE w > 30 AND w < 150)
+    SELECT chunk_id, s[len(s) // 2 + 1] || '?' AS query FROM s WHERE len(s) > 0"""
+)
+def synthetic_queries(spark, sf_dir):
+    return sampling.synthetic_queries(chunks(spark, sf_dir))
+
+
+@query(f"WITH {LIVE}, {CACHE_Q}, hit AS (SELECT DISTINCT query_id FROM cq JOIN live USING (cache_key)) SELECT round((SELECT count(*) FROM hit) / count(*), 6) AS cache_hit_rate, round(1 - (SELECT count(*) FROM hit) / count(*), 6) AS activation FROM cq")
+def cache_hit_rate(spark, sf_dir):
+    q = cache_questions(spark, sf_dir)
+    rate = evaluate.cache_hit_rate(q, cache.exact_hits(q, cached(spark, sf_dir), now()))
+    return rate.select(F.round("cache_hit_rate", 6).alias("cache_hit_rate"), F.round("activation", 6).alias("activation"))

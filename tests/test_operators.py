@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import scores, text, vectors
-from lodestone.operators import answer, bm25, cache, chunking, evaluate, fusion, knowledge, page_index, store, vector
+from lodestone.operators import answer, bm25, cache, chunking, evaluate, fusion, knowledge, page_index, sampling, store, vector
 from lodestone.plans import pipeline, planner
 
 
@@ -200,3 +200,19 @@ def test_pipeline_answers_every_query_once(spark, config):
     assert got[0].fast_path and got[0].confidence == 0.85 and got[0].band == "HIGH" and "Refunds" in got[0].answer
     assert got[3].answer == "NOT_FOUND" and got[3].confidence == 0.0
     assert all(0 <= r.confidence <= 1 for r in got.values())
+
+
+def test_known_items(spark):
+    sentence = " ".join(f"w{k}" for k in range(12))
+    chunks = chunk_rows(spark, [f"{sentence}. {sentence} mid. {sentence} end.", "too short. " * 3, "a. " * 40])
+    q = sampling.synthetic_queries(chunks)
+    assert [(r.chunk_id, r.query) for r in q.collect()] == [("d0:p0", f"{sentence} mid?")]
+    hits = bm25.top_k(q.withColumnRenamed("chunk_id", "query_id"), chunks, 1)
+    assert [r.found for r in sampling.recovered(hits, q).collect()] == [True]
+    one_ = {r.chunk_id for r in sampling.sample(chunks, 2).collect()}
+    assert len(one_) == 2 and one_ == {r.chunk_id for r in sampling.sample(chunks.repartition(3), 2).collect()}
+
+
+def test_context_falls_back_to_raw_chunks(spark):
+    column = answer.context_or_raw(F.col("q"), F.col("c"), F.col("r"))
+    assert one(spark, column, q="about Debt", c="nothing", r="the Debt") == "the Debt" and one(spark, column, q="about Debt", c="nothing", r="none") == "nothing"
