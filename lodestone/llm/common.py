@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,7 +22,9 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     place = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not place:
-        place = "file://" + tempfile.mkdtemp(prefix="lodestone-")
+        folder = tempfile.mkdtemp(prefix="lodestone-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        place = "file://" + folder
         sc.setCheckpointDir(place)
     return place.rstrip("/")
 
