@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,6 +36,7 @@ _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?:[\s=/]|$)|aria-hidden\s*=\s*[\"']?tru
 _BESIDE, _BLOCKS, _ASIDE, _CORE, _VOID = map(frozenset, (BESIDE, BLOCKS, ASIDE, CORE, VOID))
 #: Closing one of these elements does not close what is open around them.
 _SCOPES = _ASIDE | _CORE | {"div", "section", "body", "html", "table", "ul", "ol"}
+_HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
 def _beside(attributes: str) -> bool:
@@ -46,27 +48,41 @@ def _beside(attributes: str) -> bool:
     return bool(_HIDDEN.search(attributes))
 
 
-def lines_of(page: str) -> list[tuple[str, bool, bool]]:
-    """The page's blocks in order: text, whether it stands beside the main text, whether inside an article.
+class Line(NamedTuple):
+    """A block: whether it stands beside the main text or inside an article, the element that holds it, whether all of it is links."""
 
-    The header of an article itself counts as text: headings are part of it.
+    text: str
+    beside: bool
+    core: bool
+    place: int
+    linked: bool
+
+
+def lines_of(page: str) -> list[Line]:
+    """The page's blocks in order.
+
+    The header of an article itself counts as text: headings are part of it.  Headings never count as links.
     """
-    out: list[tuple[str, bool, bool]] = []
-    open_: list[tuple[str, bool, bool]] = []  # element, beside, core
-    beside = core = False
+    out: list[Line] = []
+    open_: list[tuple[str, bool, bool, int]] = []  # element, beside, core, place
+    beside = core = link = heading = plain = False
+    place = places = 0
     held: list[str] = []
 
     def flush() -> None:
+        nonlocal plain
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             if text:
-                out.append((text, beside, core))
+                out.append(Line(text, beside, core, place, not (plain or heading or core)))
             held.clear()
+        plain = False
 
     at = 0
     for m in _TOKEN.finditer(page):
         if m.start() > at:
             held.append(page[at : m.start()])
+            plain = plain or not link and not held[-1].isspace()
         at = m.end()
         name = (m[3] or "").lower()
         if not name:
@@ -75,8 +91,12 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
             continue
         if name == "br":
             held.append(" ")
+        if name == "a":
+            link = not m[2]
         if name in _BLOCKS:
             flush()
+            if name in _HEADINGS:
+                heading = not m[2]
         if name in _VOID:
             continue
         if not m[2]:
@@ -85,53 +105,64 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
             aside = name in _ASIDE and not (name == "header" and core) or _beside(m[4]) and name not in ("html", "body", *_CORE)
             if name in _BLOCKS or aside:
                 if name == "p" and open_ and open_[-1][0] == "p":
-                    _, beside, core = open_.pop()
+                    _, beside, core, place = open_.pop()
                 if aside and name not in _BLOCKS:
                     flush()
-                open_.append((name, beside, core))
+                open_.append((name, beside, core, place))
                 beside, core = beside or aside, core or name in _CORE
+                if name in _SCOPES:
+                    places += 1
+                    place = places
         else:
             for k in range(len(open_) - 1, -1, -1):
                 if open_[k][0] == name:
                     flush()
-                    _, beside, core = open_[k]
+                    _, beside, core, place = open_[k]
                     del open_[k:]
                     break
                 if open_[k][0] in _SCOPES and name not in _SCOPES:
                     break
     held.append(page[at:] if not page[at:].startswith("<") else "")
+    plain = plain or not link
     flush()
     return out
 
 
+def _chosen(lines: list[Line], sizes: list[int], window: int, surge: int) -> list[int]:
+    """The places of the lines that are text; ``sizes`` is 0 for lines that cannot be.
+
+    Text runs from the first window whose sum exceeds ``surge`` to the first empty window after the last
+    one.  Short lines right before it, and short lines anywhere in an element that directly holds lines of
+    such windows, belong to it unless they are links that lead to it or stand apart.  Without a surge all
+    lines are text.
+    """
+    sums = [sum(sizes[k : k + window]) for k in range(len(sizes))]
+    surges = [k for k, total in enumerate(sums) if total > surge]
+    if not surges:
+        return [k for k, n in enumerate(sizes) if n]
+    start, end = surges[0], surges[-1]
+    while end < len(sums) and sums[end]:
+        end += 1
+    low = start
+    while low and sizes[low - 1]:
+        low -= 1
+    while low < start and lines[low].linked:
+        low += 1
+    held = {lines[j].place for k in surges for j in range(k, min(k + window, len(sizes))) if sizes[j] and not lines[j].linked}
+    return [k for k, n in enumerate(sizes) if n and (low <= k < end or lines[k].place in held and not lines[k].linked)]
+
+
 def text_of(page: str | None, window: int = 3, surge: int = 80) -> str:
     """The main text: blocks joined by empty lines; empty for a null or empty page.
 
-    With an article in the page, its blocks are the text from the first surge (any length there) to the
-    last dive.  Without one, a span opens where a window's sum exceeds ``surge`` characters and closes
-    where a whole window is empty; the span with the most text is kept, with short blocks inside it, and
-    all text where no window surges.
+    With an article in the page, all its blocks are the text.  Without one, the text runs from the first
+    window whose sum exceeds ``surge`` characters to the dive after the last one, however many blocks beside
+    the text lie between, with the short blocks that belong to it; it is all text where no window surges.
     """
     lines = lines_of(page or "")
-    marked = any(core and not beside for _, beside, core in lines)
-    limit = 0 if marked else surge
-    usable = [not beside and (core or not marked) for _, beside, core in lines]
-    sizes = [len(t) if ok else 0 for (t, _, _), ok in zip(lines, usable, strict=True)]
-    sums = [sum(sizes[k : k + window]) for k in range(len(sizes))]
-    spans, start = [], -1
-    for k, total in enumerate(sums):
-        if start < 0 and total > limit:
-            start = k
-        elif start >= 0 and not total:
-            spans.append((start, k))
-            start = -1
-    if start >= 0:
-        spans.append((start, len(sums)))
-    if not spans:
-        spans = [(0, len(sums))]
-    elif not marked:
-        spans = [max(spans, key=lambda s: (sum(sizes[s[0] : s[1]]), -s[0]))]
-    return "\n\n".join(lines[k][0] for a, b in spans for k in range(a, b) if usable[k])
+    marked = any(x.core and not x.beside for x in lines)
+    sizes = [len(x.text) if not x.beside and (x.core or not marked) else 0 for x in lines]
+    return "\n\n".join(lines[k].text for k in _chosen(lines, sizes, window, 0 if marked else surge))
 
 
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

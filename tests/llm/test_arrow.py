@@ -205,6 +205,17 @@ def test_text_without_an_article_is_the_densest_span():
     assert htmltext.text_of(page).count("\n\n") >= 4 and "end" not in htmltext.text_of(page) and "Home" not in htmltext.text_of(page)
 
 
+def test_text_on_both_sides_of_a_long_advert_is_whole():
+    aside = "<ul class=related><li><a>One</a></li><li>Two</li><li>Three</li></ul>"
+    long = [f"{k} " + "long sentences of text " * 15 for k in range(6)]
+    told = ["A heading", "By someone", "On a day", *(x.strip() for x in long), "So it ends."]
+    block = "".join(f"<p>{x}</p>" for x in told[1:6])
+    page = f"<body><div><a>Home</a></div><div><a>News</a></div><div><a>Shop</a></div><div><h1>{told[0]}</h1>{block}{aside}<p>{told[6]}</p><p>{told[7]}</p><p>{told[8]}</p>{aside}<p>{told[9]}</p></div><footer>end</footer>"
+    assert htmltext.text_of(page) == "\n\n".join(told)
+    shared = page.replace(told[0] + "</h1>", told[0] + "</h1>" + aside)
+    assert htmltext.text_of(shared) == "\n\n".join(told)
+
+
 def test_extract(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "clash"), (1, "u", PAGE, "clash"), (2, None, None, ""), (None, "v", "<p>" + "x " * 100_000, "")], "page_id long, url string, html string, text string")
     got = htmltext.extract(df).collect()
