@@ -2,8 +2,8 @@
 
 Markup is stripped to lines, one for each block of text.  The lengths of lines are summed over a sliding
 window; where the sums surge the text begins, where they dive it ends, and what lies between is kept.
-Lines in places that never hold the text (menus, forms, notices, ...) count as empty, and where the page
-marks an article, the search keeps to it.
+Lines in places that never hold the text (menus, forms, notices, ...) count as empty.  An article that the
+page marks is evidence: where most of the surging text is inside, lines outside count as empty as well.
 """
 
 from __future__ import annotations
@@ -39,21 +39,23 @@ _SCOPES = _ASIDE | _CORE | {"div", "section", "body", "html", "table", "ul", "ol
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
-def _beside(attributes: str) -> bool:
+def _beside(attributes: str, first: bool = False) -> bool:
+    """Whether a word of class, id or role says so; with ``first`` only words that begin a name (``comment-7``, not ``has-sidebar``)."""
     if not attributes or attributes.isspace():
         return False
     for found in _NAMES.findall(attributes):
-        if not _BESIDE.isdisjoint(re.split(r"[\s_:-]+", "".join(found).lower())):
+        names = "".join(found).lower()
+        if not _BESIDE.isdisjoint((re.split(r"[_:-]+", n)[0] for n in names.split()) if first else re.split(r"[\s_:-]+", names)):
             return True
     return bool(_HIDDEN.search(attributes))
 
 
 class Line(NamedTuple):
-    """A block: whether it stands beside the main text or inside an article, the element that holds it, whether all of it is links."""
+    """A block: whether it stands beside the main text, the article it is in (0: none), the element that holds it, whether all of it is links."""
 
     text: str
     beside: bool
-    core: bool
+    core: int
     place: int
     linked: bool
 
@@ -64,9 +66,9 @@ def lines_of(page: str) -> list[Line]:
     The header of an article itself counts as text: headings are part of it.  Headings never count as links.
     """
     out: list[Line] = []
-    open_: list[tuple[str, bool, bool, int]] = []  # element, beside, core, place
-    beside = core = link = heading = plain = False
-    place = places = 0
+    open_: list[tuple[str, bool, int, int]] = []  # element, beside, core, place
+    beside = link = heading = plain = False
+    core = place = places = 0
     held: list[str] = []
 
     def flush() -> None:
@@ -102,17 +104,18 @@ def lines_of(page: str) -> list[Line]:
         if not m[2]:
             if m[4].endswith("/"):
                 continue
-            aside = name in _ASIDE and not (name == "header" and core) or _beside(m[4]) and name not in ("html", "body", *_CORE)
+            aside = name in _ASIDE and not (name == "header" and core) or name not in ("html", "body", "main") and _beside(m[4], name == "article")
             if name in _BLOCKS or aside:
                 if name == "p" and open_ and open_[-1][0] == "p":
                     _, beside, core, place = open_.pop()
                 if aside and name not in _BLOCKS:
                     flush()
                 open_.append((name, beside, core, place))
-                beside, core = beside or aside, core or name in _CORE
+                beside = beside or aside
                 if name in _SCOPES:
                     places += 1
                     place = places
+                    core = core or place * (name in _CORE)
         else:
             for k in range(len(open_) - 1, -1, -1):
                 if open_[k][0] == name:
@@ -128,15 +131,34 @@ def lines_of(page: str) -> list[Line]:
     return out
 
 
-def _chosen(lines: list[Line], sizes: list[int], window: int, surge: int) -> list[int]:
+def _sums(sizes: list[int], window: int) -> list[int]:
+    return [sum(sizes[k : k + window]) for k in range(len(sizes))]
+
+
+def _surging(sums: list[int], sizes: list[int], window: int, surge: int) -> set[int]:
+    """The places of the lines within windows whose sum exceeds ``surge``."""
+    return {j for k, total in enumerate(sums) if total > surge for j in range(k, min(k + window, len(sizes))) if sizes[j]}
+
+
+def _marked(lines: list[Line], window: int, surge: int) -> bool:
+    """Whether articles hold at least as much of the page's surging text as lies outside them (of all text, where none surges)."""
+    if not any(x.core and not x.beside for x in lines):
+        return False
+    sizes = [0 if x.beside else len(x.text) for x in lines]
+    counted = _surging(_sums(sizes, window), sizes, window, surge) or range(len(sizes))
+    inside = sum(sizes[k] for k in counted if lines[k].core)
+    return 2 * inside >= sum(sizes[k] for k in counted)
+
+
+def _chosen(lines: list[Line], sizes: list[int], marked: bool, window: int, surge: int) -> list[int]:
     """The places of the lines that are text; ``sizes`` is 0 for lines that cannot be.
 
     Text runs from the first window whose sum exceeds ``surge`` to the first empty window after the last
     one.  Short lines right before it, and short lines anywhere in an element that directly holds lines of
-    such windows, belong to it unless they are links that lead to it or stand apart.  Without a surge all
-    lines are text.
+    such windows (``marked``: in their article), belong to it unless they are links that lead to it or
+    stand apart.  Without a surge all lines are text.
     """
-    sums = [sum(sizes[k : k + window]) for k in range(len(sizes))]
+    sums = _sums(sizes, window)
     surges = [k for k, total in enumerate(sums) if total > surge]
     if not surges:
         return [k for k, n in enumerate(sizes) if n]
@@ -148,21 +170,23 @@ def _chosen(lines: list[Line], sizes: list[int], window: int, surge: int) -> lis
         low -= 1
     while low < start and lines[low].linked:
         low += 1
-    held = {lines[j].place for k in surges for j in range(k, min(k + window, len(sizes))) if sizes[j] and not lines[j].linked}
-    return [k for k, n in enumerate(sizes) if n and (low <= k < end or lines[k].place in held and not lines[k].linked)]
+    place = [x.core if marked else x.place for x in lines]
+    held = {place[k] for k in _surging(sums, sizes, window, surge) if not lines[k].linked}
+    return [k for k, n in enumerate(sizes) if n and (low <= k < end or place[k] in held and not lines[k].linked)]
 
 
 def text_of(page: str | None, window: int = 3, surge: int = 80) -> str:
     """The main text: blocks joined by empty lines; empty for a null or empty page.
 
-    With an article in the page, all its blocks are the text.  Without one, the text runs from the first
-    window whose sum exceeds ``surge`` characters to the dive after the last one, however many blocks beside
-    the text lie between, with the short blocks that belong to it; it is all text where no window surges.
+    The text runs from the first window whose sum exceeds ``surge`` characters to the dive after the last
+    one, however many blocks beside the text lie between, with the short blocks that belong to it; it is
+    all text where no window surges.  Blocks outside articles are left out where articles hold at least
+    half of the surging text, and blocks of an article that has some of it belong to it.
     """
     lines = lines_of(page or "")
-    marked = any(x.core and not x.beside for x in lines)
+    marked = _marked(lines, window, surge)
     sizes = [len(x.text) if not x.beside and (x.core or not marked) else 0 for x in lines]
-    return "\n\n".join(lines[k].text for k in _chosen(lines, sizes, window, 0 if marked else surge))
+    return "\n\n".join(lines[k].text for k in _chosen(lines, sizes, marked, window, surge))
 
 
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

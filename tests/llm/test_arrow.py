@@ -216,6 +216,20 @@ def test_text_on_both_sides_of_a_long_advert_is_whole():
     assert htmltext.text_of(shared) == "\n\n".join(told)
 
 
+def test_an_article_is_evidence_and_not_the_rule():
+    long = [f"{k} " + "long sentences of text " * 15 + "end" for k in range(4)]
+    told = "".join(f"<p>{x}</p>" for x in long)
+    cards = "".join(f"<article><h3>Card {k}</h3><p>A teaser of another page, with a few words of it.</p></article>" for k in range(3))
+    aside = "<ul class=related>" + "<li>x</li>" * 3 + "</ul>"
+    body = "\n\n".join(long)
+    assert body in htmltext.text_of(f"<body><div><div>{told}</div></div><div>{cards}</div></body>")
+    for name in ("comment", "related", "comment-12 even", "hidden"):
+        assert htmltext.text_of(f"<div>{told}</div><article class='{name}'><p>{'I say so. ' * 400}</p></article>".replace("class='hidden'", "hidden")) == body
+    assert htmltext.text_of(f"<article class='post no-comments tag-social'>{told}</article>") == body
+    page = f"<div><a>Home</a></div><p>Off the article</p><article><header><h1>Head</h1></header>{aside}<div>{told}</div>{aside}<footer>f</footer><div><p>Short.</p></div></article><p>Legal words</p>"
+    assert htmltext.text_of(page) == f"Head\n\n{body}\n\nShort."
+
+
 def test_extract(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "clash"), (1, "u", PAGE, "clash"), (2, None, None, ""), (None, "v", "<p>" + "x " * 100_000, "")], "page_id long, url string, html string, text string")
     got = htmltext.extract(df).collect()
