@@ -250,7 +250,8 @@ def pseudonymised(text: Column, key: str) -> Column:
 
     parts = F.struct(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)).alias("values"), F.split(text, ANY, -1).alias("gaps"))
     nothing = F.struct(text.alias("text"), F.array().cast("array<struct<kind:string,new:string>>").alias("found"))
-    some = text.rlike(r"[0-9]{2}|@|AKIA|ASIA") | text.rlike("(?i)password|passwd|pwd|token|secret|api.?key")
+    # Every pattern needs one of these.
+    some = text.rlike(r"[0-9][ .-]?[0-9]|@|AKIA|ASIA") | text.rlike("(?i)password|passwd|pwd|token|secret|api.?key")
     return F.when(text.isNull(), F.lit(None)).when(some, let(parts, rebuilt)).otherwise(nothing)
 
 
