@@ -4,7 +4,7 @@ Numbers and dates are validated (checksums, ranges, the calendar), permuted with
 network keyed with a secret, and completed by new check digits, so a pseudonym is as valid as what it
 stands for, and equal values have equal pseudonyms in every document.  A network of ``ROUNDS`` rounds
 adds to one half a hash of key, kind, round and other half, so it can be undone with the key.
-All of it is one projection of built-in functions.
+All of it is projections of built-in functions.
 """
 
 from __future__ import annotations
@@ -19,18 +19,22 @@ from .common import let
 ROUNDS = 8
 DIGITS, LOWER, UPPER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
 #: What may be personal data, tried in this order at each place; all but secrets, keys and mail addresses is then validated.
+#: Those of RUNS match a whole run of groups, however long; where it is no value as a whole, values are looked for within.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
     "secret": r"(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key)\b\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9+/_.-]{8,200}",
-    "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
+    "iban": r"\b(?=[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2})[A-Z0-9]++\b(?: [A-Z0-9]++\b)*+",
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9/-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
-    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
+    "card": r"(?<![0-9])(?=[0-9](?:[ -]?[0-9]){12})[0-9]++(?:[ -][0-9]++)*+",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
 }
-ANY = "|".join(PATTERNS.values())
+#: A group with the separator before it, by kind, and how many groups a value has at most.
+RUNS = {"iban": (r" ?[A-Z0-9]+", 34), "card": (r"[ -]?[0-9]+", 19)}
+#: What a piece of text is: not matched, a value that is to be validated, or what a run holds besides values.
+GAP, VALUE, REST = 0, 1, 2
 
 
 def _stream(key: str, kind: str, i: Column, other: Column, bits: int) -> Column:
@@ -199,12 +203,17 @@ def _new_secret(m: Column, key: str) -> Column:
     return let(own, built)
 
 
+def _valid_run(kind: str, m: Column) -> Column:
+    """Whether these groups are one value of a kind of RUNS."""
+    if kind == "card":
+        return let(_digits(m), lambda d: F.length(d).between(13, 19) & (luhn_sum(d) % 10 == 0) & ~d.rlike("^(.)\\1*$"))
+    return let(F.replace(m, F.lit(" ")), lambda x: F.length(x).between(15, 34) & x.rlike("^[A-Z]{2}[0-9]{2}") & (mod97(F.concat(F.substr(x, F.lit(5), F.length(x)), F.left(x, F.lit(4)))) == 1))
+
+
 def _valid(kind: str, m: Column) -> Column:
     whole = m.rlike(f"^(?:{PATTERNS[kind]})$")
-    if kind == "card":
-        return whole & let(_digits(m), lambda d: luhn_sum(d) % 10 == 0) & ~_digits(m).rlike("^(.)\\1*$")
-    if kind == "iban":
-        return whole & let(F.replace(m, F.lit(" ")), lambda x: F.length(x).between(15, 34) & (mod97(F.concat(F.substr(x, F.lit(5), F.length(x)), F.left(x, F.lit(4)))) == 1))
+    if kind in RUNS:
+        return whole & _valid_run(kind, m)
     if kind == "ip":
         return whole & F.forall(F.split(m, r"\."), lambda x: (x.cast("int") <= 255) & ((F.length(x) == 1) | ~x.startswith("0")))
     if kind == "ssn":
@@ -214,7 +223,7 @@ def _valid(kind: str, m: Column) -> Column:
     return whole
 
 
-def pseudonym(m: Column, key: str) -> Column:
+def pseudonym(m: Column, key: str, kinds: tuple[str, ...] = tuple(PATTERNS)) -> Column:
     """Struct of ``kind`` and ``new`` for a found value; null where no kind's validation passes."""
     new: dict[str, Callable[[Column, str], Column]] = {
         "email": _new_email,
@@ -228,39 +237,83 @@ def pseudonym(m: Column, key: str) -> Column:
         "ip": _new_ip,
     }
     out = F.lit(None).cast("struct<kind:string,new:string>")
-    for kind in reversed(PATTERNS):
+    for kind in reversed(kinds):
         out = F.when(_valid(kind, m), F.struct(F.lit(kind).alias("kind"), new[kind](m, key).alias("new"))).otherwise(out)
     return out
 
 
-def pseudonymised(text: Column, key: str) -> Column:
-    """Struct of ``text`` with pseudonyms in place, and ``found``: the values' ``kind`` and ``new`` in order.
+def _piece(old: Column, what: int) -> Column:
+    return F.struct(old.alias("old"), F.lit(what).alias("what"))
 
-    Null for null.  Values that fail validation, and all other text, stay as they are.
-    """
-    def rebuilt(parts: Column) -> Column:
-        swapped = F.transform(parts["values"], lambda m: F.struct(m.alias("old"), pseudonym(m, key).alias("to")))
 
-        def joined(done: Column) -> Column:
-            shown = F.concat(F.transform(done, lambda x: F.coalesce(x["to"]["new"], x["old"])), F.array(F.lit("")))
-            pieces = F.flatten(F.zip_with(parts["gaps"], shown, lambda g, v: F.array(g, v)))
-            return F.struct(F.array_join(pieces, "").alias("text"), F.filter(done["to"], lambda x: x.isNotNull()).alias("found"))
+def _within(m: Column, kind: str) -> Column:
+    """Pieces of a run of groups: from left to right the longest valid stretch from each group on, and what lies between."""
+    group, most = RUNS[kind]
 
-        return let(swapped, joined)
+    def parts(g: Column) -> Column:
+        def step(s: Column, i: Column) -> Column:
+            stretch = lambda j: F.ltrim(F.array_join(F.slice(g, i, j - i + 1), ""), F.lit(" -"))
+            ends = F.sequence(F.least(F.size(g), i + most - 1), i, F.lit(-1))
+            far = F.try_element_at(F.filter(ends, lambda j: _valid_run(kind, stretch(j))), F.lit(1))
 
-    parts = F.struct(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)).alias("values"), F.split(text, ANY, -1).alias("gaps"))
-    nothing = F.struct(text.alias("text"), F.array().cast("array<struct<kind:string,new:string>>").alias("found"))
-    # Every pattern needs one of these.
-    some = text.rlike(r"[0-9][ .-]?[0-9]|@|AKIA|ASIA") | text.rlike("(?i)password|passwd|pwd|token|secret|api.?key")
-    return F.when(text.isNull(), F.lit(None)).when(some, let(parts, rebuilt)).otherwise(nothing)
+            def moved(j: Column) -> Column:
+                before = F.concat(s["rest"], F.regexp_extract(F.element_at(g, i), "^[ -]", 0))
+                found = F.struct((j + 1).alias("at"), F.lit("").alias("rest"), F.concat(s["out"], F.array(_piece(before, REST), _piece(stretch(j), VALUE))).alias("out"))
+                return F.when(j.isNull(), F.struct(s["at"].alias("at"), F.concat(s["rest"], F.element_at(g, i)).alias("rest"), s["out"].alias("out"))).otherwise(found)
+
+            return F.when(s["at"] > i, s).otherwise(let(far, moved))
+
+        start = F.struct(F.lit(1).alias("at"), F.lit("").alias("rest"), F.array().cast("array<struct<old:string,what:int>>").alias("out"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(g)), start, step, lambda s: F.concat(s["out"], F.array(_piece(s["rest"], REST))))
+
+    return let(F.regexp_extract_all(m, F.lit(group), F.lit(0)), parts)
+
+
+def _woven(between: Column, values: Column) -> Column:
+    """One array of the arrays ``between`` and, after each but the last, those of ``values``."""
+    return F.flatten(F.zip_with(between, values, lambda b, v: F.when(v.isNull(), b).otherwise(F.concat(b, v))))
+
+
+def _searched(text: Column, key: str, kinds: tuple[str, ...]) -> Column:
+    """``text`` in pieces (old, to, rest): values with their pseudonyms, and all else."""
+    def pieces(m: Column) -> Column:
+        out = F.array(_piece(m, VALUE))
+        for kind in RUNS:
+            if kind in kinds:
+                out = F.when(m.rlike(f"^(?:{PATTERNS[kind]})$"), _within(m, kind)).otherwise(out)
+        return out
+
+    pattern = "|".join(PATTERNS[k] for k in kinds)
+    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.array(_piece(g, GAP)))
+    found = _woven(gaps, F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), pieces))
+    return F.transform(found, lambda x: F.struct(x["old"].alias("old"), F.when(x["what"] == VALUE, pseudonym(x["old"], key, kinds)).alias("to"), ((x["what"] == REST) & (x["old"] != "")).alias("rest")))
+
+
+def _searched_again(p: Column, key: str, kinds: tuple[str, ...]) -> Column:
+    """The pieces with what lies between values joined and searched for ``kinds``, where a run may have hidden some."""
+    mark, own = "\x00\x01", "\x00\x02"
+    shown = F.transform(p, lambda x: F.when(x["to"].isNull(), F.replace(x["old"], F.lit("\x00"), F.lit(own))).otherwise(F.lit(mark)))
+    between = F.transform(F.split(F.array_join(shown, ""), r"\x00\x01", -1), lambda x: _searched(F.replace(x, F.lit(own), F.lit("\x00")), key, kinds))
+    values = F.transform(F.filter(p, lambda x: x["to"].isNotNull()), lambda x: F.array(x))
+    return F.when(F.exists(p, lambda x: x["rest"]), _woven(between, values)).otherwise(p)
 
 
 def protect(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with pseudonyms in ``text_col`` and, last, ``pii_found``: the kinds found, in order of place.
 
     Null and empty texts stay as they are, with null and no kinds.  Rows stand alone; equal rows stay equal.
+    Values that fail validation, and all other text, stay as they are.  Runs of groups that are no value as a
+    whole are searched for cards and account numbers at group borders, and what is left of them, with the
+    text around, for all other kinds.
     A column ``pii_found`` in ``docs`` is replaced.
     """
     own = [c for c in docs.columns if c != "pii_found"]
-    done = docs.select(F.struct(*own).alias("row"), pseudonymised(docs[text_col], key).alias("out"))
-    return done.select(*(F.col("out.text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in own), F.col("out.found.kind").alias("pii_found"))
+    text = docs[text_col]
+    # Every pattern needs one of these.
+    some = text.rlike(r"[0-9][ .-]?[0-9]|@|AKIA|ASIA") | text.rlike("(?i)password|passwd|pwd|token|secret|api.?key")
+    done = docs.select(F.struct(*own).alias("row"), text.alias("text"), F.when(some, _searched(text, key, tuple(PATTERNS))).alias("p"))
+    for gone in (("iban",), ("iban", "card")):
+        done = done.select("row", "text", _searched_again(F.col("p"), key, tuple(k for k in PATTERNS if k not in gone)).alias("p"))
+    new = F.coalesce(F.array_join(F.transform("p", lambda x: F.coalesce(x["to"]["new"], x["old"])), ""), F.col("text"))
+    kinds = F.coalesce(F.transform(F.filter("p", lambda x: x["to"].isNotNull()), lambda x: x["to"]["kind"]), F.when(F.col("text").isNotNull(), F.array().cast("array<string>")))
+    return done.select(*(new.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in own), kinds.alias("pii_found"))

@@ -150,6 +150,23 @@ def test_the_shortest_value_of_each_kind_is_found_alone(spark):
     assert all(v not in r["text"] for v, r in zip(values.values(), out, strict=False)) and out[-1]["text"].split()[-1] == out[-2]["text"].split()[1] == out[-3]["text"]
 
 
+def test_values_beside_other_groups_are_found(spark):
+    card, iban = "4111 1111 1111 1111", "BE68 5390 0754 7034"
+    texts = {
+        f"Card {card} 12/27": ["card"], "Card 4111-1111-1111-1111 123": ["card"], f"No 1234 {card}": ["card"], f"{card} 5500 0000 0000 0004 99": ["card", "card"],
+        f"To {iban} OK": ["iban"], f"AB12 3456 7890 1234 {iban} THANKS": ["iban"], f"{iban} {card} 12/27": ["iban", "card"], f"{iban} 3782 822463 10005 12": ["iban", "card"],
+        f"{card} 415-555-2671": ["card", "phone"], "12345 67893 2001-02-03": ["date"], "1234 5678 9013 8.8.8.8": ["ip"], f"AB12 3456 7890 \x00\x01 PASSWORD=abcdefgh1 {card} 12": ["secret", "card"],
+        "1234 5678 9012 3456 78": [], "AB12 3456 7890 OK": [], "7" * 30_000: [], "AB12" * 8_000: [],
+    }
+    out = pii.protect(rows(spark, list(texts)), "k").collect()
+    assert [r.pii_found for r in out] == list(texts.values())
+    alone = [r["text"] for r in pii.protect(rows(spark, [card, iban, "5500 0000 0000 0004"]), "k").collect()]
+    told = [r["text"].replace(alone[0], card).replace(alone[1], iban).replace(alone[2], "5500 0000 0000 0004") for r in out]
+    for k in (0, 2, 3, 4, 5, 6, 12, 13, 14, 15):
+        assert told[k] == list(texts)[k]
+    assert all(card not in r["text"] and iban not in r["text"] for r in out) and alone[0].replace(" ", "-") in out[1]["text"]
+
+
 @pytest.mark.parametrize(("a", "b"), [(7, 13), (1, 9), (189, 773)])
 def test_pair_network_is_a_permutation(spark, a, b):
     pairs = spark.range(a * b).select("id", pii.permute_pair(F.floor(F.col("id") / b), F.col("id") % b, a, b, "k", "t").alias("p")).select((F.col("p.l") * b + F.col("p.r")).alias("v"))
