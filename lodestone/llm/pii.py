@@ -23,7 +23,7 @@ DIGITS, LOWER, UPPER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFG
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
-    "secret": r"(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key)\b\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9+/_.-]{8,200}",
+    "secret": r"(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key)\b\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9+/_.-]{8,}",
     "iban": r"\b(?=[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2})[A-Z0-9]++\b(?: [A-Z0-9]++\b)*+",
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9/-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -56,16 +56,15 @@ def permute_pair(left: Column, right: Column, a: int, b: int, key: str, kind: st
 def permute_text(text: Column, key: str, kind: str, *alphabets: str) -> Column:
     """A keyed permutation of all strings with the letters of each of ``alphabets`` at the same places."""
     def moved(half: Column, stream: Column) -> Column:
-        def letter(i: Column) -> Column:
-            c = F.substr(half, i, F.lit(1))
-            by = F.conv(F.substr(stream, (i - 1) % 64 * 2 + 1, F.lit(2)), 16, 10).cast("int")
+        def letter(c: Column, i: Column, bound: Column) -> Column:
+            by = F.conv(F.substr(bound, i % 64 * 2 + 1, F.lit(2)), 16, 10).cast("int")
             out = c
             for letters in reversed(alphabets):
                 at = F.instr(F.lit(letters), c)
                 out = F.when(at > 0, F.substr(F.lit(letters), (at - 1 + by) % len(letters) + 1, F.lit(1))).otherwise(out)
             return out
 
-        return F.when(F.length(half) == 0, half).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.length(half)), letter), ""))
+        return F.when(F.length(half) == 0, half).otherwise(let(stream, lambda x: F.array_join(F.transform(F.split(half, ""), lambda c, i: letter(c, i, x)), "")))
 
     def step(s: Column, i: Column) -> Column:
         return F.struct(s["r"].alias("l"), moved(s["l"], _stream(key, kind, i, s["r"], 512)).alias("r"))

@@ -167,6 +167,15 @@ def test_values_beside_other_groups_are_found(spark):
     assert all(card not in r["text"] and iban not in r["text"] for r in out) and alone[0].replace(" ", "-") in out[1]["text"]
 
 
+def test_long_secrets_are_permuted_whole(spark):
+    long = "".join("aZ3kQ9xB"[k * k % 8] for k in range(300))
+    values = [long, long[:-1] + "c", "x" * 100_000]
+    out = [r["text"] for r in pii.protect(rows(spark, [f"token={v} end" for v in values]), "k").collect()]
+    new = [x.removeprefix("token=").removesuffix(" end") for x in out]
+    assert [len(x) for x in new] == [len(v) for v in values] and " " not in "".join(new)
+    assert new[0][200:] != long[200:] and sum(a == b for a, b in zip(new[0][200:], long[200:], strict=True)) < 30 and new[0][:200] != new[1][:200]
+
+
 @pytest.mark.parametrize(("a", "b"), [(7, 13), (1, 9), (189, 773)])
 def test_pair_network_is_a_permutation(spark, a, b):
     pairs = spark.range(a * b).select("id", pii.permute_pair(F.floor(F.col("id") / b), F.col("id") % b, a, b, "k", "t").alias("p")).select((F.col("p.l") * b + F.col("p.r")).alias("v"))
