@@ -20,8 +20,9 @@ ROUNDS = 8
 DIGITS, LOWER, UPPER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
 #: What may be personal data, tried in this order at each place; all but secrets, keys and mail addresses is then validated.
 #: Those of RUNS match a whole run of groups, however long; where it is no value as a whole, values are looked for within.
+#: Repeated groups are possessive or have a bound, since others recurse once a repeat: a long text would exhaust the stack.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,30}\.[A-Za-z]{2,}",
     "key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
     "secret": r"(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key)\b\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9+/_.-]{8,}",
     "iban": r"\b(?=[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2})[A-Z0-9]++\b(?: [A-Z0-9]++\b)*+",
@@ -33,8 +34,6 @@ PATTERNS = {
 }
 #: A group with the separator before it, by kind, and how many groups a value has at most.
 RUNS = {"iban": (r" ?[A-Z0-9]+", 34), "card": (r"[ -]?[0-9]+", 19)}
-#: What a piece of text is: not matched, a value that is to be validated, or what a run holds besides values.
-GAP, VALUE, REST = 0, 1, 2
 
 
 def _stream(key: str, kind: str, i: Column, other: Column, bits: int) -> Column:
@@ -222,8 +221,13 @@ def _valid(kind: str, m: Column) -> Column:
     return whole
 
 
-def pseudonym(m: Column, key: str, kinds: tuple[str, ...] = tuple(PATTERNS)) -> Column:
-    """Struct of ``kind`` and ``new`` for a found value; null where no kind's validation passes."""
+def _kind(m: Column, kinds: tuple[str, ...]) -> Column:
+    """The first of ``kinds`` whose validation ``m`` passes, or null."""
+    return F.coalesce(*(F.when(_valid(kind, m), kind) for kind in kinds))
+
+
+def pseudonym(m: Column, kind: Column, key: str) -> Column:
+    """The pseudonym of a value of this kind, in its format."""
     new: dict[str, Callable[[Column, str], Column]] = {
         "email": _new_email,
         "key": lambda m, key: F.concat(F.left(m, F.lit(4)), permute_text(F.substr(m, F.lit(5), F.length(m)), key, "key", DIGITS, UPPER)),
@@ -235,35 +239,44 @@ def pseudonym(m: Column, key: str, kinds: tuple[str, ...] = tuple(PATTERNS)) ->
         "card": _new_card,
         "ip": _new_ip,
     }
-    out = F.lit(None).cast("struct<kind:string,new:string>")
-    for kind in reversed(kinds):
-        out = F.when(_valid(kind, m), F.struct(F.lit(kind).alias("kind"), new[kind](m, key).alias("new"))).otherwise(out)
-    return out
+    return F.coalesce(*(F.when(kind == name, of(m, key)) for name, of in new.items()))
 
 
-def _piece(old: Column, what: int) -> Column:
-    return F.struct(old.alias("old"), F.lit(what).alias("what"))
+def _piece(old: Column, kind: Column | None = None, rest: bool = False) -> Column:
+    """A piece of text: a value of a kind, or what a run holds besides values (``rest``), or not matched."""
+    return F.struct(old.alias("old"), (F.lit(None).cast("string") if kind is None else kind).alias("kind"), F.lit(rest).alias("rest"))
 
 
 def _within(m: Column, kind: str) -> Column:
-    """Pieces of a run of groups: from left to right the longest valid stretch from each group on, and what lies between."""
+    """Pieces of a run of groups: from left to right the longest valid stretch from each group on, and what lies between.
+
+    The fold over the stretches holds places only, so a long run costs no more than its groups.
+    """
     group, most = RUNS[kind]
 
     def parts(g: Column) -> Column:
-        def step(s: Column, i: Column) -> Column:
-            stretch = lambda j: F.ltrim(F.array_join(F.slice(g, i, j - i + 1), ""), F.lit(" -"))
+        stretch = lambda i, j: F.ltrim(F.array_join(F.slice(g, i, j - i + 1), ""), F.lit(" -"))
+
+        def reach(i: Column) -> Column:
             ends = F.sequence(F.least(F.size(g), i + most - 1), i, F.lit(-1))
-            far = F.try_element_at(F.filter(ends, lambda j: _valid_run(kind, stretch(j))), F.lit(1))
+            return F.try_element_at(F.filter(ends, lambda j: _valid_run(kind, stretch(i, j))), F.lit(1))
+
+        def step(s: Column, x: Column) -> Column:
+            return F.when(x["i"] > s["last"], F.struct(x["j"].alias("last"), F.concat(s["out"], F.array(x)).alias("out"))).otherwise(s)
 
-            def moved(j: Column) -> Column:
-                before = F.concat(s["rest"], F.regexp_extract(F.element_at(g, i), "^[ -]", 0))
-                found = F.struct((j + 1).alias("at"), F.lit("").alias("rest"), F.concat(s["out"], F.array(_piece(before, REST), _piece(stretch(j), VALUE))).alias("out"))
-                return F.when(j.isNull(), F.struct(s["at"].alias("at"), F.concat(s["rest"], F.element_at(g, i)).alias("rest"), s["out"].alias("out"))).otherwise(found)
+        def woven(c: Column) -> Column:
+            def around(k: Column) -> Column:
+                last, now = F.coalesce(F.get(c["j"], k - 1), F.lit(0)), F.get(c, k)
+                between = F.array_join(F.slice(g, last + 1, F.coalesce(now["i"], F.size(g) + 1) - last - 1), "")
+                mark = F.regexp_extract(F.element_at(g, now["i"]), "^[ -]", 0)
+                found = F.array(_piece(F.concat(between, mark), rest=True), _piece(stretch(now["i"], now["j"]), F.lit(kind)))
+                return F.when(now.isNull(), F.array(_piece(between, rest=True))).otherwise(found)
 
-            return F.when(s["at"] > i, s).otherwise(let(far, moved))
+            return F.flatten(F.transform(F.sequence(F.lit(0), F.size(c)), around))
 
-        start = F.struct(F.lit(1).alias("at"), F.lit("").alias("rest"), F.array().cast("array<struct<old:string,what:int>>").alias("out"))
-        return F.aggregate(F.sequence(F.lit(1), F.size(g)), start, step, lambda s: F.concat(s["out"], F.array(_piece(s["rest"], REST))))
+        far = F.filter(F.transform(g, lambda _, i: F.struct((i + 1).alias("i"), reach(i + 1).alias("j"))), lambda x: x["j"].isNotNull())
+        start = F.struct(F.lit(0).alias("last"), F.array().cast("array<struct<i:int,j:int>>").alias("out"))
+        return let(F.aggregate(far, start, step, lambda s: s["out"]), woven)
 
     return let(F.regexp_extract_all(m, F.lit(group), F.lit(0)), parts)
 
@@ -273,28 +286,27 @@ def _woven(between: Column, values: Column) -> Column:
     return F.flatten(F.zip_with(between, values, lambda b, v: F.when(v.isNull(), b).otherwise(F.concat(b, v))))
 
 
-def _searched(text: Column, key: str, kinds: tuple[str, ...]) -> Column:
-    """``text`` in pieces (old, to, rest): values with their pseudonyms, and all else."""
+def _searched(text: Column, kinds: tuple[str, ...]) -> Column:
+    """``text`` in pieces: values of ``kinds``, and all else."""
     def pieces(m: Column) -> Column:
-        out = F.array(_piece(m, VALUE))
+        out = F.array(_piece(m, _kind(m, tuple(k for k in kinds if k not in RUNS))))
         for kind in RUNS:
             if kind in kinds:
                 out = F.when(m.rlike(f"^(?:{PATTERNS[kind]})$"), _within(m, kind)).otherwise(out)
         return out
 
     pattern = "|".join(PATTERNS[k] for k in kinds)
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.array(_piece(g, GAP)))
-    found = _woven(gaps, F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), pieces))
-    return F.transform(found, lambda x: F.struct(x["old"].alias("old"), F.when(x["what"] == VALUE, pseudonym(x["old"], key, kinds)).alias("to"), ((x["what"] == REST) & (x["old"] != "")).alias("rest")))
+    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.array(_piece(g)))
+    return _woven(gaps, F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), pieces))
 
 
-def _searched_again(p: Column, key: str, kinds: tuple[str, ...]) -> Column:
+def _searched_again(p: Column, kinds: tuple[str, ...]) -> Column:
     """The pieces with what lies between values joined and searched for ``kinds``, where a run may have hidden some."""
     mark, own = "\x00\x01", "\x00\x02"
-    shown = F.transform(p, lambda x: F.when(x["to"].isNull(), F.replace(x["old"], F.lit("\x00"), F.lit(own))).otherwise(F.lit(mark)))
-    between = F.transform(F.split(F.array_join(shown, ""), r"\x00\x01", -1), lambda x: _searched(F.replace(x, F.lit(own), F.lit("\x00")), key, kinds))
-    values = F.transform(F.filter(p, lambda x: x["to"].isNotNull()), lambda x: F.array(x))
-    return F.when(F.exists(p, lambda x: x["rest"]), _woven(between, values)).otherwise(p)
+    shown = F.transform(p, lambda x: F.when(x["kind"].isNull(), F.replace(x["old"], F.lit("\x00"), F.lit(own))).otherwise(F.lit(mark)))
+    between = F.transform(F.split(F.array_join(shown, ""), r"\x00\x01", -1), lambda x: _searched(F.replace(x, F.lit(own), F.lit("\x00")), kinds))
+    values = F.transform(F.filter(p, lambda x: x["kind"].isNotNull()), lambda x: F.array(x))
+    return F.when(F.exists(p, lambda x: x["rest"] & (x["old"] != "")), _woven(between, values)).otherwise(p)
 
 
 def protect(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
@@ -310,9 +322,10 @@ def protect(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     text = docs[text_col]
     # Every pattern needs one of these.
     some = text.rlike(r"[0-9][ .-]?[0-9]|@|AKIA|ASIA") | text.rlike("(?i)password|passwd|pwd|token|secret|api.?key")
-    done = docs.select(F.struct(*own).alias("row"), text.alias("text"), F.when(some, _searched(text, key, tuple(PATTERNS))).alias("p"))
+    done = docs.select(F.struct(*own).alias("row"), text.alias("text"), F.when(some, _searched(text, tuple(PATTERNS))).alias("p"))
     for gone in (("iban",), ("iban", "card")):
-        done = done.select("row", "text", _searched_again(F.col("p"), key, tuple(k for k in PATTERNS if k not in gone)).alias("p"))
-    new = F.coalesce(F.array_join(F.transform("p", lambda x: F.coalesce(x["to"]["new"], x["old"])), ""), F.col("text"))
-    kinds = F.coalesce(F.transform(F.filter("p", lambda x: x["to"].isNotNull()), lambda x: x["to"]["kind"]), F.when(F.col("text").isNotNull(), F.array().cast("array<string>")))
+        done = done.select("row", "text", _searched_again(F.col("p"), tuple(k for k in PATTERNS if k not in gone)).alias("p"))
+    shown = F.transform("p", lambda x: F.coalesce(pseudonym(x["old"], x["kind"], key), x["old"]))
+    new = F.coalesce(F.array_join(shown, ""), F.col("text"))
+    kinds = F.coalesce(F.filter(F.col("p.kind"), lambda k: k.isNotNull()), F.when(F.col("text").isNotNull(), F.array().cast("array<string>")))
     return done.select(*(new.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in own), kinds.alias("pii_found"))
