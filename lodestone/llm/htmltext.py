@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -29,25 +31,112 @@ BLOCKS = (
 BESIDE = "ad ads advert advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice pagination popup promo related replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
 
-_RAW = "|".join(RAW)
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({_RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I)
-_NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?:[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
-_BESIDE, _BLOCKS, _ASIDE, _CORE, _VOID = map(frozenset, (BESIDE, BLOCKS, ASIDE, CORE, VOID))
+#: An attribute: its name, and a value in quotes or without.  Quotes elsewhere are plain characters.
+_ATTRIBUTE = re.compile(r"([^\s=>/][^\s=>/]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?|/(?!>)|\s+|=")
+_BARE = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)>")
+_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+_NONE = re.compile(r"display\s*:\s*none", re.I)
+_BESIDE, _BLOCKS, _ASIDE, _CORE, _VOID, _RAW = map(frozenset, (BESIDE, BLOCKS, ASIDE, CORE, VOID, RAW))
+#: First parts of names that tell of a part that is not there, or elsewhere.
+_WITHOUT = frozenset(("no", "has", "with", "without", "hide"))
+#: Content that is never text, also where the element is left open; other RAW elements are then only tags.
+_CODE = ("script", "style")
 #: Closing one of these elements does not close what is open around them.
 _SCOPES = _ASIDE | _CORE | {"div", "section", "body", "html", "table", "ul", "ol"}
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
-def _beside(attributes: str, first: bool = False) -> bool:
-    """Whether a word of class, id or role says so; with ``first`` only words that begin a name (``comment-7``, not ``has-sidebar``)."""
-    if not attributes or attributes.isspace():
-        return False
-    for found in _NAMES.findall(attributes):
-        names = "".join(found).lower()
-        if not _BESIDE.isdisjoint((re.split(r"[_:-]+", n)[0] for n in names.split()) if first else re.split(r"[\s_:-]+", names)):
-            return True
-    return bool(_HIDDEN.search(attributes))
+def _beside(attributes: dict[str, str], first: bool = False) -> bool:
+    """Whether a part of class, id or role says so (``first``: one that begins a name), or the element is hidden.
+
+    A part after no, has or with tells of something else: ``has-sidebar`` is not beside.
+    """
+    for key in ("class", "id", "role"):
+        for name in attributes.get(key, "").lower().split():
+            for part in re.split(r"[_:-]+", name):
+                if part in _BESIDE:
+                    return True
+                if first or part in _WITHOUT:
+                    break
+    return "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true" or bool(_NONE.search(attributes.get("style", "")))
+
+
+class Token(NamedTuple):
+    """Text (without a name), or a tag; ``end`` for a closing or, with ``</``, an ignored one, ``closed`` for ``<x/>``."""
+
+    text: str
+    name: str = ""
+    end: bool = False
+    closed: bool = False
+    attributes: dict[str, str] = {}  # noqa: RUF012
+
+
+def tokens_of(page: str) -> Iterator[Token]:
+    """The page's texts and tags in order; comments and the content of RAW elements are left out.
+
+    Each place is read a bounded number of times, whatever is left open.  A ``<`` that begins no tag is
+    text, and so is all that follows a tag which never ends.
+    """
+    lower = page.lower()
+    if len(lower) != len(page):  # some letters grow
+        lower = page
+    at, n, missing = 0, len(page), set()
+    while at < n:
+        start = page.find("<", at)
+        if start < 0:
+            yield Token(page[at:])
+            return
+        if start > at:
+            yield Token(page[at:start])
+        bare = _BARE.match(page, start)
+        if bare and (bare[1] or bare[2].lower() not in _RAW):
+            yield Token("", bare[2].lower(), bool(bare[1]))
+            at = bare.end()
+            continue
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = end + 3 if end >= 0 else n
+            continue
+        if page.startswith(("<!", "<?"), start):
+            end = page.find(">", start)
+            at = end + 1 if end >= 0 else n
+            continue
+        closing = page.startswith("</", start)
+        name = _NAME.match(page, start + 1 + closing)
+        if not name and closing:
+            end = page.find(">", start)
+            at = end + 1 if end >= 0 else n
+            continue
+        if not name:
+            yield Token("<")
+            at = start + 1
+            continue
+        attributes: dict[str, str] = {}
+        k = name.end()
+        while k < n and page[k] != ">" and not page.startswith("/>", k):
+            found = _ATTRIBUTE.match(page, k)
+            if not found or found.end() == k:
+                break
+            if found[1]:
+                attributes.setdefault(found[1].lower(), next((g for g in found.groups()[1:] if g is not None), ""))
+            k = found.end()
+        closed = page.startswith("/>", k)
+        if not closed and not page.startswith(">", k):
+            yield Token(page[start:])
+            return
+        at = k + 2 if closed else k + 1
+        tag = name[0].lower()
+        if tag in _RAW and not closing and not closed:
+            end = -1 if tag in missing else lower.find(f"</{tag}", at)
+            if end >= 0:
+                after = page.find(">", end)
+                at = after + 1 if after >= 0 else n
+            else:
+                missing.add(tag)
+                at = n if tag in _CODE else at
+            yield Token(" ")
+            continue
+        yield Token("", tag, closing, closed, attributes)
 
 
 class Line(NamedTuple):
@@ -64,9 +153,12 @@ def lines_of(page: str) -> list[Line]:
     """The page's blocks in order.
 
     The header of an article itself counts as text: headings are part of it.  Headings never count as links.
+    Time is linear in the page: each open element is found by its name and closed once.
     """
     out: list[Line] = []
-    open_: list[tuple[str, bool, int, int]] = []  # element, beside, core, place
+    open_: list[tuple[str, bool, int, int]] = []  # element, and beside, core, place around it
+    places_of: dict[str, list[int]] = defaultdict(list)  # of the open elements of a name
+    scopes: list[int] = []  # places of the open elements that others do not close
     beside = link = heading = plain = False
     core = place = places = 0
     held: list[str] = []
@@ -80,53 +172,50 @@ def lines_of(page: str) -> list[Line]:
             held.clear()
         plain = False
 
-    at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            held.append(page[at : m.start()])
-            plain = plain or not link and not held[-1].isspace()
-        at = m.end()
-        name = (m[3] or "").lower()
+    def close(to: int) -> None:
+        nonlocal beside, core, place
+        while len(open_) > to:
+            name, beside, core, place = open_.pop()
+            places_of[name].pop()
+            if scopes and scopes[-1] == len(open_):
+                scopes.pop()
+
+    for t in tokens_of(page):
+        name = t.name
         if not name:
-            if m[1]:
-                held.append(" ")
+            held.append(t.text)
+            plain = plain or not link and not t.text.isspace()
             continue
         if name == "br":
             held.append(" ")
         if name == "a":
-            link = not m[2]
+            link = not t.end
         if name in _BLOCKS:
             flush()
             if name in _HEADINGS:
-                heading = not m[2]
+                heading = not t.end
         if name in _VOID:
             continue
-        if not m[2]:
-            if m[4].endswith("/"):
-                continue
-            aside = name in _ASIDE and not (name == "header" and core) or name not in ("html", "body", "main") and _beside(m[4], name == "article")
-            if name in _BLOCKS or aside:
+        if t.end:
+            if places_of[name] and (name in _SCOPES or not scopes or scopes[-1] <= places_of[name][-1]):
+                flush()
+                close(places_of[name][-1])
+        elif not t.closed:
+            aside = name in _ASIDE and not (name == "header" and core) or name not in ("html", "body", "main") and _beside(t.attributes, name == "article")
+            if name in _BLOCKS or aside or places_of[name]:
                 if name == "p" and open_ and open_[-1][0] == "p":
-                    _, beside, core, place = open_.pop()
+                    close(len(open_) - 1)
                 if aside and name not in _BLOCKS:
                     flush()
+                places_of[name].append(len(open_))
+                if name in _SCOPES:
+                    scopes.append(len(open_))
                 open_.append((name, beside, core, place))
                 beside = beside or aside
                 if name in _SCOPES:
                     places += 1
                     place = places
                     core = core or place * (name in _CORE)
-        else:
-            for k in range(len(open_) - 1, -1, -1):
-                if open_[k][0] == name:
-                    flush()
-                    _, beside, core, place = open_[k]
-                    del open_[k:]
-                    break
-                if open_[k][0] in _SCOPES and name not in _SCOPES:
-                    break
-    held.append(page[at:] if not page[at:].startswith("<") else "")
-    plain = plain or not link
     flush()
     return out
 

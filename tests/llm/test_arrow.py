@@ -3,7 +3,9 @@
 import hashlib
 import random
 import struct
+import time
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -230,6 +232,94 @@ def test_an_article_is_evidence_and_not_the_rule():
     assert htmltext.text_of(page) == f"Head\n\n{body}\n\nShort."
 
 
+def test_odd_markup_loses_no_text():
+    text = htmltext.text_of
+    assert text("<article><p title=it's>Don't lose this.</p></article>") == "Don't lose this."
+    assert text("<p>One</p>< 5 kg and more text") == text("<p>One<p>< 5 kg and more text") == "One\n\n< 5 kg and more text"
+    assert text("<article><div class='content no-sidebar'><p>In</p><div class='site-cookie-box'>C</div></div></article>") == "In"
+    assert text("<p>a <b and no end") == "a <b and no end" and text("<p>x</ >y<!-->z") == "xy" and text("<p>A<!doctype x>B<?pi ?>C") == "ABC"
+    assert text("<svg>left open<p>Text</p>") == "left open\n\nText" and text("<p>Text</p><script>if (a<b) x()") == "Text"
+    assert text("<p>On</p><div><span class=ad>x <span>y</span> z</span>w</div>") == "On\n\nw"
+    assert text("<P CLASS=AD>x</P><SCRIPT>a</Script >b") == "b" and text("İ<script>x</SCRIPT><p>y") in ("İ", "İ\n\ny")
+
+
+@pytest.mark.parametrize("part", ["<a '", '<a "', "<a x='", '<p x="', "<", "</", "<!--", "<script>", "<svg>", "<li>", "<div>", "<a b=c ", "</b>", "<p", "&amp", "<p><div></p>"])
+def test_time_is_linear_in_the_page(part):
+    def seconds(n):
+        began = time.perf_counter()
+        htmltext.text_of((part + "x ") * (n // (len(part) + 2)))
+        return time.perf_counter() - began
+
+    assert seconds(1_000_000) < 12
+    page = "<p>" + "<li>" * 50_000 + "</b>" * 50_000 + "</p>" * 50_000
+    began = time.perf_counter()
+    htmltext.text_of(page)
+    assert time.perf_counter() - began < 5
+
+
+class Plain(HTMLParser):
+    """Blocks of a page by the standard library's parser: those in <p> or <h1>, whether beside, whether in an article."""
+
+    def __init__(self):
+        super().__init__()
+        self.blocks, self.stack = [], []
+
+    def handle_starttag(self, tag, attrs):
+        self.stack.append((tag, dict(attrs).get("class") in ("menu", "related", "ad")))
+        if tag in ("p", "h1", "li"):
+            self.blocks.append(["", any(b for _, b in self.stack), any(t == "article" for t, _ in self.stack)])
+
+    def handle_endtag(self, tag):
+        self.stack.pop()
+
+    def handle_data(self, data):
+        if self.stack and self.stack[-1][0] in ("p", "h1", "li"):
+            self.blocks[-1][0] += data
+
+
+def plainly(page, window=3, surge=80):
+    """The distribution over those blocks: from the first surge, and what adjoins it, to the dive after the last."""
+    parser = Plain()
+    parser.feed(page)
+    blocks = [(" ".join(t.split()), beside, inside) for t, beside, inside in parser.blocks]
+    sizes = [0 if beside else len(t) for t, beside, _ in blocks]
+
+    def surging():
+        return [k for k in range(len(sizes)) if sum(sizes[k : k + window]) > surge]
+
+    strong = {j for k in surging() for j in range(k, min(k + window, len(sizes))) if sizes[j]} or range(len(sizes))
+    inside = sum(sizes[k] for k in strong if blocks[k][2])
+    if any(x[2] and not x[1] for x in blocks) and 2 * inside >= sum(sizes[k] for k in strong):
+        sizes = [n if blocks[k][2] else 0 for k, n in enumerate(sizes)]
+    found = surging()
+    if not found:
+        return [t for (t, _, _), n in zip(blocks, sizes, strict=True) if n]
+    start, end = found[0], found[-1]
+    while end < len(sizes) and sum(sizes[end : end + window]):
+        end += 1
+    while start and sizes[start - 1]:
+        start -= 1
+    return [blocks[k][0] for k in range(start, min(end, len(sizes))) if sizes[k]]
+
+
+def test_text_is_that_of_a_plain_distribution():
+    """Flat pages, where every block has a parent of its own, so that only windows and articles decide."""
+    r = random.Random(8)
+    decided = 0
+    for _ in range(400):
+        parts = []
+        for _ in range(r.randrange(1, 14)):
+            size = r.choice([2, 4, 15, 60, 200])
+            words = " ".join("word" for _ in range(size // 5 + 1)) + " &amp; it"
+            kind = r.choice(["<section><p>{}</p></section>"] * 6 + ["<div class='menu'><ul><li>{}</li></ul></div>", "<div class='ad'><p>{}</p></div>", "<section></section>", "<article><section><p>{}</p></section></article>"])
+            parts.append(kind.format(words))
+        page = "<body>" + "".join(parts) + "</body>"
+        want = plainly(page)
+        assert htmltext.text_of(page) == "\n\n".join(want), page
+        decided += len(want) < htmltext.text_of(page, surge=10**9).count("\n\n") + 1
+    assert decided > 20
+
+
 def test_extract(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "clash"), (1, "u", PAGE, "clash"), (2, None, None, ""), (None, "v", "<p>" + "x " * 100_000, "")], "page_id long, url string, html string, text string")
     got = htmltext.extract(df).collect()
