@@ -42,7 +42,7 @@ def _rank(key: str, up: str, parent: str) -> str:
     {key}_post AS (SELECT {key}, mean * s + bad AS a, (1 - mean) * s + n - bad AS b FROM {key}_groups, {key}_strength)"""
 
 
-def url_filter(rules: list[urlfilter.Rule], limit: float = 0.25, z: float = 1.645) -> str:
+def url_filter(rules: list[urlfilter.Rule], limit: float = 1.0, z: float = 1.0) -> str:
     ordered = sorted(rules, key=lambda r: (-len(r.text), r.text))
     case = lambda what: "CASE " + " ".join(f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{what(r)}'" for r in ordered) + " END"
     return f"""WITH parsed AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
@@ -52,8 +52,8 @@ def url_filter(rules: list[urlfilter.Rule], limit: float = 0.25, z: float = 1.64
     tops AS (SELECT root, (sum(bad) + 1) / (sum(n) + 2) AS mean FROM hosts GROUP BY root),
     {_rank('suffix', 'root', 'tops')}, suffixes AS (SELECT suffix, a / (a + b) AS mean FROM suffix_post),
     {_rank('domain', 'suffix', 'suffixes')}, domains AS (SELECT domain, a / (a + b) AS mean FROM domain_post),
-    {_rank('host', 'domain', 'domains')}, bounds AS (SELECT host, round(a / (a + b) - {z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))), 9) AS bound FROM host_post)
-    SELECT page_id, host, path, {case(lambda r: r.text)} AS rule, coalesce({case(lambda r: r.verdict)}, CASE WHEN bound > {limit} THEN 'block' ELSE 'allow' END) AS verdict FROM parsed JOIN bounds USING (host)"""
+    {_rank('host', 'domain', 'domains')}, bounds AS (SELECT host, a / (a + b) AS rate, a / (a + b) - {z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS bound, mean AS overall FROM host_post, tops)
+    SELECT page_id, host, path, {case(lambda r: r.text)} AS rule, coalesce({case(lambda r: r.verdict)}, CASE WHEN round(bound, 9) > round({limit} * overall, 9) THEN 'block' ELSE 'allow' END) AS verdict, round(rate, 6) AS bad_rate, round(bound, 6) AS bad_bound FROM parsed JOIN bounds USING (host)"""
 
 
 SUBSTRINGS = f"""WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),

@@ -87,7 +87,7 @@ RULES = [
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes: a page is bad where the label of its number is of low quality or toxic."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("bad"))
-    return urlfilter.judge(table(spark, sf_dir, "pages"), labels, RULES).select("page_id", "host", "path", "rule", "verdict")
+    return urlfilter.judge(table(spark, sf_dir, "pages"), labels, RULES).select("page_id", "host", "path", "rule", "verdict", F.round("bad_rate", 6).alias("bad_rate"), F.round("bad_bound", 6).alias("bad_bound"))
 
 
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Sharding, mixing, quality rules, pseudonyms and URL filters."""
 
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -209,6 +210,56 @@ def test_url_rules_and_reputation(spark):
     assert len(got) == len(pages)
     for k, (_, host, path, rule, verdict) in enumerate(urls):
         assert (got[k].host, got[k].path, got[k].rule, got[k].verdict) == (host, path, rule, verdict), urls[k]
-    assert all(got[100 + k].verdict == "block" for k in range(40)) and all(got[200 + k].verdict == "allow" for k in range(200))
+    assert all(got[100 + k].verdict == "block" for k in range(40)) and len({got[100 + k].bad_bound for k in range(40)}) == 1 and all(got[200 + k].verdict == "allow" for k in range(200))
     none = urlfilter.judge(df, spark.createDataFrame([], "page_id long, bad int"), RULES)
     assert none.count() == len(pages) and urlfilter.judge(df.limit(0), spark.createDataFrame(outcomes, "page_id long, bad int"), RULES).count() == 0
+
+
+def plain_reputations(outcomes, z):
+    """Shrinkage from host to domain to suffix to all, in plain loops: host to (rate, bound), and the rate of all."""
+    counts = {}
+    for host, bad in outcomes:
+        n, b = counts.get(host, (0, 0))
+        counts[host] = (n + (bad is not None), b + (bad or 0))
+    up = {h: (".".join(h.split(".")[-2:]), h.split(".")[-1]) for h in counts}  # no long suffixes here
+    overall = (sum(b for _, b in counts.values()) + 1) / (sum(n for n, _ in counts.values()) + 2)
+
+    def level(groups):
+        known = [(n, b, m) for n, b, m in groups.values() if n]
+        total, noise = sum(n for n, _, _ in known), sum(m * (1 - m) * n for n, _, m in known)
+        between = None
+        if total > len(known):
+            noise /= total
+            between = (sum(n * (b / n - m) ** 2 for n, b, m in known) - noise * len(known)) / (total - len(known))
+        strength = min(max(round(noise / between - 1, 6), 1.0), 1000.0) if between and between > 0 else 1000.0
+        return {g: (m * strength + b, (1 - m) * strength + n - b) for g, (n, b, m) in groups.items()}
+
+    def added(key, mean):
+        out = {}
+        for h, (n, b) in counts.items():
+            g = key(h)
+            old = out.get(g, (0, 0, 0))
+            out[g] = (old[0] + n, old[1] + b, mean(h))
+        return out
+
+    rate = lambda p: p[0] / (p[0] + p[1])
+    suffixes = level(added(lambda h: up[h][1], lambda h: overall))
+    domains = level(added(lambda h: up[h][0], lambda h: rate(suffixes[up[h][1]])))
+    hosts = level(added(lambda h: h, lambda h: rate(domains[up[h][0]])))
+    return {h: (rate((a, b)), rate((a, b)) - z * math.sqrt(a * b / ((a + b) ** 2 * (a + b + 1)))) for h, (a, b) in hosts.items()}, overall
+
+
+def test_reputations_are_those_of_plain_shrinkage(spark):
+    r = random.Random(4)
+    hosts = [(f"{s}.d{d}.{t}", r.random() ** 2) for t in ("aa", "bb", "cc") for d in range(4) for s in "xyz"]
+    outcomes = [(h, int(r.random() < p) if r.random() < 0.7 else None) for h, p in hosts for _ in range(r.randrange(1, 60))] + [("un.labelled.aa", None)] * 3
+    want, overall = plain_reputations(outcomes, 1.0)
+    got = {x.host: x for x in urlfilter.reputations(spark.createDataFrame(outcomes, "host string, bad int")).collect()}
+    assert set(got) == set(want)
+    for h, (rate, bound) in want.items():
+        assert math.isclose(got[h].bad_rate, rate, abs_tol=1e-9) and math.isclose(got[h].bad_bound, bound, abs_tol=1e-9) and math.isclose(got[h].overall, overall)
+    assert 3 < sum(b > overall for _, b in want.values()) < len(want) - 3
+    pages = spark.createDataFrame([(k, f"http://{h}/p") for k, (h, _) in enumerate(outcomes)], "page_id long, url string")
+    labels = spark.createDataFrame([(k, b) for k, (_, b) in enumerate(outcomes) if b is not None], "page_id long, bad int")
+    verdicts = {x.host: x.verdict for x in urlfilter.judge(pages, labels, RULES).collect()}
+    assert verdicts == {h: "block" if round(bound, 9) > round(overall, 9) else "allow" for h, (_, bound) in want.items()}
