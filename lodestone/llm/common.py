@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -18,10 +19,16 @@ ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share.
+
+    Where none is set, a session in one process gets a temporary one; on a cluster that is an error, since
+    every executor would write to a disk of its own.
+    """
     sc = spark.sparkContext
     place = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not place:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="lodestone-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         place = "file://" + folder
@@ -38,9 +45,31 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _held:
+        _held[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables written since each call of outcome that is under way.
+_held: list[list[str]] = []
+
+
+def outcome(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` returns, written; the tables that it cut on the way are deleted then."""
+    _held.append([])
+    try:
+        result = make()
+        tables = _held[-1]
+    finally:
+        _held.pop()
+    written = cut(result, name)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in tables:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+    return written
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

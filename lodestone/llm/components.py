@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, outcome
 
 #: Keys of eight bytes that are broadcast at most: 4 MB, some 20 MB as a hash table.
 BROADCAST_ROWS = 500_000
@@ -22,8 +22,13 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round every node points to the least of itself and its neighbours, pointers are doubled twice,
     and the graph is contracted to what they point to, until no edge is left: a number of rounds that
-    grows with the logarithm of the longest path.  Nothing is collected; each round's tables are written.
+    grows with the logarithm of the longest path.  Nothing is collected; each round's tables are written,
+    and deleted at the end.
     """
+    return outcome(edges.sparkSession, "components", lambda: _components(edges))
+
+
+def _components(edges: DataFrame) -> DataFrame:
     edges = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
     roots = None
     while not edges.isEmpty():

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_map, cut
+from .common import arrow_map, cut, outcome, settle
 from .components import components, matching
 
 SKETCH = 64
@@ -184,15 +184,23 @@ def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def links(nodes: DataFrame, docs: DataFrame, size: int, percent: int, text_col: str) -> DataFrame:
-    """(a, b): links between nodes (nid, text_hash, n_shingles, sketch) that connect all that are similar."""
+    """(a, b): links between nodes (nid, text_hash, n_shingles, sketch) that connect all that are similar.
+
+    What is joined by a value is a written table on either side, so that a value of very many texts is a
+    skewed partition, which adaptive execution splits, and never one task's work.
+    """
+    return outcome(nodes.sparkSession, "links", lambda: _links(nodes, docs, size, percent, text_col))
+
+
+def _links(nodes: DataFrame, docs: DataFrame, size: int, percent: int, text_col: str) -> DataFrame:
     k, shared = SKETCH, least_shared(percent)
     n, held = F.col("n_shingles"), F.size("sketch")
     # what a sketch shares with any similar text's, from the sizes both can have
     exact = F.ceil(n * percent / 100)
     needed = F.when(n * 100 <= k * percent, exact).when(n <= k, F.least(exact, F.lit(shared))).otherwise(shared)
     values = nodes.select("nid", F.explode("sketch").alias("value"))
-    lists = Window.partitionBy("value")
-    postings = cut(values.withColumn("df", F.count("*").over(lists)).where("df > 1"), "postings")
+    lists = cut(values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "lists")
+    postings = cut(values.join(lists, "value"), "postings")
 
     # a node's rarest values: those that no other has come first, so their number shifts the places
     own = postings.join(nodes.select("nid", "n_shingles", held.alias("held"), needed.alias("needed")), "nid")
@@ -216,7 +224,7 @@ def links(nodes: DataFrame, docs: DataFrame, size: int, percent: int, text_col:
     pairs = pairs.join(sketch_a, "a").join(sketch_b, "b").where(likely).select("a", "b")
 
     long_lists = ranked.where(F.col("df") > SHORT)
-    leaders = long_lists.groupBy("value").agg(F.max(F.struct("hot", -F.col("nid"))).alias("lead")).select("value", (-F.col("lead.col2")).alias("a"))
+    leaders = cut(long_lists.groupBy("value").agg(F.max(F.struct("hot", -F.col("nid"))).alias("lead")).select("value", (-F.col("lead.col2")).alias("a")), "leaders")
     families = long_lists.where("rare").join(leaders, "value").select("a", F.col("nid").alias("b"))
     pairs = cut(pairs.unionByName(families).distinct(), "pairs")
     members = cut(families.select(F.col("b").alias("nid")).distinct(), "members")
@@ -229,10 +237,10 @@ def links(nodes: DataFrame, docs: DataFrame, size: int, percent: int, text_col:
     entries = _rare_first(texts.join(members, "nid", "left_semi"), size, percent, max(16, held_all // BUCKET))
     entries = cut(entries.join(roots.select(F.col("node").alias("nid"), "root"), "nid", "left").withColumn("root", F.coalesce("root", "nid")), "entries")
     # a list whose texts are all connected, or whose sizes no entry can reach, need not be paired
-    spread = entries.groupBy("value").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("n").alias("least")).where("r0 != r1").drop("r0", "r1")
+    spread = cut(entries.groupBy("value").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("n").alias("least")).where("r0 != r1").drop("r0", "r1"), "spread")
     open_ = entries.join(spread, "value")
     reach = (F.col("n") - F.col("i")) * (100 + percent) - F.col("n") * percent  # at least percent times the other's size
-    open_ = open_.where(reach >= F.col("least") * percent)
+    open_ = cut(open_.where(reach >= F.col("least") * percent), "open")
     small = open_.where(reach >= F.col("n") * percent)  # what the smaller of two needs
     b, a = (x.select("value", F.col("nid").alias(y), F.col("n").alias(f"n_{y}"), F.col("parity").alias(f"parity_{y}"), reach.alias(f"reach_{y}"), F.col("root").alias(f"root_{y}")) for x, y in ((small, "b"), (open_, "a")))
     fits = (F.struct("n_b", "b") < F.struct("n_a", "a")) & (F.col("root_a") != F.col("root_b")) & (F.col("n_b") * 100 >= F.col("n_a") * percent) & (F.col("reach_a") >= F.col("n_b") * percent) & (F.col("reach_b") >= F.col("n_a") * percent)
@@ -243,6 +251,22 @@ def links(nodes: DataFrame, docs: DataFrame, size: int, percent: int, text_col:
     return found.unionByName(more)
 
 
+def _grouped(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text_hash, n_shingles, root (of the group; null without words) and component_id of every row."""
+    settle(docs.sparkSession)
+    rows = cut(signatures(docs, size, id_col, text_col), "signatures")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("first")
+    nodes = rows.where("n_shingles > 0").groupBy("node").agg(first, F.min_by(F.struct("text_hash", "n_shingles", "sketch"), "text_hash").alias("one"))
+    nodes = cut(nodes.select("node", F.col("first.doc_id").alias("first"), "one.*", F.monotonically_increasing_id().alias("nid")), "nodes")
+    roots = components(links(nodes, docs, size, percent, text_col))
+    ids = nodes.select("node", "nid", "first").join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
+    least = ids.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = ids.join(least, "root").select("node", "root", "component_id")
+    out = rows.select("doc_id", "text_hash", "n_shingles", "node").join(named, "node", "left")
+    component: Column = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "text_hash", "n_shingles", "root", component.alias("component_id"))
+
+
 def cluster(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row's group of near-duplicates.
 
@@ -254,20 +278,23 @@ def cluster(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "do
     never counts as least unless a group has no other; then component_id is null and the rows are kept.
     An empty table gives an empty one; other columns are ignored.
     """
-    rows = cut(signatures(docs, size, id_col, text_col), "signatures")
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("first")
-    nodes = rows.where("n_shingles > 0").groupBy("node").agg(first, F.min_by(F.struct("text_hash", "n_shingles", "sketch"), "text_hash").alias("one"))
-    nodes = cut(nodes.select("node", F.col("first.doc_id").alias("first"), "one.*", F.monotonically_increasing_id().alias("nid")), "nodes")
-    roots = components(links(nodes, docs, size, percent, text_col))
-    ids = nodes.select("node", "nid", "first").join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
-    least = ids.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = ids.join(least, "root").select("node", "component_id")
-    out = rows.select("doc_id", "n_shingles", "node").join(named, "node", "left")
-    component: Column = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select(F.col("doc_id").alias(id_col), "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    out = _grouped(docs, size, percent, id_col, text_col)
+    return out.select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are kept, in its columns."""
-    kept = cluster(docs, size, percent, id_col, text_col).where("kept").select(F.col(id_col).alias("kept id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["kept id"]), "left_semi")
+    """One row of each group of :func:`cluster`, in the columns of ``docs``.
+
+    It has the group's least id; where that id has several texts, the one with the least hash, and of rows
+    that repeat id and text one stays.  Rows without words stay, once for each id and text.  Only rows that
+    repeat are shuffled with their texts beyond the join with what stays.
+    """
+    rows = _grouped(docs, size, percent, id_col, text_col).where(F.col("component_id").eqNullSafe(F.col("doc_id")))
+    keys = rows.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("times"))
+    best = keys.where("root is not null").groupBy("root").agg(F.min(F.struct("text_hash", "doc_id", "times")).alias("one")).select("one.*")
+    kept = cut(keys.where("root is null").select("text_hash", "doc_id", "times").unionByName(best).withColumnRenamed("doc_id", "kept id"), "kept")
+    mine = lambda some: docs.join(some, docs[id_col].eqNullSafe(some["kept id"]) & (F.xxhash64(docs[text_col]) == some["text_hash"]), "left_semi")
+    again = kept.where("times > 1")
+    if again.isEmpty():
+        return mine(kept)
+    return mine(kept.where("times = 1")).unionByName(mine(again).dropDuplicates([id_col, text_col]))
