@@ -29,14 +29,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from .common import arrow_map, cut
 from .components import matching
 
 WINDOW = 20
 GRAM = 6
-GROUP = 4_000
+GROUP = 1_000
 #: Words of one text whose stretches share a salt.
 REACH = 4_096
 #: Word counts of the prefixes by which a group's suffixes are split.
@@ -101,7 +102,9 @@ def _signatures(rows: DataFrame) -> DataFrame:
 
 def _stretches(texts: DataFrame) -> DataFrame:
     """Of (nid, rank, tie, values, parts, text): a row for each anchor among ``values``, with the words of all
-    windows that have it, from the first such window's start, and a salt where its group has several parts."""
+    windows that have it, from the first such window's start, and a salt where its group has several parts.
+    ``rank`` is an id of any type that has an order."""
+    kind = dict(texts.dtypes)["rank"]
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         nid, rank, tie, values, parts, text = (batch.column(k).to_pylist() for k in range(6))
@@ -118,10 +121,10 @@ def _stretches(texts: DataFrame) -> DataFrame:
                     salt = 0 if split == 1 else 1 + xxhash.xxh64_intdigest(f"{nid[k]} {a // REACH}") % split
                     for column, x in zip(out, (value, salt, nid[k], rank[k], tie[k], a, b" ".join(words[a : b + WINDOW - 1])), strict=True):
                         column.append(x)
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        kinds = (pa.int64(), pa.int32(), pa.int64(), batch.schema.field(1).type, pa.int64(), pa.int32(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["value", "salt", "nid", "rank", "tie", "start", "words"])
 
-    return arrow_map(texts, each, "value long, salt int, nid long, rank long, tie long, start int, words binary", 500)
+    return arrow_map(texts, each, f"value long, salt int, nid long, rank {kind}, tie long, start int, words binary", 500)
 
 
 def deep_nodes(suffixes: list[tuple], depth: int = 0) -> Iterator[list[tuple]]:
@@ -142,8 +145,15 @@ def deep_nodes(suffixes: list[tuple], depth: int = 0) -> Iterator[list[tuple]]:
                 yield from deep_nodes(branch, depth + 1)
 
 
+def _earliest(s: tuple) -> tuple:
+    """How suffixes (words, place, rank, tie, start, ...) are ordered: by id, null last."""
+    return (s[2] is None, *s[2:5])
+
+
 def _repeats(stretches: DataFrame) -> DataFrame:
     """nid, starts of repeats; from split groups also windows that are first there, with a digest of their words."""
+    rank: DataType = stretches.schema["rank"].dataType
+    own = to_arrow_type(rank)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
@@ -153,7 +163,7 @@ def _repeats(stretches: DataFrame) -> DataFrame:
         out: list[list] = [[], [], [], [], []]
 
         def made() -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary())
+            kinds = (pa.int64(), own, pa.int64(), pa.list_(pa.int32()), pa.binary())
             batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["nid", "rank", "tie", "starts", "digest"])
             for c in out:
                 c.clear()
@@ -166,7 +176,7 @@ def _repeats(stretches: DataFrame) -> DataFrame:
                 suffixes += [(words, k, rank, tie, start + k, nid) for k in range(len(words) - WINDOW + 1)]
             lone = not salt  # 0: the group is whole
             for node in deep_nodes(suffixes) if lone else _with_single(suffixes):
-                first = min(node, key=lambda s: s[2:])
+                first = min(node, key=_earliest)
                 for s in node:
                     if s is not first:
                         gone[s[5]].append(s[4])
@@ -180,7 +190,7 @@ def _repeats(stretches: DataFrame) -> DataFrame:
                 yield made()
         yield made()
 
-    return stretches.mapInArrow(run, "nid long, rank long, tie long, starts array<int>, digest binary")
+    return stretches.mapInArrow(run, f"nid long, rank {rank.simpleString()}, tie long, starts array<int>, digest binary")
 
 
 def _with_single(suffixes: list[tuple]) -> list[list[tuple]]:
@@ -218,7 +228,8 @@ def _spans(texts: DataFrame, kind: str) -> DataFrame:
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row's words without those in windows of WINDOW words that start earlier too.
 
-    Earlier is a smaller id, or an earlier place in the same text; windows are judged on the input.
+    Earlier is a smaller id (of any type that has an order), or an earlier place in the same text; windows
+    are judged on the input.
     Returns id, ``n_words``, ``n_removed`` and ``kept_text`` (words joined by one space).  A null text has no
     words; texts under WINDOW words lose none.  Null ids come last.  Rows with one id are ordered by a hash
     of their text; rows with equal id and text are one document and get the same outcome.  An empty table
@@ -235,20 +246,20 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     nodes = cut(nodes.select("node", "first.*", "own.*", F.monotonically_increasing_id().alias("nid")), "nodes")
 
     # anchors that occur again, here or elsewhere, and the number of parts that their groups need
+    # (both sides are plain tables, so an anchor of very many texts is a skewed partition that can be split)
     postings = nodes.select("nid", F.inline(F.arrays_zip("anchors", "times"))).select("nid", F.col("anchors").alias("value"), "times")
-    shared = postings.withColumn("all", F.sum("times").over(Window.partitionBy("value"))).where(F.col("all") > 1)
+    totals = cut(postings.groupBy("value").agg(F.sum("times").alias("all")).where(F.col("all") > 1), "anchors")
+    shared = postings.join(totals, "value")
     parts = F.ceil(F.col("all") / GROUP).cast("int")
     wanted = shared.groupBy("nid").agg(F.collect_list(F.struct("value", parts.alias("parts"))).alias("at"))
-    # ids order texts; a null one, and the last there is, come after all others
-    rank = F.when(F.col("last"), F.lit((1 << 63) - 1)).otherwise(F.col("doc_id").cast("long"))
-    wanted = cut(wanted.join(nodes, "nid").select("nid", "text_hash", rank.alias("rank"), F.col("row_key").alias("tie"), F.col("at.value").alias("values"), F.col("at.parts").alias("parts")), "wanted")
+    wanted = cut(wanted.join(nodes, "nid").select("nid", "text_hash", F.col("doc_id").alias("rank"), F.col("text_hash").alias("tie"), F.col("at.value").alias("values"), F.col("at.parts").alias("parts")), "wanted")
 
     texts = matching(source.select("text_hash", "text"), wanted.select("text_hash").distinct(), "text_hash")
     texts = texts.groupBy("text_hash").agg(F.first("text").alias("text")).join(wanted, "text_hash").select("nid", "rank", "tie", "values", "parts", "text")
     stretches = _stretches(texts)
     dealt = stretches.repartition("value", "salt").sortWithinPartitions("value", "salt")
     found = cut(_repeats(dealt), "repeats")
-    firsts = found.where(F.col("digest").isNotNull()).select("digest", "nid", F.struct("rank", "tie", F.element_at("starts", 1).alias("start")).alias("at"))
+    firsts = found.where(F.col("digest").isNotNull()).select("digest", "nid", F.struct(F.col("rank").isNull().alias("last"), "rank", "tie", F.element_at("starts", 1).alias("start")).alias("at"))
     earliest = firsts.groupBy("digest").agg(F.min("at").alias("first"))
     late = firsts.join(earliest, "digest").where("at != first").select("nid", F.array("at.start").alias("starts"))
     gone = found.where(F.col("digest").isNull()).select("nid", "starts").unionByName(late).groupBy("nid").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
