@@ -15,6 +15,10 @@ from .common import cut, word_count
 
 #: The offset has this many equally likely values, so sums with it stay exact up to 2**37 documents.
 OFFSETS = 1 << 16
+#: Offsets that are tried for each source.
+DRAWS = 32
+#: Rows of a cell, which one task sorts, where a class has a fiftieth of all rows.
+CELL_ROWS = 100_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0) -> DataFrame:
@@ -44,7 +48,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), mos
 
 
 def copies(docs: DataFrame, text: Column | None = None, id_col: str = "doc_id", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), most: int = 3, seed: int = 0, keep: str | None = None) -> DataFrame:
-    """Every document with its number of copies in the mix.
+    """Every document with its number of copies in the mix: systematic sampling within each source.
 
     Returns id, ``source``, ``size`` (words; none in a null or empty text), ``source_size``, ``target``,
     ``copies`` (0 to ``most``) and, as ``kept``, the column ``keep``.  A source without words has target 0 and no
@@ -54,7 +58,11 @@ def copies(docs: DataFrame, text: Column | None = None, id_col: str = "doc_id",
     The order of the prefix sum is size class (exact below 64 words, then sixteenths of an octave), a
     hash of the row, size, id: neighbours are alike in size, so what a source's documents take stays
     near its target, and no source needs a sort of its own: rows are ranked in cells of a source, class
-    and hash, and the cells' row counts give each cell's first rank.
+    and hash, some CELL_ROWS rows of a large class each, and the cells' row counts give each cell's first rank.
+
+    What a source takes moves with its offset by as much as its longest document has words.  So DRAWS
+    offsets are drawn, the words that each would take are added up in one aggregation, and the offset
+    that comes nearest to the target is the source's.
     """
     size = word_count(F.col("text") if text is None else text)
     step = F.when(F.col("size") < 64, F.col("size")).otherwise(F.floor(16 * F.log2(F.col("size").cast("double"))) - 32)
@@ -62,28 +70,29 @@ def copies(docs: DataFrame, text: Column | None = None, id_col: str = "doc_id",
     rows = cut(
         docs.select(F.col(id_col).alias("id"), name.alias("name"), size.alias("size"), *([F.col(keep).alias("kept")] if keep else []))
         .withColumn("class", step.cast("int"))
-        .withColumn("cell", F.pmod(F.xxhash64("id", "size", F.lit(seed)), F.lit(64)).cast("int")),
+        .withColumn("hash", F.xxhash64("id", "size", F.lit(seed))),
         "mixing",
     )
+    rows = rows.withColumn("cell", F.pmod("hash", F.lit(max(64, rows.count() // (50 * CELL_ROWS)))).cast("int"))
     cells = rows.groupBy("name", "class", "cell").agg(F.count("*").alias("n"), F.sum("size").alias("size_sum"))
     cells = cut(cells, "mixing-cells")
     source = F.when(F.col("name") != "-", F.substring("name", 2, 1 << 30)).alias("source")
     targets = source_targets(cells.groupBy("name").agg(F.sum("size_sum").alias("source_size")).select(source, "source_size"), weights, most)
     targets = targets.withColumn("name", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("-")))
-    offset = (F.pmod(F.xxhash64("name", F.lit(seed + 1)), F.lit(OFFSETS)) + 0.5) / OFFSETS
     first = cells.select("name", "class", "cell", (F.sum("n").over(Window.partitionBy("name").orderBy("class", "cell")) - F.col("n")).alias("first"))
-    plan = (
-        first.join(targets, "name")
-        .withColumn("rate", F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0))
-        .withColumn("offset", offset)
-    )
+    rates = cut(targets.withColumn("rate", F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)), "mixing-rates")
     within = F.row_number().over(Window.partitionBy("name", "class", "cell").orderBy("size", "id"))
     rank = F.col("first") + F.col("within")
-    crossed = F.floor(rank * F.col("rate") + F.col("offset")) - F.floor((rank - 1) * F.col("rate") + F.col("offset"))
+    draw = lambda k: (F.pmod(F.xxhash64("name", F.lit(seed + 1 + k)), F.lit(OFFSETS)) + 0.5) / OFFSETS
+    crossed = lambda offset: F.least(F.floor(rank * F.col("rate") + offset) - F.floor((rank - 1) * F.col("rate") + offset), F.lit(most))
+    slim = rows.select("name", "class", "cell", "size", "id").withColumn("within", within).join(first, ["name", "class", "cell"]).join(rates.select("name", "rate"), "name")
+    taken = slim.groupBy("name").agg(*(F.sum(F.col("size") * crossed(draw(k))).alias(f"taken {k}") for k in range(DRAWS)))
+    tried = F.array(*(F.struct(F.abs(F.col(f"taken {k}") - F.col("target")).alias("off"), F.lit(k).alias("draw"), draw(k).alias("offset")) for k in range(DRAWS)))
+    chosen = cut(taken.join(rates, "name").select("name", "source", "source_size", "target", "rate", F.array_min(tried)["offset"].alias("offset")), "mixing-offsets")
     return (
         rows.withColumn("within", within)
-        .join(plan, ["name", "class", "cell"])
-        .select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", F.least(crossed, F.lit(most)).cast("int").alias("copies"), *(["kept"] if keep else []))
+        .join(first.join(chosen, "name"), ["name", "class", "cell"])
+        .select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", crossed(F.col("offset")).cast("int").alias("copies"), *(["kept"] if keep else []))
     )
 
 
