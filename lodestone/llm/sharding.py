@@ -18,6 +18,10 @@ from pyspark.sql.window import Window
 from .common import cut
 
 
+#: Rows of a block, which one task sorts, and blocks whose first slots are broadcast at most (some 5 MB).
+BLOCK_ROWS, BROADCAST_ROWS = 100_000, 100_000
+
+
 @dataclass(frozen=True)
 class Leaf:
     """A shard with its place in the tree and its weight."""
@@ -69,7 +73,7 @@ def shard_of(key: Column, leaves: list[Leaf], seed: int = 0) -> Column:
     return F.element_at(F.split(leaf, "/"), -1).cast("int")
 
 
-def assign(docs: DataFrame, leaves: list[Leaf], after: list[Leaf] | None = None, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, blocks: int = 256) -> DataFrame:
+def assign(docs: DataFrame, leaves: list[Leaf], after: list[Leaf] | None = None, id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> DataFrame:
     """Place every row and number the rows of each shard.
 
     Returns id, ``size`` (UTF-8 bytes of the text plus 8; a null text has none), ``text_crc32`` (of no
@@ -78,8 +82,8 @@ def assign(docs: DataFrame, leaves: list[Leaf], after: list[Leaf] | None = None,
     repeated ids, null ids included, share one.  An empty table gives an empty one; other columns are
     ignored.
 
-    Slots need no sort of a whole shard: rows are numbered in hashed blocks, and the blocks' row counts,
-    ``len(leaves) * blocks`` rows at most, whatever the input, give each block's first slot.
+    Slots need no sort of a whole shard: rows are numbered in hashed blocks of some BLOCK_ROWS rows each, and
+    the blocks' row counts give each block's first slot.
     """
     key, text = F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))
     placed = cut(
@@ -89,13 +93,15 @@ def assign(docs: DataFrame, leaves: list[Leaf], after: list[Leaf] | None = None,
             F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
             shard_of(key, leaves, seed).alias("shard"),
             (shard_of(key, after, seed) if after else F.lit(None).cast("int")).alias("grown_shard"),
-        ).withColumn("block", F.pmod(F.xxhash64(id_col, "text_crc32", F.lit(seed + 1)), F.lit(blocks)).cast("int")),
+        ).withColumn("hash", F.xxhash64(id_col, "text_crc32", F.lit(seed + 1))),
         "sharding",
     )
+    blocks = max(64, placed.count() // (len(leaves) * BLOCK_ROWS))
+    placed = placed.withColumn("block", F.pmod("hash", F.lit(blocks)).cast("int"))
     first = placed.groupBy("shard", "block").count().withColumn("first", F.sum("count").over(Window.partitionBy("shard").orderBy("block")) - F.col("count")).drop("count")
     within = F.row_number().over(Window.partitionBy("shard", "block").orderBy(id_col, "text_crc32", "size"))
     return (
         placed.withColumn("within", within)
-        .join(F.broadcast(first), ["shard", "block"])
+        .join(F.broadcast(first) if blocks * len(leaves) <= BROADCAST_ROWS else first, ["shard", "block"])
         .select(id_col, "size", "text_crc32", "shard", (F.col("first") + F.col("within") - 1).cast("long").alias("slot"), "grown_shard")
     )
