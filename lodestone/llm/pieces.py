@@ -59,6 +59,12 @@ class PrefixTable:
         automaton.make_automaton()
         self.automaton = automaton
         self.cache, self.pairs, self.known = cache, {}, {}
+        # the rules before merging: no characters replaced, one space put before, all spaces kept
+        for t in ("a", " a", "a  b ", "Ａ①ﬁ", "e\u0301\u00a0\u3000x", "a\n b\t", "\u200bA", "ÅÅ"):
+            if self.encode(t) != sp.encode(t, add_eos=True):
+                raise ValueError(f"the model's normalization is not supported: {t!r}")
+        self.pairs.clear()
+        self.known.clear()
 
     def _spaces(self, n: int) -> list[int]:
         """Encode ``n`` spaces: all their merges have one priority, so the leftmost comes first."""
