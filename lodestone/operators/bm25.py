@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import tokens
+from .store import written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Rows (query, term) that go with the tasks at most (some 10 MB), queries in a matrix, and chunks in a batch.
+BROADCAST_ROWS, BLOCK, BATCH = 200_000, 256, 1_000
 
 
 @dataclass(frozen=True)
@@ -22,24 +29,54 @@ class Index:
     corpus: DataFrame
 
 
+def term_counts(words: Column) -> Column:
+    """(term, tf) of each distinct word: the runs of equal words in their sorted array, so no row leaves its place."""
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.element_at(s, i) != F.get(s, i - 2)))
+        return F.element_at(F.transform(F.array(starts), lambda at: lengths(s, at)), 1)
+
+    def lengths(s: Column, at: Column) -> Column:
+        return F.transform(at, lambda i, k: F.struct(F.element_at(s, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s) + 1) - i).cast("long").alias("tf")))
+
+    return F.when(F.size(words) > 0, F.element_at(F.transform(F.array(F.array_sort(words)), runs), 1))
+
+
 def postings(chunks: DataFrame) -> DataFrame:
+    """A row for each chunk and distinct term; nothing is shuffled."""
     worded = chunks.select("chunk_id", "document_id", "ordinal", tokens(F.col("text")).alias("tokens"))
-    each = worded.select("chunk_id", "document_id", "ordinal", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    return each.groupBy("chunk_id", "document_id", "ordinal", "dl", "term").agg(F.count("*").alias("tf"))
+    return worded.select("chunk_id", "document_id", "ordinal", F.size("tokens").alias("dl"), F.inline(term_counts(F.col("tokens"))))
 
 
-def index(chunks: DataFrame) -> Index:
-    """Statistics over just these chunks: a scope's index is built from the scope's chunks.
+def statistics(chunks: DataFrame) -> DataFrame:
+    """(term, df, total): in how many chunks a term is; the row without a term counts chunks and their words.
+
+    One scan of the chunks and one shuffle of (term, df), combined before it.
+    """
+    words = tokens(F.col("text"))
+    each = chunks.select(F.size(words).alias("dl"), F.array_distinct(words).alias("terms"))
+    # a null term for the chunk itself
+    rows = each.select("dl", F.explode(F.concat("terms", F.array(F.lit(None).cast("string")))).alias("term"))
+    return rows.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("total"))
+
+
+def weighted(counted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """terms (term, df, idf) and corpus (n, avgdl, mean_idf) of :func:`statistics`, best of a written table.
 
     A term in over half of the chunks has a negative idf, which is replaced by a quarter of the mean idf.
     """
-    found = postings(chunks)
-    corpus = chunks.select(F.size(tokens(F.col("text"))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = found.groupBy("term").agg(F.count("tf").alias("df"))  # counted on tf, so that both uses of the postings share one exchange
-    raw = df.join(F.broadcast(corpus.select("n"))).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw").alias("mean_idf"))  # one row, like corpus
+    size = counted.where("term is null").select(F.col("df").alias("n"), (F.col("total") / F.col("df")).alias("avgdl"))  # one row
+    raw = counted.where("term is not null").join(F.broadcast(size.select("n"))).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    mean = raw.agg(F.avg("raw").alias("mean_idf"))  # one row, like size
     terms = raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.col("mean_idf") * EPSILON).otherwise(F.col("raw")).alias("idf"))
-    return Index(found, terms, corpus.join(F.broadcast(mean)))
+    return terms, size.join(F.broadcast(mean))
+
+
+def index(chunks: DataFrame, counted: DataFrame | None = None) -> Index:
+    """Statistics over just these chunks: a scope's index is built from the scope's chunks.
+
+    ``counted`` is what :func:`statistics` gave for them, if it was saved; else it is written now.
+    """
+    return Index(postings(chunks), *weighted(written(statistics(chunks), "statistics") if counted is None else counted))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -47,16 +84,17 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
 
 
+def asked_terms(queries: DataFrame, built: Index) -> DataFrame:
+    """(query_id, term, weight, avgdl): what a term that the corpus has adds to a query's score, but for the chunk's part."""
+    asked = query_terms(queries).join(built.terms, "term").join(F.broadcast(built.corpus.select("avgdl")))  # one row
+    return asked.select("query_id", "term", (F.col("idf") * (K1 + 1) * F.col("times")).alias("weight"), "avgdl")
+
+
 def scores(queries: DataFrame, built: Index) -> DataFrame:
-    """(query_id, chunk_id, document_id, ordinal, score) of all chunks that share a term with the query."""
-    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    asked = query_terms(queries).join(built.terms, "term")
-    return (
-        asked.join(built.postings, "term")
-        .join(F.broadcast(built.corpus))
-        .groupBy("query_id", "chunk_id", "document_id", "ordinal")
-        .agg(F.round(F.sum(weight * F.col("times")), 6).alias("score"))
-    )
+    """(query_id, chunk_id, document_id, ordinal, score) of all chunks that share a term with the query, by joins."""
+    part = F.col("weight") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    found = built.postings.join(asked_terms(queries, built), "term")
+    return found.groupBy("query_id", "chunk_id", "document_id", "ordinal").agg(F.round(F.sum(part), 6).alias("score"))
 
 
 #: Documents sort by number where they have one.
@@ -64,17 +102,87 @@ def corpus_order() -> list:
     return [F.col("document_id").try_cast("long"), F.col("document_id"), F.col("ordinal")]
 
 
+def _matrices(asked: list) -> list[tuple[list, pa.Array, np.ndarray]]:
+    """Blocks of queries: their ids, the terms that they have, and the weights of terms for queries."""
+    names = sorted({r["query_id"] for r in asked})
+    out = []
+    for start in range(0, len(names), BLOCK):
+        place = {q: k for k, q in enumerate(names[start : start + BLOCK])}
+        own = [r for r in asked if r["query_id"] in place]
+        column = {t: k for k, t in enumerate(sorted({r["term"] for r in own}))}
+        weights = np.zeros((len(column), len(place)))
+        for r in own:
+            weights[column[r["term"]], place[r["query_id"]]] = r["weight"]
+        out.append((list(place), pa.array(column, pa.string()), weights))
+    return out
+
+
+def _scored(asked: list, chunks: DataFrame, k: int, query_type: str) -> DataFrame:
+    """(query_id, chunk_id, document_id, ordinal, score): each task's ``k`` best chunks for each query.
+
+    Chunks are counted over the queries' terms alone and multiplied with the weights, a batch at a time; a
+    task holds its best so far, so what is shuffled is ``k`` rows a query and task, whatever the corpus.
+    """
+    avgdl = asked[0]["avgdl"]
+    triples = [(r["query_id"], r["term"], r["weight"]) for r in asked]
+    kinds = [pa.int64() if query_type == "bigint" else pa.string(), pa.string(), pa.string(), pa.int32(), pa.float64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = _matrices([dict(zip(("query_id", "term", "weight"), t, strict=True)) for t in triples])
+        best: dict = {}
+        for whole in batches:
+            for start in range(0, whole.num_rows, BATCH):
+                batch = whole.slice(start, BATCH)
+                n = batch.num_rows
+                lists = batch.column(3)
+                sizes = np.diff(lists.offsets.to_numpy())
+                rows, flat = np.repeat(np.arange(n), sizes), lists.flatten()
+                long = 1 - B + B * sizes / avgdl
+                for names, terms, weights in blocks:
+                    at = pc.fill_null(pc.index_in(flat, value_set=terms), -1).to_numpy()
+                    met = at >= 0
+                    tf = np.bincount(rows[met] * len(terms) + at[met], minlength=n * len(terms)).reshape(n, len(terms)).astype(np.float64)
+                    found = np.round(tf / (tf + K1 * np.maximum(long, 1e-300)[:, None]) @ weights, 6)
+                    shared = found > 0 if (weights >= 0).all() else (tf > 0).astype(np.float64) @ (weights != 0) > 0
+                    for q, name in enumerate(names):
+                        score = np.where(shared[:, q], found[:, q], -np.inf)
+                        least = np.partition(score, -k)[-k] if n > k else -np.inf
+                        near = np.flatnonzero((score >= least) & shared[:, q])
+                        held = best.setdefault(name, [])
+                        if len(held) == k and len(near) and score[near].max() < -held[-1][0]:
+                            continue
+                        for j in near.tolist():
+                            number, doc, ordinal = (batch.column(c)[j].as_py() for c in (4, 1, 2))
+                            held.append((-score[j], number is not None, number or 0, doc, ordinal, batch.column(0)[j].as_py()))
+                        held.sort()
+                        del held[k:]
+        out = [(q, r[5], r[3], r[4], -r[0]) for q, held in best.items() for r in held]
+        columns = list(zip(*out, strict=True)) or [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["query_id", "chunk_id", "document_id", "ordinal", "score"])
+
+    worded = chunks.select("chunk_id", "document_id", F.col("ordinal").cast("int").alias("ordinal"), tokens(F.col("text")).alias("tokens"), F.col("document_id").try_cast("long").alias("number"))
+    return worded.mapInArrow(run, f"query_id {query_type}, chunk_id string, document_id string, ordinal int, score double")
+
+
 def top_k(queries: DataFrame, chunks: DataFrame, k: int = 5, built: Index | None = None) -> DataFrame:
     """The ``k`` best chunks of each query, with ``rank`` from 1; ties in corpus order.
 
     Chunks that share no term score 0 and fill up what is missing: the first ``k`` of the corpus suffice.
+    The terms of a batch of queries go with the tasks, which read the chunks once and shuffle no postings;
+    batches with more than BROADCAST_ROWS of them are joined with the postings by term.
     """
-    some = scores(queries, built or index(chunks))
+    built = built or index(chunks)
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), *corpus_order())
+    best = lambda rows: rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    kind = dict(queries.dtypes)["query_id"]
+    asked = asked_terms(queries, built).limit(BROADCAST_ROWS + 1).collect() if kind in ("bigint", "string") else []
+    few = kind in ("bigint", "string") and len(asked) <= BROADCAST_ROWS
     first = chunks.select("chunk_id", "document_id", "ordinal").orderBy(*corpus_order()).limit(k)
     none = queries.select("query_id").join(F.broadcast(first)).withColumn("score", F.lit(0.0))  # k rows
-    best = some.unionByName(none).groupBy("query_id", "chunk_id", "document_id", "ordinal").agg(F.sum("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), *corpus_order())
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    if few and not asked:
+        return best(none)
+    some = _scored(asked, chunks, k, kind) if few else best(scores(queries, built)).drop("rank")
+    return best(some.unionByName(none).groupBy("query_id", "chunk_id", "document_id", "ordinal").agg(F.sum("score").alias("score")))
 
 
 def stage_confidence(hits: DataFrame) -> DataFrame:

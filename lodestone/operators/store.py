@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -11,7 +17,8 @@ from pyspark.sql.types import StructType
 from .. import schemas
 from ..functions.vectors import hash_embedding
 
-BUCKETS = 64
+#: Documents to a bucket, about, where the table's first writer does not say how many buckets there are.
+BUCKET_DOCUMENTS = 50_000
 TABLES: dict[str, StructType] = {"chunks": schemas.CHUNKS, "concepts": schemas.CONCEPTS, "properties": schemas.PROPERTIES, "relations": schemas.RELATIONS, "cache": schemas.CACHE}
 
 
@@ -34,19 +41,58 @@ def initialize(spark: SparkSession, database: str) -> None:
         spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({columns}) USING parquet")
 
 
-def save_chunks(chunks: DataFrame, path: str) -> None:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary one only in a session of one process."""
+    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not place:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="lodestone-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        place = "file://" + folder
+        spark.sparkContext.setCheckpointDir(place)
+    return place.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: computed once, however often it is used, and cut from its lineage."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def buckets_of(spark: SparkSession, path: str, new: DataFrame) -> int:
+    """How many buckets the table has; for a first writer what its documents ask for, 16 at least, a power of two."""
+    try:
+        return int(spark.read.text(f"{path.rstrip('/')}.buckets").first()[0])
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    n = 16
+    documents = new.select("document_id").distinct().count()
+    while n * BUCKET_DOCUMENTS < documents:
+        n *= 2
+    spark.createDataFrame([(str(n),)], "value string").coalesce(1).write.text(f"{path.rstrip('/')}.buckets")
+    return n
+
+
+def save_chunks(chunks: DataFrame, path: str, buckets: int | None = None) -> None:
     """Replace the documents in ``chunks`` and leave all others.
 
-    Documents are dealt to hashed buckets, one folder each; only the buckets concerned are rewritten.
+    Documents are dealt to hashed buckets, one folder each; only the buckets concerned are rewritten.  A table's
+    first writer fixes their number (``buckets``, or from its documents): it should expect the table's final size.
     """
     spark = chunks.sparkSession
-    new = conformed(chunks, schemas.CHUNKS).withColumn("bucket", F.pmod(F.xxhash64("document_id"), F.lit(BUCKETS)).cast("int"))
+    if buckets:
+        spark.createDataFrame([(str(buckets),)], "value string").coalesce(1).write.mode("ignore").text(f"{path.rstrip('/')}.buckets")
+    n = buckets_of(spark, path, chunks)
+    new = conformed(chunks, schemas.CHUNKS).withColumn("bucket", F.pmod(F.xxhash64("document_id"), F.lit(n)).cast("int"))
     try:
         old = spark.read.schema(new.schema).parquet(path)
         touched = new.select("bucket").distinct()
-        rest = old.join(F.broadcast(touched), "bucket", "left_semi").join(new.select("document_id").distinct(), "document_id", "left_anti").select(*new.columns)  # at most BUCKETS rows
+        rest = old.join(F.broadcast(touched), "bucket", "left_semi").join(new.select("document_id").distinct(), "document_id", "left_anti").select(*new.columns)  # a row a bucket
         new = new.unionByName(rest)
-    except Exception as e:
+    except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
     staged = f"{path.rstrip('/')}.staged"

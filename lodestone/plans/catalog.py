@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scores, text, vectors
-from ..operators import answer, bm25, cache, chunking, evaluate, fusion, knowledge, page_index, sampling, vector
+from ..operators import answer, bm25, cache, chunking, evaluate, fusion, knowledge, page_index, sampling, store, vector
 from ..schemas import CONCEPT_TYPES
 from ..sources import elements
 from . import pipeline, planner
@@ -32,10 +32,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fresh_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.paragraph_chunks(table(spark, sf_dir, "documents"))
 
 
+#: Tables that were made once, by name, input files and session: (schema, path) of what several queries read.
+_saved: dict[tuple, DataFrame] = {}
+
+
+def saved(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table ``name`` over the documents and questions of ``sf_dir``, written by its first reader in this session."""
+    files = tuple(sorted(table(spark, sf_dir, "documents").inputFiles() + table(spark, sf_dir, "benchmark").inputFiles()))
+    key = (spark.sparkContext.applicationId, name, files)
+    if key not in _saved:
+        _saved[key] = store.written(make(), name)
+    return _saved[key]
+
+
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunk table, dealt by document, so that its readers have as many tasks as its writer, however few files came in."""
+    return saved(spark, sf_dir, "chunks", lambda: chunking.paragraph_chunks(table(spark, sf_dir, "documents").repartition("doc_id")))
+
+
+def lexical(spark: SparkSession, sf_dir: str) -> bm25.Index:
+    """The index of all chunks; its statistics are a saved table."""
+    c = chunks(spark, sf_dir)
+    return bm25.index(c, saved(spark, sf_dir, "statistics", lambda: bm25.statistics(c)))
+
+
+def lexical_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best chunks of each question, which all later stages read."""
+    return saved(spark, sf_dir, "hits", lambda: bm25.top_k(asked(spark, sf_dir), chunks(spark, sf_dir), built=lexical(spark, sf_dir)))
+
+
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
@@ -102,7 +131,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY structura
 
 @query(f"WITH {CHUNKS} SELECT document_id, ordinal, chunk_id, source_format, text, element_type, page_number, len(text) AS chars FROM chunks")
 def chunk_paragraphs(spark, sf_dir):
-    return chunks(spark, sf_dir).drop("section_path").withColumn("chars", F.length("text").cast("long"))
+    return fresh_chunks(spark, sf_dir).drop("section_path").withColumn("chars", F.length("text").cast("long"))
 
 
 @query(f"WITH {CHUNKS} SELECT document_id, count(*) AS n_chunks, string_agg(text, chr(10) ORDER BY ordinal) AS text FROM chunks GROUP BY document_id")
@@ -175,27 +204,27 @@ def tokenize_terms(spark, sf_dir):
 
 @query(f"WITH {CHUNKS}, {INDEX} SELECT term, df, round(idf, 6) AS idf FROM terms")
 def term_document_frequency(spark, sf_dir):
-    return bm25.index(chunks(spark, sf_dir)).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+    return lexical(spark, sf_dir).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {CHUNKS}, {INDEX} SELECT n, round(avgdl, 6) AS avgdl, round(m, 6) AS mean_idf FROM corpus, mean")
 def corpus_stats(spark, sf_dir):
-    return bm25.index(chunks(spark, sf_dir)).corpus.select("n", F.round("avgdl", 6).alias("avgdl"), F.round("mean_idf", 6).alias("mean_idf"))
+    return lexical(spark, sf_dir).corpus.select("n", F.round("avgdl", 6).alias("avgdl"), F.round("mean_idf", 6).alias("mean_idf"))
 
 
 @query(f"WITH {BM25} SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM hits")
 def bm25_topk(spark, sf_dir):
-    return bm25.top_k(asked(spark, sf_dir), chunks(spark, sf_dir)).select("query_id", "chunk_id", "score", "rank")
+    return lexical_hits(spark, sf_dir).select("query_id", "chunk_id", "score", "rank")
 
 
 @query(f"WITH {BM25} SELECT query_id, least(1.0, max(score) / 10) AS confidence FROM hits GROUP BY query_id")
 def bm25_confidence(spark, sf_dir):
-    return bm25.stage_confidence(bm25.top_k(asked(spark, sf_dir), chunks(spark, sf_dir)))
+    return bm25.stage_confidence(lexical_hits(spark, sf_dir))
 
 
 def structured(spark, sf_dir):
     c, q = chunks(spark, sf_dir), asked(spark, sf_dir)
-    hits = bm25.top_k(q, c)
+    hits = lexical_hits(spark, sf_dir)
     return page_index.rank(q, hits.select("query_id", "chunk_id").join(c, "chunk_id"))
 
 
@@ -257,7 +286,7 @@ top AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rrf DES
 def fused(spark, sf_dir):
     """BM25 hits fused with their structural order."""
     c, q = chunks(spark, sf_dir), asked(spark, sf_dir)
-    hits = bm25.top_k(q, c)
+    hits = lexical_hits(spark, sf_dir)
     order = page_index.rank(q, hits.select("query_id", "chunk_id").join(c, "chunk_id"))
     top = fusion.rrf([order.select("query_id", "chunk_id", F.col("page_rank").alias("rank")), hits])
     return top.join(q, "query_id").join(c, "chunk_id")
@@ -333,7 +362,8 @@ contexts AS (SELECT query_id, max_by(context, i) AS context FROM fold GROUP BY q
 
 
 def reranked(spark, sf_dir):
-    return fusion.rerank(fused(spark, sf_dir))
+    """The reranked chunks of each question, six at most, which the answer's stages read."""
+    return saved(spark, sf_dir, "reranked", lambda: fusion.rerank(fused(spark, sf_dir)))
 
 
 @query(f"{FOLD} SELECT query_id, context FROM contexts")
@@ -683,7 +713,7 @@ def compression_ratio(spark, sf_dir):
 def known_item(spark, sf_dir):
     """Whether a chunk that holds the query itself is among the five best."""
     c, q = chunks(spark, sf_dir), asked(spark, sf_dir)
-    hits = bm25.top_k(q, c).select("query_id", "chunk_id").join(q, "query_id").join(c.select("chunk_id", "text"), "chunk_id")
+    hits = lexical_hits(spark, sf_dir).select("query_id", "chunk_id").join(q, "query_id").join(c.select("chunk_id", "text"), "chunk_id")
     return hits.groupBy("query_id").agg(F.max(F.contains("text", "query").cast("int")).alias("found"))
 
 

@@ -31,6 +31,21 @@ def test_bm25_by_hand(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
 
 
+def test_both_ways_to_score_agree(spark, monkeypatch):
+    r = random.Random(2)
+    words = [f"w{int(r.random() ** 3 * 60)}" for _ in range(3000)]
+    chunks = chunk_rows(spark, [" ".join(words[k * 9 : k * 9 + 1 + k % 9]) for k in range(300)] + ["", "!!"])
+    q = asking(spark, "w0 w1 w1 w50", "w3", "zz", "w0 w0 w2 w7 w9 w11", "", "w59 w58")
+    monkeypatch.setattr(bm25, "BATCH", 7)
+    monkeypatch.setattr(bm25, "BLOCK", 2)
+    key = lambda df: sorted(map(tuple, df.select("query_id", "chunk_id", "rank", F.round("score", 5)).collect()))
+    few = key(bm25.top_k(q, chunks.repartition(3), 4))
+    monkeypatch.setattr(bm25, "BROADCAST_ROWS", 0)
+    assert few == key(bm25.top_k(q, chunks, 4)) and len(few) == 24
+    counts = bm25.postings(chunk_rows(spark, ["b a b c a b", ""])).collect()
+    assert sorted((x.term, x.tf, x.dl) for x in counts) == [("a", 2, 6), ("b", 3, 6), ("c", 1, 6)]
+
+
 def test_order_of_rows_does_not_matter(spark):
     chunks = chunk_rows(spark, [f"w{k % 5} common w{k % 3}" for k in range(40)])
     q = asking(spark, "w1 common", "w4 w2 w2")
