@@ -40,10 +40,21 @@ def compress(ranked: DataFrame, order: str = "rerank_rank", budget: int = CONTEX
     return ranked.groupBy("query_id").agg(F.aggregate(ordered, start, step, lambda s: F.array_join(s["parts"], "\n\n")).alias("context"))
 
 
-def context_or_raw(query: Column, context: Column, raw: Column) -> Column:
-    """The compressed context, unless it lost an entity of the query that the raw chunks have: then these."""
-    lost = F.exists(query_entities(query), lambda e: F.contains(F.lower(raw), F.lower(e)) & ~F.contains(F.lower(context), F.lower(e)))
-    return F.when(lost, raw).otherwise(context)
+def compress_or_raw(ranked: DataFrame, order: str = "rerank_rank") -> DataFrame:
+    """(query_id, context): the paragraphs of the ranked chunks that hold a query word, or stand alone, without a budget.
+
+    Chunks without one are left out.  Where that leaves nothing, or loses an entity of the query, the
+    context is the chunks' whole texts.
+    """
+    asked = F.transform(F.filter(blank_split(F.col("query")), lambda w: F.length(w) > 3), lambda w: F.lower(w))
+    own = paragraphs(F.col("text"))
+    hits = F.filter(own, lambda p: (F.size(own) == 1) | F.exists(asked, lambda w: F.contains(F.lower(p), w)))
+    each = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col("chunk_id").alias("name"), F.array_join(hits, " ... ").alias("kept"), "text")))
+    shown = lambda rows, what: F.array_join(F.transform(rows, lambda x: F.concat(F.lit("["), x["name"], F.lit("] "), x[what])), "\n\n")
+    made = ranked.groupBy("query_id").agg(F.first("query").alias("asked"), each.alias("own"))
+    made = made.select("query_id", F.col("asked").alias("query"), shown(F.filter("own", lambda x: x["kept"] != ""), "kept").alias("kept"), shown(F.col("own"), "text").alias("raw"))
+    lost = (F.col("kept") == "") | F.exists(query_entities(F.col("query")), lambda e: ~F.contains(F.lower("kept"), F.lower(e)))
+    return made.select("query_id", F.when(lost, F.col("raw")).otherwise(F.col("kept")).alias("context"))
 
 
 def coverage(query: Column, context: Column) -> Column:

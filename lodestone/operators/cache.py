@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import cache_key, scope_hash
-from ..functions.vectors import cosine, doubles
+from . import vector
 
 TTL_SECONDS, LEAST_SIMILAR, LEAST_CONFIDENCE = 86_400, 0.95, 0.50
 
@@ -28,12 +28,15 @@ def exact_hits(queries: DataFrame, cache: DataFrame, now: Column) -> DataFrame:
 def semantic_hits(queries: DataFrame, cache: DataFrame, now: Column, least: float = LEAST_SIMILAR) -> DataFrame:
     """(query_id, payload, similarity): the most similar live entry of the same scope and provider, if similar enough.
 
-    ``queries`` has query_vector and provider.  Entries are joined by scope and provider.
+    ``queries`` has query_vector and provider; ties go to the greatest key, then payload.  Vectors of a scope
+    and provider meet in blocks (:func:`vector.top_k`), so that questions without a scope, mostly the usual
+    ones, are no single task's work.
     """
-    entries = live(cache, now).select("cache_key", "doc_scope_hash", "provider", "payload", doubles(F.col("query_embedding")).alias("v"))
-    pairs = keyed(queries).drop("cache_key").join(entries, ["doc_scope_hash", "provider"]).withColumn("similarity", F.round(cosine(doubles(F.col("query_vector")), F.col("v")), 6))
-    best = pairs.where(F.col("similarity") >= least).groupBy("query_id").agg(F.max(F.struct("similarity", "cache_key", "payload")).alias("best"))
-    return best.select("query_id", "best.payload", "best.similarity")
+    entries = live(cache, now).select(F.struct("cache_key", F.col("payload")).alias("entry"), "doc_scope_hash", "provider", F.col("query_embedding").alias("embedding"))
+    entries = entries.withColumn("id", F.concat("entry.cache_key", F.lit("\x00"), F.coalesce("entry.payload", F.lit(""))))
+    asked = keyed(queries).select("query_id", F.col("query_vector").alias("vector"), "doc_scope_hash", "provider")
+    best = vector.top_k(asked, entries, 1, "embedding", "id", scope=("doc_scope_hash", "provider"), last=True)
+    return best.where(F.col("score") >= least).select("query_id", F.split("id", "\x00", 2)[1].alias("payload"), F.col("score").alias("similarity"))
 
 
 def misses(queries: DataFrame, *hits: DataFrame) -> DataFrame:
@@ -44,7 +47,7 @@ def misses(queries: DataFrame, *hits: DataFrame) -> DataFrame:
 
 def entries(answers: DataFrame, now: Column, ttl: int = TTL_SECONDS) -> DataFrame:
     """What may be written of answers (query, document_ids, query_vector, provider, answer, confidence): sure and found ones."""
-    sure = answers.where((F.col("confidence") >= LEAST_CONFIDENCE) & ~F.col("answer").startswith("NOT_FOUND"))
+    sure = answers.where((F.col("confidence") >= LEAST_CONFIDENCE) & (F.col("answer") != "NOT_FOUND"))
     return keyed(sure).select(
         "cache_key",
         F.col("query_vector").alias("query_embedding"),

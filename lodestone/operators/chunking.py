@@ -8,6 +8,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..functions.text import word_count
 
@@ -92,24 +94,31 @@ def merged_and_split(rows: list[tuple[str, str, str]], least: int, most: int) ->
     return out
 
 
+#: Columns that a resized chunk takes from its first part, where the chunks have them.
+OF_FIRST = ("source_format", "page_number", "section_path", "bounding_box", "location_reference")
+
+
 def resize_chunks(chunks: DataFrame, least: int = 100, most: int = 500) -> DataFrame:
     """Chunks of each document in order, split above ``most`` words and merged while under ``least``.
 
-    A merged chunk keeps its first part's id and is a paragraph; a short last one stays.  One document is in
-    memory at a time.
+    A merged chunk keeps its first part's id, format, page, section and box, and is a paragraph; a short last
+    one stays.  One document is in memory at a time.
     """
-    schema = "document_id string, ordinal int, chunk_id string, text string, element_type string, n_words int"
-    grouped = chunks.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "chunk_id", "text", "element_type"))).alias("rows"))
+    own = [f for f in chunks.schema if f.name in OF_FIRST]
+    schema = StructType([StructField(n, t) for n, t in (("document_id", StringType()), ("ordinal", IntegerType()), ("chunk_id", StringType()), ("text", StringType()), ("element_type", StringType()), ("n_words", IntegerType()))] + [StructField(f.name, f.dataType) for f in own])
+    kinds = [to_arrow_type(f.dataType) for f in schema]
+    grouped = chunks.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "chunk_id", "text", "element_type", F.struct(*(f.name for f in own)).alias("own") if own else F.lit(None).alias("own")))).alias("rows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for doc, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                made = merged_and_split([(r["chunk_id"], r["text"], r["element_type"]) for r in rows], least, most)
-                out += [(doc, k, *m) for k, m in enumerate(made)]
-            kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32())
-            columns = list(zip(*out, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["document_id", "ordinal", "chunk_id", "text", "element_type", "n_words"])
+                first = {r["chunk_id"]: r["own"] or {} for r in rows}
+                for k, made in enumerate(merged_and_split([(r["chunk_id"], r["text"], r["element_type"]) for r in rows], least, most)):
+                    kept = first.get(made[0]) or first.get(made[0].rpartition(":s")[0]) or {}
+                    out.append((doc, k, *made, *(kept.get(f.name) for f in own)))
+            columns = list(zip(*out, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=schema.names)
 
     return grouped.mapInArrow(run, schema)
 

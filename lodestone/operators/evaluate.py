@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.text import EVAL_STOP_WORDS, tokens
 
 
+#: Stretches to a unit of a measured value, a power of two: what one task puts in order.
+STRETCHES = 16
+
+
 def keywords(answer: Column) -> Column:
     return F.array_except(F.array_distinct(tokens(answer)), F.array(*map(F.lit, EVAL_STOP_WORDS)))
 
@@ -34,7 +38,17 @@ def cache_hit_rate(queries: DataFrame, *hits: DataFrame) -> DataFrame:
     for h in hits[1:]:
         found = found.union(h.select("query_id"))
     marked = queries.select("query_id").join(found.distinct().withColumn("hit", F.lit(1.0)), "query_id", "left")
-    return marked.agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("cache_hit_rate"), (1 - F.avg(F.coalesce("hit", F.lit(0.0)))).alias("activation"))
+    return marked.agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("cache_hit_rate"))
+
+
+def activation(answers: DataFrame) -> DataFrame:
+    """One row: the share of answers (fast_path) that did not take the fast path, none without answers."""
+    return answers.agg(F.coalesce(1 - F.sum(F.col("fast_path").cast("int")) / F.count("*"), F.lit(0.0)).alias("activation"), F.count("*").alias("n_queries"))
+
+
+def provider_counters(calls: DataFrame) -> DataFrame:
+    """Per provider the number of calls (provider, ms), their time, and the mean time of a call."""
+    return calls.groupBy("provider").agg(F.count("*").alias("calls"), F.round(F.sum("ms"), 4).alias("total_ms"), F.round(F.avg("ms"), 4).alias("mean_ms"))
 
 
 def per_query(ranked: DataFrame) -> DataFrame:
@@ -60,12 +74,22 @@ def means(metrics: DataFrame) -> DataFrame:
 
 
 def latency(events: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Mean and the 95th percentile as the value at place int(0.95 n), from 0, by a rank instead of a list."""
+    """Mean and the 95th percentile as the value at place int(0.95 n), from 0.
+
+    Equal values are counted first and summed up in stretches; only the distinct values of the one stretch
+    that holds the place are put in order, so no task sorts all events of a group.
+    """
     from pyspark.sql.window import Window
 
-    own = Window.partitionBy(*by)
-    placed = events.withColumn("place", F.row_number().over(own.orderBy(value)) - 1).withColumn("n", F.count("*").over(own))
-    return placed.groupBy(*by).agg(F.round(F.avg(value), 4).alias("mean"), F.max(F.when(F.col("place") == F.floor(F.col("n") * 0.95), F.col(value))).alias("p95"))
+    counts = events.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("value")).agg(F.count("*").alias("times"))
+    counts = counts.withColumn("stretch", F.floor(F.col("value") * STRETCHES))
+    ends = Window.partitionBy(*by).orderBy("stretch")
+    stretches = counts.groupBy(*by, "stretch").agg(F.sum("times").alias("held"), F.sum(F.col("value") * F.col("times")).alias("sum"))
+    placed = stretches.withColumn("before", F.sum("held").over(ends) - F.col("held")).withColumn("n", F.sum("held").over(Window.partitionBy(*by))).withColumn("sum", F.sum("sum").over(Window.partitionBy(*by)))
+    wanted = F.floor(F.col("n") * 0.95)
+    one = placed.where((F.col("before") <= wanted) & (wanted < F.col("before") + F.col("held"))).select(*by, "stretch", "before", "n", "sum")
+    near = counts.join(one, [*by, "stretch"]).withColumn("upto", F.col("before") + F.sum("times").over(Window.partitionBy(*by).orderBy("value")))
+    return near.groupBy(*by).agg(F.round(F.first("sum") / F.first("n"), 4).alias("mean"), F.min(F.when(F.col("upto") > wanted, F.col("value"))).alias("p95"))
 
 
 def mean_positive(rows: DataFrame, by: list[str], value: str) -> DataFrame:

@@ -13,6 +13,8 @@ from ..schemas import CONCEPT_TYPES
 
 #: Verbs by relation type.
 VERBS = {"CAUSES": "causes|leads to|results in", "DEPENDS_ON": "depends on|relies on|requires", "AFFECTS": "affects|impacts|influences"}
+#: Names that are folded, or put into a pattern, on the driver at most.
+MOST_NAMES = 20_000
 MAX_HOPS, MAX_ROWS, MIN_WEIGHT = 2, 40, 0.3
 
 
@@ -34,13 +36,25 @@ def extract_properties(chunks: DataFrame, strict: bool = False) -> DataFrame:
     )
 
 
+def few(names: list[str]) -> list[str]:
+    """``names``, unless they are too many for a fold or a pattern on the driver."""
+    if len(names) > MOST_NAMES:
+        raise ValueError(f"{len(names)} names; at most {MOST_NAMES} are folded on the driver")
+    return names
+
+
+def _cosine(a: list[float], b: list[float]) -> float:
+    size = sum(x * x for x in a) ** 0.5 * sum(x * x for x in b) ** 0.5
+    return sum(x * y for x, y in zip(a, b, strict=True)) / size if size else 0.0
+
+
 def extract_relations(chunks: DataFrame, concepts: list[str]) -> DataFrame:
     """Concept, verb, concept within a chunk, up to three words around the verb; the longest names first.
 
-    ``concepts`` is a list for a pattern, so it has to be one that fits the driver.
+    ``concepts`` is a list for a pattern, MOST_NAMES at most.
     """
     out = None
-    names = "|".join(re.escape(c) for c in sorted(concepts, key=lambda c: (-len(c), c)))
+    names = "|".join(re.escape(c) for c in sorted(few(concepts), key=lambda c: (-len(c), c)))
     for kind, verbs in VERBS.items():
         pattern = rf"(?iU)({names})\s+(?:\w+\s+){{0,3}}(?:{verbs})\s+(?:\w+\s+){{0,3}}({names})"
         both = F.arrays_zip(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)).alias("from_concept"), F.regexp_extract_all("text", F.lit(pattern), F.lit(2)).alias("to_concept"))
@@ -50,21 +64,30 @@ def extract_relations(chunks: DataFrame, concepts: list[str]) -> DataFrame:
     return kept.select("from_concept", "to_concept", "relation_type", F.lit(0.6).alias("relation_weight"), "source_chunk_id", F.lit(True).alias("low_confidence"), F.lit("tier1.5_regex").alias("extraction_tier"))
 
 
+def cluster_first(spark: SparkSession, names: list[str], embed: Callable[[str], list[float]], merge: float = 0.92) -> DataFrame:
+    """Names joined, in sorted order, to the first cluster whose first name is similar enough; else they open one."""
+    heads: list[tuple[str, list[float]]] = []
+    rows = []
+    for name in few(sorted(set(names))):
+        vector = embed(name)
+        at = next((h for h, v in heads if _cosine(vector, v) >= merge), None)
+        if at is None:
+            heads.append((name, vector))
+        rows.append((name, at or name))
+    return spark.createDataFrame(rows, "name string, canonical string")
+
+
 def cluster_names(spark: SparkSession, names: list[str], embed: Callable[[str], list[float]], merge: float = 0.92, review: float = 0.85) -> DataFrame:
     """Names joined greedily, in sorted order, to the cluster whose first name is most similar.
 
     From ``merge`` on they join; between ``review`` and it they join with low confidence; below, a new
-    cluster opens, marked for review.  The fold runs on the driver, over names that fit it.
+    cluster opens, marked for review.  The fold runs on the driver, over MOST_NAMES names at most.
     """
-    def cosine(a: list[float], b: list[float]) -> float:
-        size = sum(x * x for x in a) ** 0.5 * sum(x * x for x in b) ** 0.5
-        return sum(x * y for x, y in zip(a, b, strict=True)) / size if size else 0.0
-
     heads: list[tuple[str, list[float]]] = []
     rows = []
-    for name in sorted(set(names)):
+    for name in few(sorted(set(names))):
         vector = embed(name)
-        best, at = max(((cosine(vector, v), -k) for k, (_, v) in enumerate(heads)), default=(-1.0, 0))
+        best, at = max(((_cosine(vector, v), -k) for k, (_, v) in enumerate(heads)), default=(-1.0, 0))
         if best >= review:
             rows.append((name, heads[-at][0], best < merge, False))
         else:
@@ -81,6 +104,12 @@ def lookup(queries: DataFrame, concepts: DataFrame, properties: DataFrame) -> Da
     return found.select("query_id", F.col("name").alias("concept"), "property_name", "property_value", "source_chunk_id", "confidence")
 
 
+def starts(queries: DataFrame, concepts: DataFrame) -> DataFrame:
+    """(query_id, concept_id): the concepts whose names a query holds as entities, where its walk begins."""
+    named = queries.select("query_id", F.explode(entities(F.col("query"))).alias("name"))
+    return named.join(concepts.select(F.col("id").alias("concept_id"), "name"), "name").select("query_id", "concept_id").distinct()
+
+
 def walk(starts: DataFrame, relations: DataFrame, hops: int = MAX_HOPS, rows: int | None = MAX_ROWS, least: float = MIN_WEIGHT) -> DataFrame:
     """Nodes within ``hops`` edges of weight ``least`` or more from each start (query_id, concept_id).
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions.scores import clamp
@@ -15,8 +17,8 @@ from ..functions.vectors import dot, doubles, l2_normalized
 
 #: The two vector columns; a plan reads exactly one.
 COLUMNS = ("embedding_fast", "embedding_full")
-#: Query vectors in one block at most, which goes with the tasks: 8 MB at 1024 dimensions.
-BLOCK = 1000
+#: Vectors of a group and queries of a block, about: 64 and 8 MB as doubles at 1024 dimensions, and as much for their products.
+GROUP, BLOCK = 8_192, 1_024
 
 
 def column_for(fast: bool) -> str:
@@ -31,46 +33,53 @@ def scoped(chunks: DataFrame, document_ids: list[str] | None = None, pages: list
     return chunks
 
 
-def _block_best(own: DataFrame, block: list, k: int, exclude_self: bool) -> DataFrame:
-    """(query_id, id, score) of the ``k`` best of each Arrow batch for each query of the block: a matrix product."""
-    names = [r["query_id"] for r in block]
-    matrix = np.array([r["vector"] for r in block], dtype=np.float64)
-    matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-    kinds = dict(own.dtypes)
-    name_type = pa.int64() if isinstance(names[0], int) else pa.string()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = np.array(batch.column(0).to_pylist(), dtype=object if kinds["id"] == "string" else None)
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            own_rows = flat.reshape(batch.num_rows, -1)
-            own_rows = own_rows / np.maximum(np.linalg.norm(own_rows, axis=1, keepdims=True), 1e-300)
-            found = np.round(own_rows @ matrix.T, 6)
-            rows: list[tuple] = []
-            for q, name in enumerate(names):
-                s = found[:, q]
-                if exclude_self:
-                    s = np.where(ids == name, -np.inf, s)
+def _group_best(k: int, exclude_self: bool, last: bool, kinds: list[pa.DataType]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Of a group of vectors (id, v) and a block of queries (query_id, q) the ``k`` best of the group for each query."""
+
+    def unit(table: pa.Table, name: str) -> np.ndarray:
+        flat = table.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(table.num_rows, -1)
+        return flat / np.maximum(np.linalg.norm(flat, axis=1, keepdims=True), 1e-300)
+
+    def best(vectors: pa.Table, queries: pa.Table) -> pa.Table:
+        out: tuple[list, list, list] = ([], [], [])
+        if vectors.num_rows and queries.num_rows:
+            vectors = vectors.sort_by([("id", "descending" if last else "ascending")])
+            ids, names = vectors.column("id").to_pylist(), queries.column("query_id").to_pylist()
+            place = {x: j for j, x in enumerate(ids)} if exclude_self else {}
+            found = np.round(unit(queries, "q") @ unit(vectors, "v").T, 6)
+            for name, s in zip(names, found, strict=True):
+                if name in place:
+                    s[place[name]] = -np.inf
                 least = np.partition(s, -k)[-k] if len(s) > k else -np.inf
                 near = np.flatnonzero((s >= least) & (s > -np.inf))
-                rows += [(name, ids[j], s[j]) for j in sorted(near, key=lambda j: (-s[j], ids[j]))[:k]]
-            q, i, s = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(q, name_type), pa.array(i, batch.schema.field(0).type), pa.array(s, pa.float64())], ["query_id", "id", "score"])
+                near = near[np.argsort(-s[near], kind="stable")][:k]  # ties by id, as sorted
+                out[0].extend([name] * len(near))
+                out[1].extend(ids[j] for j in near)
+                out[2].extend(s[near].tolist())
+        return pa.table([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["query_id", "id", "score"])
+
+    return best
 
-    return own.mapInArrow(run, f"query_id {'long' if name_type == pa.int64() else 'string'}, id {kinds['id']}, score double")
 
+def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, column: str = "embedding_full", id_col: str = "chunk_id", candidates: DataFrame | None = None, exclude_self: bool = False, scope: tuple[str, ...] = (), last: bool = False) -> DataFrame:
+    """(query_id, id, score, rank): the ``k`` vectors with the largest cosine for each query; ties by id (``last``: the greatest first).
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, column: str = "embedding_full", id_col: str = "chunk_id", candidates: DataFrame | None = None, exclude_self: bool = False) -> DataFrame:
-    """(query_id, id, score, rank): the ``k`` vectors with the largest cosine for each query; ties by id.
+    ``queries`` has query_id and ``vector``; all vectors have one length.  With ``scope``, columns of both
+    tables, a query meets the vectors with equal scopes only.  With ``candidates`` (query_id, id) only those
+    few are compared, by equi joins.
 
-    ``queries`` has query_id (a string or an integer) and ``vector``; all vectors have one length.  With
-    ``candidates`` (query_id, id) only those are compared, by equi joins.  Otherwise all vectors meet the
-    queries block by block, in matrix products, and each batch of vectors hands on its ``k`` best for each
-    query, so what is shuffled does not grow with the vectors' length.
+    Otherwise vectors are dealt by a hash to groups of some GROUP rows, queries to blocks of some BLOCK, and
+    every block meets every group in one matrix product, in a task of its own, which hands on ``k`` rows a
+    query.  So a task's memory is bounded, a scope with most vectors is many groups, nothing passes through
+    the driver, and nothing runs while the plan is built.  How many groups and blocks a scope has is counted
+    within the plan, a row a scope.
     """
     if column not in (*COLUMNS, "embedding"):
         raise ValueError(f"unknown vector column {column}")
-    own = vectors.where(F.col(column).isNotNull()).select(F.col(id_col).alias("id"), F.col(column).alias("v"))
+    at = [f"scope {j}" for j in range(len(scope))]
+    scoped_by = [F.col(c).alias(a) for c, a in zip(scope, at, strict=True)]
+    own = vectors.where(F.col(column).isNotNull()).select(F.col(id_col).alias("id"), F.col(column).alias("v"), *scoped_by)
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id").desc() if last else F.col("id"))
     if candidates is not None:
         unit = lambda c: l2_normalized(doubles(F.col(c)))
         asked = queries.select("query_id", unit("vector").alias("q"))
@@ -78,14 +87,22 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, column: str = "emb
         if exclude_self:
             pairs = pairs.where(F.col("query_id") != F.col("id"))
     else:
-        pairs, block = own.sparkSession.createDataFrame([], f"query_id {dict(queries.dtypes)['query_id']}, id {dict(own.dtypes)['id']}, score double"), []
-        for row in queries.select("query_id", doubles(F.col("vector")).alias("vector")).toLocalIterator():
-            block.append(row)
-            if len(block) == BLOCK:
-                pairs, block = pairs.unionByName(_block_best(own, block, k, exclude_self)), []
-        if block:
-            pairs = pairs.unionByName(_block_best(own, block, k, exclude_self))
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
+        asked = queries.where(F.col("vector").isNotNull()).select("query_id", doubles(F.col("vector")).alias("q"), *scoped_by)
+        number = lambda df, rows, name: df.groupBy(*at).agg(F.greatest(F.lit(1), F.ceil(F.count("*") / rows)).cast("int").alias(name))
+        groups, blocks = number(own, GROUP, "groups"), number(asked, BLOCK, "blocks")
+        if at:
+            sizes = groups.join(blocks, at)
+            left, right = own.join(sizes, at), asked.join(sizes, at)
+        else:
+            sizes = groups.join(F.broadcast(blocks))  # one row each
+            left, right = own.join(F.broadcast(sizes)), asked.join(F.broadcast(sizes))
+        all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = left.withColumn("group", F.pmod(F.xxhash64("id"), "groups").cast("int")).withColumn("block", all_of("blocks"))
+        right = right.withColumn("block", F.pmod(F.xxhash64("query_id"), "blocks").cast("int")).withColumn("group", all_of("groups"))
+        schema = StructType([StructField("query_id", queries.schema["query_id"].dataType), StructField("id", own.schema["id"].dataType), StructField("score", DoubleType())])
+        kinds = [to_arrow_type(f.dataType) for f in schema]
+        key = [*at, "group", "block"]
+        pairs = left.select(*key, "id", "v").groupBy(*key).cogroup(right.select(*key, "query_id", "q").groupBy(*key)).applyInArrow(_group_best(k, exclude_self, last, kinds), schema)
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumnRenamed("id", id_col)
 
 

@@ -261,8 +261,7 @@ def vector_topk_scoped(spark, sf_dir):
     """Only vectors of the query's own label are candidates."""
     e = table(spark, sf_dir, "embeddings")
     q = e.where("vec_id % 100 = 0")
-    own = q.select(F.col("vec_id").alias("query_id"), "label").join(e.select("vec_id", "label"), "label").select("query_id", "vec_id")
-    return vector.top_k(q.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), e, 5, "embedding", "vec_id", own, True)
+    return vector.top_k(q.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), "label"), e, 5, "embedding", "vec_id", exclude_self=True, scope=("label",))
 
 
 @query(f"WITH {KNN} SELECT query_id, round(least(1.0, greatest(0.0, avg(score))), 6) AS confidence FROM near GROUP BY query_id")
@@ -324,9 +323,12 @@ def route_sql(rules: planner.Rules) -> str:
     SELECT query_id, n AS n_entities, CAST(complexity AS DOUBLE) AS complexity, CASE WHEN complexity < {rules.fast_below} AND n <= {rules.most_entities} AND NOT rel AND NOT tmp AND NOT cmp {negation} THEN 'fast' WHEN rel THEN 'graph' WHEN tmp OR cmp THEN 'analytical' ELSE 'full' END AS route FROM s"""
 
 
+def all_questions(spark, sf_dir):
+    return nation_questions(spark, sf_dir).unionByName(asked(spark, sf_dir).withColumn("query_id", F.col("query_id") + 1000000))
+
+
 def routed(spark, sf_dir, rules):
-    q = nation_questions(spark, sf_dir).unionByName(asked(spark, sf_dir).withColumn("query_id", F.col("query_id") + 1000000))
-    return planner.route(q, rules).select("query_id", F.size("entities").cast("long").alias("n_entities"), "complexity", "route")
+    return planner.route(all_questions(spark, sf_dir), rules).select("query_id", F.size("entities").cast("long").alias("n_entities"), "complexity", "route")
 
 
 @query(route_sql(planner.FUSED))
@@ -433,7 +435,9 @@ def parse_llm_json(spark, sf_dir):
 def _pipeline_rows(spark, sf_dir, config):
     c = chunks(spark, sf_dir).withColumn("embedding_fast", vectors.hash_embedding(F.col("text"), 384).cast("array<float>"))
     q = asked(spark, sf_dir).unionByName(nation_questions(spark, sf_dir).withColumn("query_id", F.col("query_id") + 1000000))
-    return pipeline.answers(q, c, config).withColumn("citations", F.array_join("citations", ","))
+    graph = pipeline.Knowledge(concepts(spark, sf_dir), part_properties(spark, sf_dir), relations(spark, sf_dir))
+    out = pipeline.answers(q, c, config, graph).withColumn("citations", F.array_join("citations", ","))
+    return out.withColumn("properties", F.coalesce(F.size("properties"), F.lit(0))).withColumn("graph", F.coalesce(F.size("graph"), F.lit(0)))
 
 
 @query()
@@ -518,8 +522,12 @@ PROPERTIES = "properties AS (SELECT 'n' || p_partkey % 25 AS concept_id, unnest(
 @query(f"""WITH {NATION_QUESTIONS}, {CONCEPTS}, {PROPERTIES}, named AS (SELECT query_id, unnest(list_distinct(list_filter(regexp_extract_all(query, '{T}'), lambda x: regexp_full_match(x, '[A-Z][a-z0-9]+|[0-9]+') AND NOT list_contains([{', '.join(repr(x) for x in text.STOP_WORDS)}], x)))) AS name FROM nq)
     SELECT query_id, name AS concept, property_name, property_value, source_chunk_id, CAST(1.0 AS DOUBLE) AS confidence FROM named JOIN concepts USING (name) JOIN properties ON concept_id = id""")
 def property_lookup(spark, sf_dir):
+    return knowledge.lookup(nation_questions(spark, sf_dir), concepts(spark, sf_dir), part_properties(spark, sf_dir))
+
+
+def part_properties(spark, sf_dir):
     part = table(spark, sf_dir, "part").select(F.concat(F.lit("n"), (F.col("p_partkey") % 25).cast("string")).alias("concept_id"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("source_chunk_id"), F.expr("stack(3, 'brand', p_brand, 'type', p_type, 'size', cast(p_size as string)) as (property_name, property_value)"))
-    return knowledge.lookup(nation_questions(spark, sf_dir), concepts(spark, sf_dir), part.withColumn("confidence", F.lit(1.0)))
+    return part.withColumn("confidence", F.lit(1.0))
 
 
 EXTRACTED = f"""WITH {CHUNKS} SELECT * FROM (SELECT chunk_id AS source_chunk_id, 'Date' AS property_name, unnest(regexp_extract_all(text, '\\b([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}})\\b', 1)) AS property_value FROM chunks
@@ -605,13 +613,12 @@ def cache_exact_hit(spark, sf_dir):
 
 
 @query(
-    f"""WITH {LIVE}, {CACHE_Q}, pairs AS (SELECT query_id, cache_key, payload, round((q.value * l.value + 1) / (sqrt(q.value * q.value + 1) * sqrt(l.value * l.value + 1)), 6) AS similarity FROM (SELECT query_id, scope, value FROM cq WHERE scope <> '') q JOIN live l USING (scope))
+    f"""WITH {LIVE}, {CACHE_Q}, pairs AS (SELECT query_id, cache_key, payload, round((q.value * l.value + 1) / (sqrt(q.value * q.value + 1) * sqrt(l.value * l.value + 1)), 6) AS similarity FROM (SELECT query_id, scope, value FROM cq) q JOIN live l USING (scope))
     SELECT query_id, payload, similarity FROM pairs WHERE similarity >= 0.95 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, cache_key DESC, payload DESC) = 1"""
 )
 def cache_semantic_hit(spark, sf_dir):
-    """Questions with a scope of their own."""
-    q = cache_questions(spark, sf_dir).where(F.size("document_ids") > 0)
-    return cache.semantic_hits(q, cached(spark, sf_dir), now()).select("query_id", "payload", "similarity")
+    """All questions: those with a scope of their own, and those without, which share one."""
+    return cache.semantic_hits(cache_questions(spark, sf_dir), cached(spark, sf_dir), now()).select("query_id", "payload", "similarity")
 
 
 @query("SELECT event_id FROM events WHERE value / 100 >= 0.5 AND event_type <> 'error'")
@@ -725,8 +732,20 @@ def synthetic_queries(spark, sf_dir):
     return sampling.synthetic_queries(chunks(spark, sf_dir))
 
 
-@query(f"WITH {LIVE}, {CACHE_Q}, hit AS (SELECT DISTINCT query_id FROM cq JOIN live USING (cache_key)) SELECT round((SELECT count(*) FROM hit) / count(*), 6) AS cache_hit_rate, round(1 - (SELECT count(*) FROM hit) / count(*), 6) AS activation FROM cq")
+@query(f"WITH {LIVE}, {CACHE_Q}, hit AS (SELECT DISTINCT query_id FROM cq JOIN live USING (cache_key)) SELECT round((SELECT count(*) FROM hit) / count(*), 6) AS cache_hit_rate FROM cq")
 def cache_hit_rate(spark, sf_dir):
     q = cache_questions(spark, sf_dir)
     rate = evaluate.cache_hit_rate(q, cache.exact_hits(q, cached(spark, sf_dir), now()))
-    return rate.select(F.round("cache_hit_rate", 6).alias("cache_hit_rate"), F.round("activation", 6).alias("activation"))
+    return rate.select(F.round("cache_hit_rate", 6).alias("cache_hit_rate"))
+
+
+@query(f"SELECT round(1 - count(*) FILTER (route = 'fast') / count(*), 6) AS activation, count(*) AS n_queries FROM ({route_sql(planner.FUSED)})")
+def activation(spark, sf_dir):
+    """The share of questions that do not take the fast path."""
+    return evaluate.activation(planner.route(all_questions(spark, sf_dir))).select(F.round("activation", 6).alias("activation"), "n_queries")
+
+
+@query("SELECT event_type AS provider, count(*) AS calls, round(sum(value), 4) AS total_ms, round(avg(value), 4) AS mean_ms FROM events GROUP BY event_type")
+def provider_counters(spark, sf_dir):
+    """Events as calls of their type's provider."""
+    return evaluate.provider_counters(table(spark, sf_dir, "events").select(F.col("event_type").alias("provider"), F.col("value").alias("ms")))

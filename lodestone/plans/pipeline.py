@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import band, confidence
 from ..functions.vectors import hash_embedding
-from ..operators import answer, bm25, fusion, page_index, vector
+from ..operators import answer, bm25, cache, fusion, knowledge, page_index, vector
 from . import planner
 
 
@@ -29,12 +29,13 @@ class Config:
     rerank_k: int = 6
     context_chars: int = 4000
     numbered: bool = True
+    raw_fallback: bool = False
     embed: Callable[[Column], Column] = lambda t: hash_embedding(t, 384)
     generate: Callable[[Column, Column], Column] = answer.extractive_answer
 
 
 FUSED = Config()
-SCOPED = Config(rules=planner.SCOPED, bm25_k=20, page_k=10, scope_vectors=True, fuse=False, fast_k=3, context_chars=4800, numbered=False)
+SCOPED = Config(rules=planner.SCOPED, bm25_k=20, page_k=10, scope_vectors=True, fuse=False, fast_k=3, context_chars=4800, numbered=False, raw_fallback=True)
 
 
 def retrieve(queries: DataFrame, chunks: DataFrame, config: Config = FUSED) -> DataFrame:
@@ -50,12 +51,32 @@ def retrieve(queries: DataFrame, chunks: DataFrame, config: Config = FUSED) -> D
     return fusion.rrf([near, hits] if config.fuse else [near], max(config.fused_k, config.fast_k))
 
 
-def answers(queries: DataFrame, chunks: DataFrame, config: Config = FUSED) -> DataFrame:
+@dataclass(frozen=True)
+class Knowledge:
+    """Concepts (id, name), properties (concept_id, ...) and relations, where a corpus has them."""
+
+    concepts: DataFrame
+    properties: DataFrame
+    relations: DataFrame
+
+
+def known(planned: DataFrame, graph: Knowledge) -> tuple[DataFrame, DataFrame]:
+    """What the property and graph stages find: (query_id, properties) of all queries but fast ones, and
+    (query_id, graph), at most 40 rows in order, of those routed to the graph."""
+    asked = planned.where(~F.col("fast_path"))
+    found = knowledge.lookup(asked, graph.concepts, graph.properties)
+    properties = found.groupBy("query_id").agg(F.array_sort(F.collect_set(F.struct("concept", "property_name", "property_value", "source_chunk_id"))).alias("properties"))
+    walked = knowledge.walk(knowledge.starts(asked.where("use_graph"), graph.concepts), graph.relations)
+    return properties, walked.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("hop", "concept_id", "relation_type", "relation_weight"))).alias("graph"))
+
+
+def answers(queries: DataFrame, chunks: DataFrame, config: Config = FUSED, graph: Knowledge | None = None) -> DataFrame:
     """query_id, answer, confidence, band, fast_path, route, citations (chunk ids) for every query.
 
     Fast ones answer with their best chunks' text at the constant confidence 0.85.  Others are reranked,
     compressed and gated: where the context lacks an entity of the query the answer is NOT_FOUND at
-    confidence 0 and nothing is generated.
+    confidence 0 and nothing is generated.  So is a query for which nothing is found.  With ``graph``
+    there are also ``properties`` and ``graph``, the facts on the concepts that a query names.
     """
     fusion.settle(queries)
     planned = planner.route(queries, config.rules)
@@ -63,16 +84,19 @@ def answers(queries: DataFrame, chunks: DataFrame, config: Config = FUSED) -> Da
 
     quick = found.where(F.col("fast_path") & (F.col("fused_rank") <= config.fast_k))
     texts = F.array_sort(F.collect_list(F.struct("fused_rank", "text", "chunk_id")))
-    fast = quick.groupBy("query_id", "route").agg(texts.alias("own")).select(
-        "query_id", "route", F.lit(True).alias("fast_path"), F.left(F.array_join(F.col("own.text"), " "), F.lit(500)).alias("answer"), F.lit(0.85).alias("confidence"), F.col("own.chunk_id").alias("citations")
-    )
+    some = planned.where("fast_path").select("query_id", "route").join(quick.groupBy("query_id").agg(texts.alias("own")), "query_id", "left")
+    none = F.array().cast("array<string>")
+    fast = some.select(
+        "query_id", "route", F.lit(True).alias("fast_path"), F.coalesce(F.left(F.array_join(F.col("own.text"), " "), F.lit(500)), F.lit(answer.NOT_FOUND)).alias("answer"),
+        F.when(F.col("own").isNotNull(), 0.85).otherwise(0.0).alias("confidence"), F.coalesce(F.col("own.chunk_id"), none).alias("citations"),
+    )
 
     ranked = fusion.rerank(found.where(~F.col("fast_path") & (F.col("fused_rank") <= config.fused_k)), config.rerank_k)
-    contexts = answer.compress(ranked, "rerank_rank", config.context_chars, config.numbered)
+    contexts = answer.compress_or_raw(ranked) if config.raw_fallback else answer.compress(ranked, "rerank_rank", config.context_chars, config.numbered)
     means = ranked.groupBy("query_id").agg(F.avg("rerank_score").alias("mean"), F.array_sort(F.collect_list(F.struct("rerank_rank", "chunk_id"))).alias("own"))
-    joined = planned.where(~F.col("fast_path")).select("query_id", "query", "route").join(contexts, "query_id").join(means, "query_id")
-    share = answer.coverage(F.col("query"), F.col("context"))
-    said = joined.withColumn("coverage", share).withColumn("said", F.when(share >= 1.0, answer.parse_output(config.generate(F.col("query"), F.col("context")))))
+    joined = planned.where(~F.col("fast_path")).select("query_id", "query", "route").join(contexts, "query_id", "left").join(means, "query_id", "left")
+    share = F.coalesce(answer.coverage(F.col("query"), F.col("context")), F.lit(0.0))
+    said = joined.withColumn("coverage", share).withColumn("said", F.when((share >= 1.0) & F.col("own").isNotNull(), answer.parse_output(config.generate(F.col("query"), F.col("context")))))
     cited = F.transform(F.filter("said.citations", lambda n: (n >= 1) & (n <= F.size("own"))), lambda n: F.element_at(F.col("own"), n)["chunk_id"])
     full = said.select(
         "query_id",
@@ -80,6 +104,28 @@ def answers(queries: DataFrame, chunks: DataFrame, config: Config = FUSED) -> Da
         F.lit(False).alias("fast_path"),
         F.coalesce("said.answer", F.lit(answer.NOT_FOUND)).alias("answer"),
         F.when(F.col("said").isNotNull(), F.round(confidence(F.col("mean"), F.col("coverage")), 4)).otherwise(0.0).alias("confidence"),
-        F.coalesce(cited, F.array().cast("array<string>")).alias("citations"),
+        F.coalesce(cited, none).alias("citations"),
     )
-    return fast.unionByName(full).withColumn("band", band(F.col("confidence")))
+    out = fast.unionByName(full).withColumn("band", band(F.col("confidence")))
+    for facts in known(planned, graph) if graph else ():
+        out = out.join(facts, "query_id", "left")
+    return out
+
+
+def cached_answers(queries: DataFrame, chunks: DataFrame, entries: DataFrame, now: Column, config: Config = FUSED, provider: str = "offline") -> tuple[DataFrame, DataFrame]:
+    """Answers by way of the cache, and the entries that are to be added to it.
+
+    ``queries`` has query_id, query and document_ids.  An exact live entry answers first (``source`` exact),
+    then a similar one (semantic); what remains is run over the chunks of its scope (run).  Of run answers
+    those that are sure and found make new entries.  Answers: query_id, answer, confidence, source.
+    """
+    asked = queries.withColumn("query_vector", config.embed(F.col("query"))).withColumn("provider", F.lit(provider))
+    exact = cache.exact_hits(asked, entries, now)
+    left = cache.misses(asked, exact)
+    near = cache.semantic_hits(left, entries, now)
+    rest = cache.misses(left, near)
+    run = answers(rest.select("query_id", "query"), chunks, config).select("query_id", "answer", "confidence")
+    payload = F.from_json("payload", "answer string, confidence double")
+    hits = [df.select("query_id", payload.alias("p")).select("query_id", "p.answer", "p.confidence", F.lit(name).alias("source")) for df, name in ((exact, "exact"), (near, "semantic"))]
+    out = hits[0].unionByName(hits[1]).unionByName(run.withColumn("source", F.lit("run")))
+    return out, cache.entries(rest.join(run, "query_id"), now)

@@ -42,6 +42,7 @@ SCOPED = Rules(
     ("cause", "affect", "depend", "lead to", "because", "impact", "relation between", "why did", "result of", "due to"),
 )
 
+#: The stages of a fast query, and of one that uses the graph.
 FAST_STAGES = ("bm25", "page_index", "vector")
 GRAPH_STAGES = ("bm25", "page_index", "vector", "okf", "graph", "reranker", "fidelity_check", "compressor", "llm")
 

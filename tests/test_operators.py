@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone import schemas
 from lodestone.functions import scores, text, vectors
 from lodestone.operators import answer, bm25, cache, chunking, evaluate, fusion, knowledge, page_index, sampling, store, vector
 from lodestone.plans import pipeline, planner
@@ -229,5 +230,58 @@ def test_known_items(spark):
 
 
 def test_context_falls_back_to_raw_chunks(spark):
-    column = answer.context_or_raw(F.col("q"), F.col("c"), F.col("r"))
-    assert one(spark, column, q="about Debt", c="nothing", r="the Debt") == "the Debt" and one(spark, column, q="about Debt", c="nothing", r="none") == "nothing"
+    def context(query, *texts):
+        ranked = chunk_rows(spark, list(texts)).select(F.lit(0).alias("query_id"), F.lit(query).alias("query"), "text", "chunk_id", (F.substring("document_id", 2, 1).cast("int") + 1).alias("rerank_rank"))
+        return answer.compress_or_raw(ranked).first().context
+
+    assert context("about Debt here", "one\nthe Debt now\nlast", "alone", "x\ny") == "[d0:p0] the Debt now\n\n[d1:p0] alone"
+    assert context("about Debt and Mars", "one\nthe Debt now\nlast", "x\ny") == "[d0:p0] one\nthe Debt now\nlast\n\n[d1:p0] x\ny"
+    assert context("nothing whatever", "x\ny") == "[d0:p0] x\ny"
+
+
+def test_pipeline_without_hits_and_with_a_graph(spark):
+    none = chunk_rows(spark, ["x"]).withColumn("embedding_fast", vectors.hash_embedding(F.col("text"), 384).cast("array<float>")).limit(0)
+    q = asking(spark, "refunds", "Why did Paris result of Rome", "Compare Paris with Rome in 2020")
+    for config in (pipeline.FUSED, pipeline.SCOPED):
+        got = pipeline.answers(q, none, config).collect()
+        assert sorted(r.query_id for r in got) == [0, 1, 2] and {(r.answer, r.confidence, tuple(r.citations)) for r in got} == {("NOT_FOUND", 0.0, ())}
+    graph = pipeline.Knowledge(
+        spark.createDataFrame([("p", "Paris"), ("r", "Rome"), ("o", "Oslo")], "id string, name string"),
+        spark.createDataFrame([("p", "size", "big", "c1", 1.0)], "concept_id string, property_name string, property_value string, source_chunk_id string, confidence double"),
+        edges(spark, [("p", "o", 0.9), ("o", "x", 0.8), ("o", "y", 0.1)]),
+    )
+    got = {r.query_id: r for r in pipeline.answers(q, none, pipeline.FUSED, graph).collect()}
+    assert got[0].properties is None and got[0].graph is None and got[2].graph is None
+    assert [(p.concept, p.property_value) for p in got[1].properties] == [("Paris", "big")] and len(got[2].properties) == 1
+    assert [(g.hop, g.concept_id) for g in got[1].graph] == [(1, "o"), (2, "x")]
+
+
+def test_cached_answers(spark):
+    now = F.lit("2024-01-02 00:00:00").cast("timestamp")
+    chunks = chunk_rows(spark, ["Refunds are paid within 30 days.", "Other words."]).withColumn("embedding_fast", vectors.hash_embedding(F.col("text"), 384).cast("array<float>"))
+    q = spark.createDataFrame([(1, "refunds", []), (2, "Compare Unicorns", [])], "query_id long, query string, document_ids array<string>")
+    empty = spark.createDataFrame([], schemas.CACHE)
+    out, new = pipeline.cached_answers(q, chunks, empty, now)
+    first = {r.query_id: r for r in out.collect()}
+    assert {r.source for r in first.values()} == {"run"} and new.count() == 1
+    kept = spark.createDataFrame(new.collect(), new.schema)
+    again = q.unionByName(spark.createDataFrame([(3, " REFUNDS", [])], q.schema))
+    near = kept.withColumn("cache_key", F.lit("query:other"))
+    got = {r.query_id: r for r in pipeline.cached_answers(again, chunks, kept, now)[0].collect()}
+    assert [got[k].source for k in (1, 2, 3)] == ["exact", "run", "exact"] and got[1].answer == first[1].answer and got[1].confidence == 0.85
+    assert {r.query_id: r.source for r in pipeline.cached_answers(q, chunks, near, now)[0].collect()} == {1: "semantic", 2: "run"}
+
+
+def test_resized_chunks_keep_their_first_parts_place(spark):
+    rows = [("d", 0, "c0", "a " * 30, "heading", 1, ["A"]), ("d", 1, "c1", "b " * 30, "paragraph", 2, ["A", "B"]), ("d", 2, "c2", ("w " * 59 + "w. ") * 3, "paragraph", 3, ["C"])]
+    df = spark.createDataFrame(rows, "document_id string, ordinal int, chunk_id string, text string, element_type string, page_number int, section_path array<string>")
+    got = chunking.resize_chunks(df, 50, 70).orderBy("ordinal").collect()
+    assert [(r.chunk_id, r.page_number, r.section_path) for r in got] == [("c0", 1, ["A"]), ("c2:s0", 3, ["C"]), ("c2:s1", 3, ["C"]), ("c2:s2", 3, ["C"])]
+
+
+def test_first_similar_cluster(spark):
+    place = {"a": [1.0, 0.0], "b": [0.95, 0.3], "c": [0.9, 0.43], "d": [0.0, 1.0]}
+    got = {r.name: r.canonical for r in knowledge.cluster_first(spark, list("dcba"), place.__getitem__).collect()}
+    assert got == {"a": "a", "b": "a", "c": "c", "d": "d"}
+    with pytest.raises(ValueError, match="names"):
+        knowledge.few(["x"] * 20_001)
