@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.scores import band, confidence
 from ..functions.vectors import hash_embedding
 from ..operators import answer, bm25, cache, fusion, knowledge, page_index, vector
+from ..operators.store import written
 from . import planner
 
 
@@ -120,11 +121,12 @@ def cached_answers(queries: DataFrame, chunks: DataFrame, entries: DataFrame, no
     those that are sure and found make new entries.  Answers: query_id, answer, confidence, source.
     """
     asked = queries.withColumn("query_vector", config.embed(F.col("query"))).withColumn("provider", F.lit(provider))
-    exact = cache.exact_hits(asked, entries, now)
+    # each layer is used several times by the next ones
+    exact = written(cache.exact_hits(asked, entries, now), "exact")
     left = cache.misses(asked, exact)
-    near = cache.semantic_hits(left, entries, now)
-    rest = cache.misses(left, near)
-    run = answers(rest.select("query_id", "query"), chunks, config).select("query_id", "answer", "confidence")
+    near = written(cache.semantic_hits(left, entries, now), "near")
+    rest = written(cache.misses(left, near), "rest")
+    run = written(answers(rest.select("query_id", "query"), chunks, config).select("query_id", "answer", "confidence"), "run")
     payload = F.from_json("payload", "answer string, confidence double")
     hits = [df.select("query_id", payload.alias("p")).select("query_id", "p.answer", "p.confidence", F.lit(name).alias("source")) for df, name in ((exact, "exact"), (near, "semantic"))]
     out = hits[0].unionByName(hits[1]).unionByName(run.withColumn("source", F.lit("run")))
