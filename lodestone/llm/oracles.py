@@ -63,3 +63,48 @@ gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM late),
 placed AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
 kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n FROM placed ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
 SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id"""
+
+HARD_NEGATIVES = """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as q
+  from embeddings
+  where label is not null and vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select a.vec_id as anchor_id, a.label as anchor_label, b.vec_id, b.label, list_inner_product(a.q, b.q)::bigint as score
+  from v a join v b on a.vec_id % 100 = 0 and len(a.q) = len(b.q)),
+positives as (
+  select anchor_id, anchor_label, vec_id as positive_id, score as positive_score from scored where label = anchor_label and vec_id <> anchor_id
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, vec_id)::int as rank, vec_id as negative_id, positive_score, score as negative_score
+from positives join scored using (anchor_id) where label <> scored.anchor_label and 80 * positive_score <= 100 * score and 100 * score <= 100 * positive_score
+qualify rank <= 5
+"""
+
+#: The crc32 is computed from its generator; near words meet on what is left without one code point.
+SPELLING = """
+with recursive crc(i, k, c) as (
+  select i, 0, i::bigint from range(256) r(i)
+  union all select i, k + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from crc where k < 8),
+steps as (select list(c order by i) as t from crc where k = 8),
+runs as (select doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run from documents),
+counted as (select doc_id, run, count(*) as times, hex(encode(doc_id || ':' || run)) as h from runs where length(run) >= 7 group by all),
+hashed as (
+  select run, times, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(h), 2), lambda i: ('0x' || substr(h, i, 2))::bigint)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) as crc
+  from counted, steps),
+changed as (select case when crc % 31 = 0 then left(run, (crc % length(run))::int) || substr(run, (crc % length(run))::int + 2) else run end as word, times from hashed),
+words as (select word, sum(times)::bigint as n from changed where length(word) >= 7 group by word having sum(times) >= 2),
+holes as (select word, n, i, left(word, i - 1) || substr(word, i + 1) as rest from (select word, n, unnest(range(1, length(word) + 1)) as i from words)),
+near as (
+  select a.word, a.n, b.word as other, b.n as m from holes a join holes b on a.rest = b.rest and a.i = b.i and a.word <> b.word
+  union select w.word, w.n, h.word, h.n from holes h join words w on w.word = h.rest
+  union select h.word, h.n, w.word, w.n from holes h join words w on w.word = h.rest),
+counts as (select word, count(*) as n_near from near group by word),
+forms as (
+  select word, other as form, m as form_n from (select *, row_number() over (partition by word order by m desc, other) as k from near) where k = 1 and m >= 10 * n),
+chain(word, root) as (
+  select word, form from forms
+  union all select c.word, f.form from chain c join forms f on f.word = c.root),
+roots as (select word, root from chain where root not in (select word from forms))
+select w.word, form, coalesce(root, w.word) as root, n, coalesce(n_near, 0) as n_near, form_n
+from words w left join counts using (word) left join forms using (word) left join roots using (word)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, media, mixing, neardup, oracles, pieces, pii, quality, sharding, substrings, urlfilter
+from . import htmltext, media, mixing, neardup, negatives, oracles, packing, pieces, pii, quality, sharding, spelling, substrings, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,10 +59,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *(F.col(f"quality.{x}").alias(x) for x in names))
 
 
-def tokenizer_file() -> str:
+def tokenizer_file(name: str = "piece_bpe_32k.model") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("piece_bpe_32k.model")
+    return public_tokenizers.path(name)
 
 
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,6 +99,25 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+#: Tokens of a packed sequence.
+SEQUENCE = 2048
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces_ = packing.pieces(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), SEQUENCE)
+    return packing.pack(pieces_.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), SEQUENCE)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_media": op2_media,
@@ -110,10 +129,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_substrings": op9_substrings,
     "op10_html": op10_html,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_spelling": op12_spelling,
+    "op13_packing": op13_packing,
 }
 
 ORACLES: dict[str, str] = {
     "op6_quality": oracles.QUALITY,
     "op8_url_filter": oracles.url_filter(RULES),
     "op9_substrings": oracles.SUBSTRINGS,
+    "op11_hard_negatives": oracles.HARD_NEGATIVES,
+    "op12_spelling": oracles.SPELLING,
 }
