@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import entities, raw_tokens
 from ..schemas import CONCEPT_TYPES
+from . import vector
+from .fusion import settle
+from .store import written
 
 #: Verbs by relation type.
 VERBS = {"CAUSES": "causes|leads to|results in", "DEPENDS_ON": "depends on|relies on|requires", "AFFECTS": "affects|impacts|influences"}
-#: Names that are folded, or put into a pattern, on the driver at most.
-MOST_NAMES = 20_000
 MAX_HOPS, MAX_ROWS, MIN_WEIGHT = 2, 40, 0.3
 
 
@@ -36,64 +38,136 @@ def extract_properties(chunks: DataFrame, strict: bool = False) -> DataFrame:
     )
 
 
-def few(names: list[str]) -> list[str]:
-    """``names``, unless they are too many for a fold or a pattern on the driver."""
-    if len(names) > MOST_NAMES:
-        raise ValueError(f"{len(names)} names; at most {MOST_NAMES} are folded on the driver")
-    return names
+def _sites(texts: DataFrame, verbs: dict[str, str], longest: int) -> DataFrame:
+    """A row for each place where a name may stand beside a verb: on ``side`` 0 it ends at ``at``, on side 1 it begins there.
 
-
-def _cosine(a: list[float], b: list[float]) -> float:
-    size = sum(x * x for x in a) ** 0.5 * sum(x * x for x in b) ** 0.5
-    return sum(x * y for x, y in zip(a, b, strict=True)) / size if size else 0.0
+    ``far`` is the number of words between, up to three, ``alternative`` the verb's place in its family, and ``near``
+    the ``longest`` characters there.
+    """
+    compiled = [(kind, k, re.compile(rf"(?<=\s){v}(?=\s)", re.IGNORECASE)) for kind, family in verbs.items() for k, v in enumerate(family.split("|"))]
+    word, space = re.compile(r"\w+\s+"), re.compile(r"\s+")
+    schema = "chunk_id string, relation_type string, verb int, alternative int, side int, far int, at int, near string"
+
+    def ends(text: str, at: int) -> Iterator[int]:
+        """Where a name may end before the verb at ``at``: in front of its white space, and of up to three words'."""
+        for _ in range(4):
+            end = at
+            while end and text[end - 1].isspace():
+                end -= 1
+            if end == at:
+                return
+            yield end
+            at = end
+            while at and (text[at - 1].isalnum() or text[at - 1] == "_"):
+                at -= 1
+            if at == end:
+                return
+
+    def begins(text: str, end: int) -> Iterator[int]:
+        at = space.match(text, end).end()
+        for _ in range(4):
+            yield at
+            if not (next_word := word.match(text, at)):
+                return
+            at = next_word.end()
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for chunk, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for kind, k, verb in compiled:
+                    for m in verb.finditer(text):
+                        rows += [(chunk, kind, m.start(), k, 0, far, at, text[max(0, at - longest) : at]) for far, at in enumerate(ends(text, m.start()))]
+                        rows += [(chunk, kind, m.start(), k, 1, far, at, text[at : at + longest]) for far, at in enumerate(begins(text, m.end()))]
+            for start in range(0, len(rows), 5000):
+                columns = zip(*rows[start : start + 5000], strict=True)
+                kinds = (pa.string(),) * 2 + (pa.int32(),) * 5 + (pa.string(),)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [x.split()[0] for x in schema.split(", ")])
+
+    some = "|".join(verbs.values())
+    return texts.where(F.col("text").rlike(rf"(?i)\s(?:{some})\s")).select(F.col("chunk_id").cast("string"), "text").mapInArrow(each, schema)
+
+
+def extract_relations(chunks: DataFrame, names: DataFrame, verbs: dict[str, str] | None = None) -> DataFrame:
+    """Concept, verb, concept within a chunk, up to three words on either side of the verb; the longest names first.
+
+    As a pattern of all ``names`` (name) would find them, without regard to case: from the left, no match within
+    another; but the names stay a table of any size.  Only places beside a verb are looked at: the stretches there of the
+    lengths that names have meet the names by equality, and a fold over a chunk's few candidates keeps those that a scan
+    from the left would.  A text equal on both sides is no relation.  Null texts and empty names are left out.
+    """
+    verbs = VERBS if verbs is None else verbs
+    own = names.where(F.length("name") > 0).select(F.lower("name").alias("name")).distinct()
+    lengths = own.agg(F.sort_array(F.collect_set(F.length("name"))).alias("lengths"), F.max(F.length("name")).alias("longest"))
+    longest = lengths.first()["longest"] or 0
+    sites = _sites(chunks, verbs, longest).join(F.broadcast(lengths.select("lengths")))  # one row, as long as there are different lengths
+    tried = sites.withColumn("size", F.explode(F.filter("lengths", lambda n: n <= F.length("near"))))
+    tried = tried.withColumn("start", F.when(F.col("side") == 0, F.col("at") - F.col("size")).otherwise(F.col("at")))
+    tried = tried.withColumn("found", F.when(F.col("side") == 0, F.substr("near", F.length("near") - F.col("size") + 1, F.col("size"))).otherwise(F.substr("near", F.lit(1), F.col("size"))))
+    kept = tried.drop("near", "lengths").withColumn("name", F.lower("found")).join(own, "name", "left_semi")
+    one = ["chunk_id", "relation_type", "verb", "alternative"]
+    left, right = (kept.where(F.col("side") == side).select(*one, F.struct("start", "size", "far", "found").alias(x)) for side, x in ((0, "l"), (1, "r")))
+    # what a pattern prefers: the leftmost start, then the longest first name, many words, the first verb, many words, the longest second name
+    order = F.struct("l.start", (-F.col("l.size")).alias("a"), (-F.col("l.far")).alias("b"), "alternative", (-F.col("r.far")).alias("c"), (-F.col("r.size")).alias("d"), (F.col("r.start") + F.col("r.size")).alias("end"), F.col("l.found").alias("from_concept"), F.col("r.found").alias("to_concept"))
+    options = left.join(right, one).groupBy("chunk_id", "relation_type").agg(F.array_sort(F.collect_list(order)).alias("options"))
+    none = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<from_concept:string,to_concept:string>>").alias("taken"))
+    taken = F.aggregate("options", none, lambda s, o: F.when(o["start"] >= s["end"], F.struct(o["end"].alias("end"), F.concat(s["taken"], F.array(F.struct(o["from_concept"].alias("from_concept"), o["to_concept"].alias("to_concept")))).alias("taken"))).otherwise(s))
+    out = options.select(F.col("chunk_id").alias("source_chunk_id"), "relation_type", F.inline(taken["taken"])).where(F.lower("from_concept") != F.lower("to_concept"))
+    return out.select("from_concept", "to_concept", "relation_type", F.lit(0.6).alias("relation_weight"), "source_chunk_id", F.lit(True).alias("low_confidence"), F.lit("tier1.5_regex").alias("extraction_tier"))
+
+
+def _heads(names: DataFrame, near: DataFrame) -> DataFrame:
+    """(name): the names that open a cluster, taken in sorted order, where ``near`` (a, b, score; a < b) are similar.
+
+    A name opens one unless a smaller near name has.  In each round the names whose smaller near names are all
+    settled are settled; what is written ends the lineage.  Rounds are as many as the longest chain of falling names
+    that are near one another, mostly a few.
+    """
+    open_ = written(names.select("name"), "open")
+    edges = written(near.select("a", "b"), "edges")
+    heads = None
+    while not open_.isEmpty():
+        new = written(open_.join(edges.select(F.col("b").alias("name")), "name", "left_anti"), "heads")
+        heads = new if heads is None else heads.union(new)
+        joined = edges.join(new.select(F.col("name").alias("a")), "a", "left_semi").select(F.col("b").alias("name")).distinct()
+        settled = written(new.union(joined), "settled")
+        open_ = written(open_.join(settled, "name", "left_anti"), "open")
+        for end in "ab":  # a name that joined opens nothing, so it stands in no other's way
+            edges = edges.join(settled.select(F.col("name").alias(end)), end, "left_anti")
+        edges = written(edges, "edges")
+    return open_ if heads is None else heads
+
+
+def _joined(names: DataFrame, least: float, first: bool) -> DataFrame:
+    """(name, canonical, score): each distinct name with the head that it joins, itself where it is one (score null)."""
+    settle(names)
+    own = written(names.select("name", "vector").dropDuplicates(["name"]), "names")
+    near = written(vector.similar(own, least, "vector", "name"), "near")
+    heads = written(_heads(own, near), "heads")
+    choices = near.join(heads.select(F.col("name").alias("a")), "a", "left_semi").join(heads.select(F.col("name").alias("b")), "b", "left_anti")
+    place = F.struct("a") if first else F.struct((-F.col("score")).alias("s"), "a")
+    best = choices.groupBy(F.col("b").alias("name")).agg(F.min_by(F.struct("a", "score"), place).alias("best"))
+    return own.select("name").join(best, "name", "left").select("name", F.coalesce("best.a", "name").alias("canonical"), F.col("best.score").alias("score"))
+
+
+def cluster_first(names: DataFrame, merge: float = 0.92) -> DataFrame:
+    """(name, canonical): names (name, vector) joined, in sorted order, to the first cluster whose first name is similar enough.
+
+    Others open a cluster.  A repeated name counts once; a name without a vector is a cluster of its own.
+    """
+    return _joined(names, merge, True).select("name", "canonical")
 
 
-def extract_relations(chunks: DataFrame, concepts: list[str]) -> DataFrame:
-    """Concept, verb, concept within a chunk, up to three words around the verb; the longest names first.
+def cluster_names(names: DataFrame, merge: float = 0.92, review: float = 0.85) -> DataFrame:
+    """(name, canonical, low_confidence, review): names (name, vector) joined, in sorted order, to the cluster whose first name is most similar.
 
-    ``concepts`` is a list for a pattern, MOST_NAMES at most.
-    """
-    out = None
-    names = "|".join(re.escape(c) for c in sorted(few(concepts), key=lambda c: (-len(c), c)))
-    for kind, verbs in VERBS.items():
-        pattern = rf"(?iU)({names})\s+(?:\w+\s+){{0,3}}(?:{verbs})\s+(?:\w+\s+){{0,3}}({names})"
-        both = F.arrays_zip(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)).alias("from_concept"), F.regexp_extract_all("text", F.lit(pattern), F.lit(2)).alias("to_concept"))
-        found = chunks.select(F.col("chunk_id").alias("source_chunk_id"), F.inline(both)).withColumn("relation_type", F.lit(kind))
-        out = found if out is None else out.unionByName(found)
-    kept = out.where(F.lower("from_concept") != F.lower("to_concept"))
-    return kept.select("from_concept", "to_concept", "relation_type", F.lit(0.6).alias("relation_weight"), "source_chunk_id", F.lit(True).alias("low_confidence"), F.lit("tier1.5_regex").alias("extraction_tier"))
-
-
-def cluster_first(spark: SparkSession, names: list[str], embed: Callable[[str], list[float]], merge: float = 0.92) -> DataFrame:
-    """Names joined, in sorted order, to the first cluster whose first name is similar enough; else they open one."""
-    heads: list[tuple[str, list[float]]] = []
-    rows = []
-    for name in few(sorted(set(names))):
-        vector = embed(name)
-        at = next((h for h, v in heads if _cosine(vector, v) >= merge), None)
-        if at is None:
-            heads.append((name, vector))
-        rows.append((name, at or name))
-    return spark.createDataFrame(rows, "name string, canonical string")
-
-
-def cluster_names(spark: SparkSession, names: list[str], embed: Callable[[str], list[float]], merge: float = 0.92, review: float = 0.85) -> DataFrame:
-    """Names joined greedily, in sorted order, to the cluster whose first name is most similar.
-
-    From ``merge`` on they join; between ``review`` and it they join with low confidence; below, a new
-    cluster opens, marked for review.  The fold runs on the driver, over MOST_NAMES names at most.
+    From ``merge`` on they join; between ``review`` and it they join with low confidence; below, a new cluster
+    opens, marked for review unless it is the first of all.  Similarities are exact, in blocks; ties go to the first cluster.
     """
-    heads: list[tuple[str, list[float]]] = []
-    rows = []
-    for name in few(sorted(set(names))):
-        vector = embed(name)
-        best, at = max(((_cosine(vector, v), -k) for k, (_, v) in enumerate(heads)), default=(-1.0, 0))
-        if best >= review:
-            rows.append((name, heads[-at][0], best < merge, False))
-        else:
-            heads.append((name, vector))
-            rows.append((name, name, False, len(heads) > 1))
-    return spark.createDataFrame(rows, "name string, canonical string, low_confidence boolean, review boolean")
+    joined = _joined(names, review, False)
+    least = joined.agg(F.min("name").alias("least"))
+    low = F.coalesce(F.col("score") < merge, F.lit(False))
+    return joined.join(F.broadcast(least)).select("name", "canonical", low.alias("low_confidence"), ((F.col("name") == F.col("canonical")) & (F.col("name") != F.col("least"))).alias("review"))
 
 
 def lookup(queries: DataFrame, concepts: DataFrame, properties: DataFrame) -> DataFrame:

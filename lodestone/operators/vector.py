@@ -106,5 +106,33 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, column: str = "emb
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumnRenamed("id", id_col)
 
 
+def similar(vectors: DataFrame, least: float, column: str = "embedding_full", id_col: str = "chunk_id") -> DataFrame:
+    """(a, b, score): all pairs of ids, a < b, whose cosine is ``least`` or more.  Rows without a vector or an id have none.
+
+    Vectors are dealt by a hash to groups of some BLOCK; each pair of groups meets in one matrix product, in a task
+    of its own, which hands on the pairs that are similar.  Ids should be distinct.
+    """
+    own = vectors.where(F.col(column).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), doubles(F.col(column)).alias("v"))
+    groups = own.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK)).cast("int").alias("groups"))
+    own = own.join(F.broadcast(groups)).withColumn("group", F.pmod(F.xxhash64("id"), "groups").cast("int"))  # one row
+    # a pair of groups is (smaller, greater); a group comes to each pair that it stands in
+    every = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    dealt = every.select(F.least("group", "other").alias("low"), F.greatest("group", "other").alias("high"), "group", "id", "v")
+    schema = StructType([StructField("a", own.schema["id"].dataType), StructField("b", own.schema["id"].dataType), StructField("score", DoubleType())])
+    kinds = [to_arrow_type(f.dataType) for f in schema]
+
+    def pairs(table: pa.Table) -> pa.Table:
+        low, ids = table.column("low")[0].as_py(), table.column("id").to_pylist()
+        flat = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+        unit = flat / np.maximum(np.linalg.norm(flat, axis=1, keepdims=True), 1e-300)
+        same, inside = low == table.column("high")[0].as_py(), table.column("group").to_numpy() == low
+        rows, columns = np.flatnonzero(inside), np.flatnonzero(inside if same else ~inside)
+        found = np.round(unit[rows] @ unit[columns].T, 9)
+        out = [(*sorted((ids[rows[i]], ids[columns[j]])), float(found[i, j])) for i, j in zip(*np.nonzero(found >= least), strict=True) if rows[i] < columns[j] or not same]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ((), (), ()), kinds, strict=True)], schema.names)
+
+    return dealt.groupBy("low", "high").applyInArrow(pairs, schema)
+
+
 def stage_confidence(hits: DataFrame) -> DataFrame:
     return hits.groupBy("query_id").agg(F.round(clamp(F.avg("score")), 6).alias("confidence"))

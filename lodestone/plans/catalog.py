@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scores, text, vectors
-from ..operators import answer, bm25, cache, chunking, evaluate, fusion, knowledge, page_index, sampling, store, vector
+from ..operators import affix, answer, bm25, cache, chunking, evaluate, fusion, knowledge, page_index, sampling, store, vector, vector_index
 from ..schemas import CONCEPT_TYPES
 from ..sources import elements
 from . import pipeline, planner
@@ -36,19 +36,34 @@ def fresh_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.paragraph_chunks(table(spark, sf_dir, "documents"))
 
 
-#: Tables that were made once, by name, input files and session: (schema, path) of what several queries read.
-_saved: dict[tuple, DataFrame] = {}
+#: Tables that were made once, by name, input files and session: what several queries read.
+_saved: dict[tuple, object] = {}
+
+
+def _version(spark: SparkSession, sf_dir: str, *names: str) -> tuple:
+    """The tables' files with their sizes and times of change: a table written again is another one."""
+    files = [f for n in names for f in table(spark, sf_dir, n).inputFiles()]
+    conf, path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    stats = [path(f).getFileSystem(conf).getFileStatus(path(f)) for f in sorted(files)]
+    return (spark.sparkContext.applicationId, *((str(s.getPath()), s.getLen(), s.getModificationTime()) for s in stats))
 
 
 def saved(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
     """The table ``name`` over the documents and questions of ``sf_dir``, written by its first reader in this session."""
-    files = tuple(sorted(table(spark, sf_dir, "documents").inputFiles() + table(spark, sf_dir, "benchmark").inputFiles()))
-    key = (spark.sparkContext.applicationId, name, files)
+    key = (name, *_version(spark, sf_dir, "documents", "benchmark"))
     if key not in _saved:
         _saved[key] = store.written(make(), name)
     return _saved[key]
 
 
+def saved_index(spark: SparkSession, sf_dir: str, make: Callable[[str], vector_index.Index]) -> vector_index.Index:
+    """The vector index over the embeddings of ``sf_dir``, built by its first reader in this session."""
+    key = ("index", *_version(spark, sf_dir, "embeddings"))
+    if key not in _saved:
+        _saved[key] = make(store.fresh(spark, "index"))
+    return _saved[key]
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunk table, dealt by document, so that its readers have as many tasks as its writer, however few files came in."""
     return saved(spark, sf_dir, "chunks", lambda: chunking.paragraph_chunks(table(spark, sf_dir, "documents").repartition("doc_id")))
@@ -188,9 +203,14 @@ def failed_docs_anti(spark, sf_dir):
     return elements.failed_documents(inputs, outputs).select(F.col("document_id").alias("doc_id"), F.lit(True).alias("failed"))
 
 
-@query("""SELECT page_id, regexp_replace('see ![figure](img/a/' || page_id || '.png) and ![x](' || page_id || '.jpeg)', '!\\[([^\\]]*)\\]\\((?:[^)\\s]*/)?([^)/\\s]+\\.(?:png|jpe?g))\\)', '![\\1](store://images/\\2)', 'g') AS markdown FROM pages""")
+#: The links of a page as markdown images named after their targets.
+IMAGES = "regexp_replace(html, '<a href=\"([^\"]*)\">', '![\\1](\\1.png)', 'g')"
+
+
+@query(f"""SELECT page_id, regexp_replace({IMAGES}, '!\\[([^\\]]*)\\]\\((?:[^)\\s]*/)?([^)/\\s]+\\.(?:png|jpe?g))\\)', '![\\1](store://images/\\2)', 'g') AS markdown FROM pages""")
 def image_link_rewrite(spark, sf_dir):
-    raw = F.concat(F.lit("see ![figure](img/a/"), F.col("page_id").cast("string"), F.lit(".png) and ![x]("), F.col("page_id").cast("string"), F.lit(".jpeg)"))
+    """All pages, whose links are images as a parser's markdown has them."""
+    raw = F.regexp_replace("html", '<a href="([^"]*)">', "![$1]($1.png)")
     return table(spark, sf_dir, "pages").select("page_id", text.canonical_links(raw, "store://images/").alias("markdown"))
 
 
@@ -202,7 +222,15 @@ def tokenize_terms(spark, sf_dir):
     return bm25.postings(chunks(spark, sf_dir)).select("chunk_id", "term", "tf")
 
 
-@query(f"WITH {CHUNKS}, {INDEX} SELECT term, df, round(idf, 6) AS idf FROM terms")
+@query(
+    f"""WITH lines AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents),
+    own AS (SELECT list_distinct({tok("trim(line)")}) AS terms FROM lines WHERE trim(line) <> ''),
+    n AS (SELECT count(*) AS n FROM own),
+    dfs AS (SELECT term, count(*) AS df FROM (SELECT unnest(terms) AS term FROM own) GROUP BY term),
+    raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM dfs, n),
+    mean AS (SELECT avg(raw) AS m FROM raw)
+    SELECT term, df, round(CASE WHEN raw < 0 THEN m * 0.25 ELSE raw END, 6) AS idf FROM raw, mean"""
+)
 def term_document_frequency(spark, sf_dir):
     return lexical(spark, sf_dir).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
@@ -256,6 +284,47 @@ def vector_topk(spark, sf_dir):
     return neighbours(spark, sf_dir)
 
 
+def vector_questions(spark, sf_dir):
+    """Every vector whose id is divisible by 100, asked against all."""
+    return table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+def vector_cells(spark, sf_dir):
+    """The index of all embeddings; as many cells as the root of their number."""
+    e = table(spark, sf_dir, "embeddings")
+    return saved_index(spark, sf_dir, lambda path: vector_index.build(e, path, column="embedding"))
+
+
+@query(f"WITH {KNN} SELECT query_id, vec_id, score, rank FROM near")
+def vector_index_exact(spark, sf_dir):
+    """The index in its exact mode: every cell is probed."""
+    index = vector_cells(spark, sf_dir)
+    return vector_index.top_k(vector_questions(spark, sf_dir), index, 5, index.centroids.count(), "embedding", "vec_id", exclude_self=True)
+
+
+@query()
+def vector_index_topk(spark, sf_dir):
+    """The index with as many probes as these questions need for a recall of 0.9."""
+    index, asked_ = vector_cells(spark, sf_dir), vector_questions(spark, sf_dir)
+    probes = vector_index.calibrated(asked_, index, 5, 0.9, "embedding", "vec_id", exclude_self=True)
+    return vector_index.top_k(asked_, index, 5, probes, "embedding", "vec_id", exclude_self=True)
+
+
+@query()
+def vector_index_recall(spark, sf_dir):
+    """Recall and share of vectors compared, for 1, 2, 4, ... probes."""
+    index, asked_ = vector_cells(spark, sf_dir), vector_questions(spark, sf_dir)
+    exact, out, probes, cells = vector_index_exact(spark, sf_dir), None, 1, index.centroids.count()
+    exact = store.written(exact, "exact")
+    while True:
+        found = vector_index.top_k(asked_, index, 5, probes, "embedding", "vec_id", exclude_self=True)
+        row = vector_index.recall(found, exact, "vec_id").join(vector_index.scanned_share(asked_, index, probes)).select(F.lit(probes).alias("probes"), F.round("recall", 6).alias("recall"), F.round("share", 6).alias("share"))
+        out = row if out is None else out.unionByName(row)
+        if probes >= cells:
+            return out
+        probes = min(2 * probes, cells)
+
+
 @query(f"WITH {UNIT}, pairs AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, round(list_dot_product(a.v, b.v), 6) AS score FROM unit a JOIN unit b ON a.vec_id % 100 = 0 AND a.label = b.label AND a.vec_id <> b.vec_id) SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pairs QUALIFY rank <= 5")
 def vector_topk_scoped(spark, sf_dir):
     """Only vectors of the query's own label are candidates."""
@@ -546,29 +615,53 @@ def extract_property_counts(spark, sf_dir):
     return found.groupBy("property_name").agg(F.count("*").alias("n"), F.countDistinct("property_value").alias("distinct_values"))
 
 
+#: Fixed values of the query: verbs that the driver's texts have.
+VERBS = {"BY": "by", "FROM": "with|from", "AT": "at"}
+RELATION = r"\s+(?:\w+\s+){{0,3}}(?:{})\s+(?:\w+\s+){{0,3}}"
+
+
 @query(
-    """SELECT 'q' || n_nationkey AS source_chunk_id, upper(left(n_name, 1)) || lower(replace(substr(n_name, 2), '_', '')) AS from_concept, CASE WHEN n_nationkey % 2 = 0 THEN 'Overheating' ELSE 'Exports' END AS to_concept,
-    CASE n_nationkey % 3 WHEN 0 THEN 'CAUSES' WHEN 1 THEN 'DEPENDS_ON' ELSE 'AFFECTS' END AS relation_type, CAST(0.6 AS DOUBLE) AS relation_weight FROM nation WHERE n_name NOT LIKE '% %'"""
+    f"WITH {CHUNKS}, words AS (SELECT DISTINCT unnest({tok('text')}) AS name FROM benchmark), names AS (SELECT string_agg(name, '|' ORDER BY length(name) DESC, name) AS p FROM words WHERE regexp_full_match(name, '[a-z]{{4,}}')), "
+    + "found AS ("
+    + " UNION ALL ".join(
+        f"SELECT chunk_id, '{kind}' AS relation_type, regexp_extract(m, '(?i)(' || p || '){RELATION.format(verbs)}(' || p || ')', 1) AS from_concept, regexp_extract(m, '(?i)(' || p || '){RELATION.format(verbs)}(' || p || ')', 2) AS to_concept FROM (SELECT chunk_id, p, unnest(regexp_extract_all(text, '(?i)(?:' || p || '){RELATION.format(verbs)}(?:' || p || ')')) AS m FROM chunks, names WHERE regexp_matches(text, '(?i)\\s(?:{verbs})\\s'))"
+        for kind, verbs in VERBS.items()
+    )
+    + ") SELECT chunk_id AS source_chunk_id, relation_type, from_concept, to_concept, CAST(0.6 AS DOUBLE) AS relation_weight FROM found WHERE lower(from_concept) <> lower(to_concept)"
 )
 def extract_relations(spark, sf_dir):
-    """Sentences that tell one relation of each nation, among names of all nations."""
-    n = table(spark, sf_dir, "nation").where("n_name not like '% %'")
-    name = nation_name()
-    verb = F.element_at(F.array(F.lit("leads to"), F.lit("relies on"), F.lit("impacts")), (F.col("n_nationkey") % 3 + 1).cast("int"))
-    told = F.concat(F.lit("We say "), name, F.lit(" often "), verb, F.lit(" the new "), F.when(F.col("n_nationkey") % 2 == 0, "Overheating").otherwise("Exports"), F.lit(" here."))
-    names = [r[0] for r in n.select(name).collect()] + ["Overheating", "Exports"]  # 25 nations at most
-    return knowledge.extract_relations(n.select(F.concat(F.lit("q"), F.col("n_nationkey").cast("string")).alias("chunk_id"), told.alias("text")), names).select("source_chunk_id", "from_concept", "to_concept", "relation_type", "relation_weight")
+    """Relations in all chunks between the words of four letters or more of all benchmark items."""
+    word = asked(spark, sf_dir).select(F.explode(text.tokens(F.col("query"))).alias("name")).where(F.col("name").rlike("^[a-z]{4,}$"))
+    return knowledge.extract_relations(chunks(spark, sf_dir), word, VERBS).select("source_chunk_id", "relation_type", "from_concept", "to_concept", "relation_weight")
 
 
 @query()
 def entity_clusters(spark, sf_dir):
     """Names of parts' types, clustered by their letters."""
-    names = [r[0] for r in table(spark, sf_dir, "part").select("p_type").distinct().collect()]  # the types are a small set
+    letters = F.array(*(F.regexp_count(F.lower("name"), F.lit(c)).cast("double") for c in "abcdefghijklmnopqrstuvwxyz"))
+    return knowledge.cluster_names(table(spark, sf_dir, "part").select(F.col("p_type").alias("name")).distinct().withColumn("vector", letters))
+
+
+@query(
+    """WITH names AS (SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host FROM pages), needles AS (SELECT DISTINCT regexp_extract(host, '^[^.]*') AS needle FROM names)
+    SELECT needle, page_id FROM needles JOIN pages ON length(needle) > 0 AND contains(url, needle)"""
+)
+def substring_join(spark, sf_dir):
+    """The pages whose url holds a host's first label anywhere."""
+    p = table(spark, sf_dir, "pages")
+    first = F.regexp_extract("url", r"^[a-z]+://([^/?#.]*)", 1)
+    return affix.containing(p.select(first.alias("needle")), p, text_col="url", id_col="page_id").withColumnRenamed("id", "page_id")
 
-    def letters(name: str) -> list[float]:
-        return [float(name.lower().count(c)) for c in "abcdefghijklmnopqrstuvwxyz"]
 
-    return knowledge.cluster_names(spark, names, letters)
+@query(
+    """WITH stems AS (SELECT DISTINCT left(text, 12) AS prefix FROM benchmark WHERE length(text) >= 12 UNION SELECT DISTINCT left(text, 5) FROM benchmark WHERE length(text) >= 5)
+    SELECT doc_id, prefix FROM documents JOIN stems ON starts_with(text, prefix)"""
+)
+def prefix_join(spark, sf_dir):
+    """The documents that begin as a benchmark item does, for 5 and for 12 characters."""
+    b = asked(spark, sf_dir)
+    stems = [b.where(F.length("query") >= n).select(F.left("query", F.lit(n)).alias("prefix")) for n in (5, 12)]
+    return affix.prefixed(table(spark, sf_dir, "documents").select("doc_id", "text"), stems[0].union(stems[1])).select("doc_id", "prefix")
 
 
 # --- cache ------------------------------------------------------------------------------------------
@@ -694,12 +787,12 @@ def stage_mean_positive(spark, sf_dir):
 
 
 @query(
-    f"""WITH w AS (SELECT item_id, text, list_slice({pieces("text")}, 1, 5) AS k FROM benchmark), d AS (SELECT doc_id, lower(text) AS t FROM documents)
+    f"""WITH w AS (SELECT item_id, text, {pieces("text")} AS k FROM benchmark), d AS (SELECT doc_id, lower(text) AS t FROM documents)
     SELECT item_id, doc_id, round(len(list_filter(k, lambda x: contains(t, lower(x)))) / greatest(len(k), 1), 6) AS recall, len(list_filter(k, lambda x: contains(t, lower(x)))) / greatest(len(k), 1) >= 0.5 AS passes FROM w JOIN d ON item_id = doc_id"""
 )
 def keyword_recall(spark, sf_dir):
-    """An item's first five words against the document of the same number."""
-    w = table(spark, sf_dir, "benchmark").select("item_id", F.slice(text.blank_split(F.col("text")), 1, 5).alias("k"))
+    """All words of an item against the document of the same number."""
+    w = table(spark, sf_dir, "benchmark").select("item_id", text.blank_split(F.col("text")).alias("k"))
     both = w.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "text"), "item_id")
     r = evaluate.keyword_recall(F.col("k"), F.col("text"))
     return both.select("item_id", F.col("item_id").alias("doc_id"), F.round(r, 6).alias("recall"), (r >= 0.5).alias("passes"))

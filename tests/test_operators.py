@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,14 +172,36 @@ def test_extraction(spark):
     assert got == [("Date", "1/2/2023"), ("Date", "2024-01-31"), ("Identifier", "ABC12"), ("Percentage", "12%"), ("Percentage", "5.5%")]
     assert not [r for r in knowledge.extract_properties(c, strict=True).collect() if r.property_name == "Percentage"]
     c = chunk_rows(spark, ["Heat wave badly affects the old Power grid. Rain causes Rain."])
-    got = [(r.from_concept, r.relation_type, r.to_concept) for r in knowledge.extract_relations(c, ["Heat", "Heat wave", "Power grid", "Rain"]).collect()]
+    got = [(r.from_concept, r.relation_type, r.to_concept) for r in knowledge.extract_relations(c, spark.createDataFrame([("Heat",), ("Heat wave",), ("Power grid",), ("Rain",)], "name string")).collect()]
     assert got == [("Heat wave", "AFFECTS", "Power grid")]
 
 
-def test_clusters(spark):
+def _greedy(place, merge, review):
+    """The fold itself: (canonical, low confidence, review) by name."""
+    unit = {n: [x / (sum(y * y for y in v) ** 0.5 or 1) for x in v] for n, v in place.items()}
+    heads, out = [], {}
+    for n in sorted(place):
+        best, at = max(((round(sum(x * y for x, y in zip(unit[n], unit[h])), 9), -k) for k, h in enumerate(heads)), default=(-2, 0))
+        if best >= review:
+            out[n] = (heads[-at], best < merge, False)
+        else:
+            heads.append(n)
+            out[n] = (n, False, len(heads) > 1)
+    return out
+
+
+def test_clusters(spark, monkeypatch):
     place = {"a": [1.0, 0.0], "b": [0.99, 0.14], "c": [0.88, 0.47], "d": [0.0, 1.0]}
-    got = {r.name: (r.canonical, r.low_confidence, r.review) for r in knowledge.cluster_names(spark, ["d", "c", "b", "a", "a"], place.__getitem__).collect()}
-    assert got == {"a": ("a", False, False), "b": ("a", False, False), "c": ("a", True, False), "d": ("d", False, True)}
+    names = lambda x: spark.createDataFrame([*x.items()], "name string, vector array<double>")
+    clusters = lambda df: {r.name: (r.canonical, r.low_confidence, r.review) for r in knowledge.cluster_names(df).collect()}
+    assert clusters(names(place).union(names({"a": [1.0, 0.0]}))) == {"a": ("a", False, False), "b": ("a", False, False), "c": ("a", True, False), "d": ("d", False, True)}
+    monkeypatch.setattr(vector, "BLOCK", 17)
+    rng = np.random.default_rng(3)
+    many = {f"n{k:03}": [float(x) for x in rng.normal(size=3)] for k in range(90)}
+    got = clusters(names(many))
+    assert got == _greedy(many, 0.92, 0.85) and len({c for c, *_ in got.values()}) < 60
+    assert clusters(names({"x": None, "y": [1.0]})) == {"x": ("x", False, False), "y": ("y", False, True)}
+    assert clusters(names({"x": [0.0]}).limit(0)) == {}
 
 
 def test_cache_life(spark):
@@ -281,7 +304,5 @@ def test_resized_chunks_keep_their_first_parts_place(spark):
 
 def test_first_similar_cluster(spark):
     place = {"a": [1.0, 0.0], "b": [0.95, 0.3], "c": [0.9, 0.43], "d": [0.0, 1.0]}
-    got = {r.name: r.canonical for r in knowledge.cluster_first(spark, list("dcba"), place.__getitem__).collect()}
-    assert got == {"a": "a", "b": "a", "c": "c", "d": "d"}
-    with pytest.raises(ValueError, match="names"):
-        knowledge.few(["x"] * 20_001)
+    names = spark.createDataFrame([*place.items()], "name string, vector array<double>")
+    assert {r.name: r.canonical for r in knowledge.cluster_first(names).collect()} == {"a": "a", "b": "a", "c": "c", "d": "d"}
