@@ -621,7 +621,7 @@ RELATION = r"\s+(?:\w+\s+){{0,3}}(?:{})\s+(?:\w+\s+){{0,3}}"
 
 
 @query(
-    f"WITH {CHUNKS}, words AS (SELECT DISTINCT unnest({tok('text')}) AS name FROM benchmark), names AS (SELECT string_agg(name, '|' ORDER BY length(name) DESC, name) AS p FROM words WHERE regexp_full_match(name, '[a-z]{{4,}}')), "
+    f"WITH {CHUNKS}, words AS (SELECT DISTINCT unnest({tok('text')}) AS name FROM benchmark), names AS (SELECT string_agg(name, '|' ORDER BY length(name) DESC, name) AS p FROM words WHERE regexp_full_match(name, '[a-z]{{5,}}')), "
     + "found AS ("
     + " UNION ALL ".join(
         f"SELECT chunk_id, '{kind}' AS relation_type, regexp_extract(m, '(?i)(' || p || '){RELATION.format(verbs)}(' || p || ')', 1) AS from_concept, regexp_extract(m, '(?i)(' || p || '){RELATION.format(verbs)}(' || p || ')', 2) AS to_concept FROM (SELECT chunk_id, p, unnest(regexp_extract_all(text, '(?i)(?:' || p || '){RELATION.format(verbs)}(?:' || p || ')')) AS m FROM chunks, names WHERE regexp_matches(text, '(?i)\\s(?:{verbs})\\s'))"
@@ -630,8 +630,8 @@ RELATION = r"\s+(?:\w+\s+){{0,3}}(?:{})\s+(?:\w+\s+){{0,3}}"
     + ") SELECT chunk_id AS source_chunk_id, relation_type, from_concept, to_concept, CAST(0.6 AS DOUBLE) AS relation_weight FROM found WHERE lower(from_concept) <> lower(to_concept)"
 )
 def extract_relations(spark, sf_dir):
-    """Relations in all chunks between the words of four letters or more of all benchmark items."""
-    word = asked(spark, sf_dir).select(F.explode(text.tokens(F.col("query"))).alias("name")).where(F.col("name").rlike("^[a-z]{4,}$"))
+    """Relations in all chunks between the words of five letters or more of all benchmark items."""
+    word = asked(spark, sf_dir).select(F.explode(text.tokens(F.col("query"))).alias("name")).where(F.col("name").rlike("^[a-z]{5,}$"))
     return knowledge.extract_relations(chunks(spark, sf_dir), word, VERBS).select("source_chunk_id", "relation_type", "from_concept", "to_concept", "relation_weight")
 
 
