@@ -1,8 +1,9 @@
 """Mixing sources to target weights by systematic sampling.
 
-Every source gets a target in words.  The expected copies of its documents, target over size, are
-prefix-summed in a fixed order, one random offset is added per source, and a document is emitted once
-for each integer boundary that its step of the sum crosses.
+Every source gets a target in words.  The expected copies of its documents are prefix-summed in a fixed order,
+one random offset is added per source, and a document is emitted once for each integer boundary that its
+step of the sum crosses.  Long documents come first; what they take too much or too little changes the expected
+copies of the shorter ones after them, so that the words of all come near the target.
 """
 
 from __future__ import annotations
@@ -12,11 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import cut, word_count
+from .components import BROADCAST_ROWS
 
 #: The offset has this many equally likely values, so sums with it stay exact up to 2**37 documents.
 OFFSETS = 1 << 16
-#: Offsets that are tried for each source.
-DRAWS = 32
+#: Tiers of a source: documents longer than this share of the target, then the rest.  The first ones are few
+#: (their number is at most source size over share and target), whatever the source's size.
+TIERS = (1 / 20, 1 / 400)
 #: Rows of a cell, which one task sorts, where a class has a fiftieth of all rows.
 CELL_ROWS = 100_000
 
@@ -55,14 +58,12 @@ def copies(docs: DataFrame, text: Column | None = None, id_col: str = "doc_id",
     copies.  Rows that repeat count as documents of their own; null sources are one source, null ids are
     allowed.  An empty table gives an empty one.
 
-    The order of the prefix sum is size class (exact below 64 words, then sixteenths of an octave), a
-    hash of the row, size, id: neighbours are alike in size, so what a source's documents take stays
-    near its target, and no source needs a sort of its own: rows are ranked in cells of a source, class
-    and hash, some CELL_ROWS rows of a large class each, and the cells' row counts give each cell's first rank.
-
-    What a source takes moves with its offset by as much as its longest document has words.  So DRAWS
-    offsets are drawn, the words that each would take are added up in one aggregation, and the offset
-    that comes nearest to the target is the source's.
+    The order of the prefix sum is by tier, longest documents first, then size class (exact below 64 words, then
+    sixteenths of an octave), a hash of the row, size, id: neighbours are alike in size.  A tier's expected
+    copies are what is left of the target over what is left of the source, so the last tier makes up for the first
+    ones.  No source needs a sort of its own: rows are ranked in cells of a source, class and hash, some CELL_ROWS
+    rows of a large class each, and the cells' row counts give each cell's first rank.  A source is off its target
+    by about its longest document, or by a document of its last tier where that can make up for the rest.
     """
     size = word_count(F.col("text") if text is None else text)
     step = F.when(F.col("size") < 64, F.col("size")).otherwise(F.floor(16 * F.log2(F.col("size").cast("double"))) - 32)
@@ -74,30 +75,50 @@ def copies(docs: DataFrame, text: Column | None = None, id_col: str = "doc_id",
         "mixing",
     )
     rows = rows.withColumn("cell", F.pmod("hash", F.lit(max(64, rows.count() // (50 * CELL_ROWS)))).cast("int"))
-    cells = rows.groupBy("name", "class", "cell").agg(F.count("*").alias("n"), F.sum("size").alias("size_sum"))
-    cells = cut(cells, "mixing-cells")
+    cells = cut(rows.groupBy("name", "class", "cell").agg(F.count("*").alias("n"), F.sum("size").alias("size_sum"), F.max("size").alias("longest")), "mixing-cells")
     source = F.when(F.col("name") != "-", F.substring("name", 2, 1 << 30)).alias("source")
     targets = source_targets(cells.groupBy("name").agg(F.sum("size_sum").alias("source_size")).select(source, "source_size"), weights, most)
     targets = targets.withColumn("name", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("-")))
-    first = cells.select("name", "class", "cell", (F.sum("n").over(Window.partitionBy("name").orderBy("class", "cell")) - F.col("n")).alias("first"))
-    rates = cut(targets.withColumn("rate", F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)), "mixing-rates")
+    draw = (F.pmod(F.xxhash64("name", F.lit(seed + 1)), F.lit(OFFSETS)) + 0.5) / OFFSETS
+    targets = cut(targets.withColumn("offset", draw), "mixing-targets")
+    # a whole class is of one tier
+    longest = F.max("longest").over(Window.partitionBy("name", "class"))
+    tier = sum((F.when(longest <= share * F.col("target"), 1).otherwise(0) for share in TIERS), F.lit(0))
+    tiers = cells.join(targets.select("name", "target"), "name").withColumn("tier", tier)
+    first = F.sum("n").over(Window.partitionBy("name", "tier").orderBy("class", "cell")) - F.col("n")
+    tiers = cut(tiers.select("name", "class", "cell", "n", "size_sum", "tier", first.alias("first")), "mixing-tiers")
+    left = targets.select("name", "source", "source_size", "target", "offset", F.col("target").alias("open"), F.col("source_size").alias("rest"), F.lit(0.0).alias("base"))
     within = F.row_number().over(Window.partitionBy("name", "class", "cell").orderBy("size", "id"))
-    rank = F.col("first") + F.col("within")
-    draw = lambda k: (F.pmod(F.xxhash64("name", F.lit(seed + 1 + k)), F.lit(OFFSETS)) + 0.5) / OFFSETS
-    crossed = lambda offset: F.least(F.floor(rank * F.col("rate") + offset) - F.floor((rank - 1) * F.col("rate") + offset), F.lit(most))
-    slim = rows.select("name", "class", "cell", "size", "id").withColumn("within", within).join(first, ["name", "class", "cell"]).join(rates.select("name", "rate"), "name")
-    taken = slim.groupBy("name").agg(*(F.sum(F.col("size") * crossed(draw(k))).alias(f"taken {k}") for k in range(DRAWS)))
-    tried = F.array(*(F.struct(F.abs(F.col(f"taken {k}") - F.col("target")).alias("off"), F.lit(k).alias("draw"), draw(k).alias("offset")) for k in range(DRAWS)))
-    chosen = cut(taken.join(rates, "name").select("name", "source", "source_size", "target", "rate", F.array_min(tried)["offset"].alias("offset")), "mixing-offsets")
-    return (
-        rows.withColumn("within", within)
-        .join(first.join(chosen, "name"), ["name", "class", "cell"])
-        .select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", crossed(F.col("offset")).cast("int").alias("copies"), *(["kept"] if keep else []))
-    )
+    rates = None
+    for t in range(len(TIERS) + 1):
+        rate = F.when(F.col("rest") > 0, F.greatest(F.lit(0.0), F.least(F.col("open") / F.col("rest"), F.lit(float(most))))).otherwise(0.0)
+        now = cut(left.withColumn("rate", rate).withColumn("tier", F.lit(t)), "mixing-rates")
+        kept = now.select("name", "tier", "source", "source_size", "target", "offset", "base", "rate")
+        rates = kept if rates is None else rates.union(kept)
+        if t < len(TIERS):
+            own = tiers.where(F.col("tier") == t)
+            few = own.count() <= BROADCAST_ROWS  # their cells, as a rule a small part of all
+            sent = own.select("name", "class", "cell", "first")
+            # first rows, by their cells; then what they take
+            ranked = rows.select("name", "class", "cell", "size", "id").join(F.broadcast(sent) if few else sent, ["name", "class", "cell"]).withColumn("rank", F.col("first") + within)
+            took = ranked.join(now.select("name", "base", "rate", "offset"), "name").groupBy("name").agg(F.sum(F.col("size") * _crossed(most)).alias("took"))
+            held = own.groupBy("name").agg(F.sum("n").alias("rows"), F.sum("size_sum").alias("words"))
+            zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+            left = now.join(took, "name", "left").join(held, "name", "left").select("name", "source", "source_size", "target", "offset", (F.col("open") - zero("took")).alias("open"), (F.col("rest") - zero("words")).alias("rest"), (F.col("base") + zero("rows") * F.col("rate")).alias("base"))
+    placed = tiers.select("name", "class", "cell", "tier", "first").join(rates, ["name", "tier"])
+    ranked = rows.withColumn("within", within).join(placed, ["name", "class", "cell"]).withColumn("rank", F.col("first") + F.col("within"))
+    return ranked.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", _crossed(most).cast("int").alias("copies"), *(["kept"] if keep else []))
+
+
+def _crossed(most: int) -> Column:
+    """How many integers lie in a document's step of the prefix sum, moved by the offset."""
+    upto = lambda rank: F.floor(F.col("base") + rank * F.col("rate") + F.col("offset"))
+    return F.least(upto(F.col("rank")) - upto(F.col("rank") - 1), F.lit(most))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as :func:`copies` says."""
-    own = docs.select(F.col(id_col), F.col(source_col), F.col(options.pop("text_col", "text")).alias("text"), F.struct(*docs.columns).alias("whole row"))
+    quoted = lambda c: F.col(f"`{c}`")
+    own = docs.select(quoted(id_col), quoted(source_col), quoted(options.pop("text_col", "text")).alias("text"), F.struct(*map(quoted, docs.columns)).alias("whole row"))
     taken = copies(own, id_col=id_col, source_col=source_col, keep="whole row", **options)
     return taken.where("copies > 0").select("kept", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("kept.*")
