@@ -322,7 +322,7 @@ def protect(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     text = docs[text_col]
     # Every pattern needs one of these.
     some = text.rlike(r"[0-9][ .-]?[0-9]|@|AKIA|ASIA") | text.rlike("(?i)password|passwd|pwd|token|secret|api.?key")
-    done = docs.select(F.struct(*own).alias("row"), text.alias("text"), F.when(some, _searched(text, tuple(PATTERNS))).alias("p"))
+    done = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), text.alias("text"), F.when(some, _searched(text, tuple(PATTERNS))).alias("p"))
     for gone in (("iban",), ("iban", "card")):
         done = done.select("row", "text", _searched_again(F.col("p"), tuple(k for k in PATTERNS if k not in gone)).alias("p"))
     shown = F.transform("p", lambda x: F.coalesce(pseudonym(x["old"], x["kind"], key), x["old"]))

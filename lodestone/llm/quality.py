@@ -119,5 +119,5 @@ def passing(docs: DataFrame, text_col: str = "text", **limits) -> DataFrame:
     """
     own = docs.columns
     kept = F.filter(F.array(verdict_on(F.col(text_col), **limits)), lambda q: q["kept"])
-    judged = docs.select(F.struct(*own).alias("row"), F.explode(kept).alias("quality"))
+    judged = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), F.explode(kept).alias("quality"))
     return judged.select(*(F.col("quality.clean_text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in own))

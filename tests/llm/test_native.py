@@ -263,3 +263,14 @@ def test_reputations_are_those_of_plain_shrinkage(spark):
     labels = spark.createDataFrame([(k, b) for k, (_, b) in enumerate(outcomes) if b is not None], "page_id long, bad int")
     verdicts = {x.host: x.verdict for x in urlfilter.judge(pages, labels, RULES).collect()}
     assert verdicts == {h: "block" if round(bound, 9) > round(overall, 9) else "allow" for h, (_, bound) in want.items()}
+
+
+def test_columns_with_dots_pass_through(spark):
+    text = "The quick brown fox jumps over a lazy dog near some river bank today. " + " ".join(f"word{k}" for k in range(60)) + "."
+    df = rows(spark, [text, text + " Call 192.168.0.1 now.", None, ""]).withColumn("a.b", F.lit(5)).withColumn("row", F.lit(6))
+    passed = quality.passing(df)
+    hidden = pii.protect(passed, "key").drop("pii_found")
+    mixed = mixing.mix(hidden.withColumn("source", F.lit("s")))
+    assert passed.columns == df.columns == hidden.columns and mixed.columns[-2:] == ["a.b", "row"]
+    assert {(r[-2], r[-1]) for r in mixed.collect()} == {(5, 6)} and mixed.count() == 2
+    assert mixing.mix(hidden.withColumn("source", F.lit("s")).limit(0)).count() == quality.passing(df.limit(0)).count() == 0
