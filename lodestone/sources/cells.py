@@ -60,5 +60,24 @@ def parsed(files: DataFrame, parse, skip_damaged: bool = False) -> DataFrame:
     return files.select("document_id", "content").mapInArrow(run, SCHEMA)
 
 
+def recorded(files: DataFrame, parse) -> DataFrame:
+    """As :func:`parsed`, with ``error``, and one row more for each file, without chunk_id: its error if it is damaged."""
+    names = [x.split()[0] for x in SCHEMA.split(", ")] + ["error"]
+    kinds = (pa.string(),) * 5 + (pa.int32(), pa.list_(pa.string()), pa.string(), pa.int32(), pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for document_id, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    rows, error = [(*r, None) for r in parse(content, document_id)], None
+                except (zipfile.BadZipFile, ElementTree.ParseError, csv.Error, KeyError) as e:
+                    rows, error = [], f"{type(e).__name__}: {e}"
+                rows.append((None, document_id, *(None,) * 7, error))
+                for k in range(0, len(rows), 5000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 5000], strict=True), kinds, strict=True)], names)
+
+    return files.select("document_id", "content").mapInArrow(run, f"{SCHEMA}, error string")
+
+
 def csv_chunks(files: DataFrame, skip_damaged: bool = False) -> DataFrame:
     return parsed(files, parse_csv, skip_damaged)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import affix
+from ..operators.store import written
 from ..schemas import BOX, EVAL_QUERIES
 
 
@@ -60,6 +62,56 @@ def normalized(payloads: DataFrame) -> DataFrame:
     )
 
 
+#: What a parser returns for a batch: results, of which elements stay JSON texts, and the ids that failed.
+RESPONSE = "results array<struct<document_id: string, markdown: string, elements: string, image_s3_keys: array<string>>>, failed array<string>, corrupt string"
+
+
+def read_batches(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """A parser's responses under ``path`` (JSON, one a file) as good results and failures, from one reading.
+
+    Results: document_id, markdown, payload (its elements' JSON) and image_keys.  Failures: document_id, file, reason
+    and raw; a response that is no JSON, a result without an id or without readable elements, and an id that the parser
+    names as failed are each a row, and none stops the others.  Files without a byte are not read by Spark: what was asked
+    for and is in neither table is found by :func:`failed_documents`.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(path)
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt"}
+    text = F.col("content").cast("string")
+    read = files.select(F.regexp_extract("path", "[^/]*$", 0).alias("file"), text.alias("raw"), F.from_json(text, RESPONSE, options).alias("r"))
+    broken = F.col("r").isNull() | F.col("r.corrupt").isNotNull() | (F.col("r.results").isNull() & F.col("r.failed").isNull())
+    # one row for each outcome, so that both tables come from one table that is written
+    bad = lambda reason, document_id, raw: F.struct(F.lit(reason).alias("reason"), document_id.alias("document_id"), raw.alias("raw"), F.lit(None).cast(RESULT).alias("result"))
+    nothing = F.lit(None).cast("string")
+
+    def judged(r: Column) -> Column:
+        sound = r["document_id"].isNotNull() & (r["elements"].isNull() | F.try_parse_json(r["elements"]).isNotNull())
+        good = F.struct(nothing.alias("reason"), r["document_id"].alias("document_id"), nothing.alias("raw"), r.cast(RESULT).alias("result"))
+        return F.when(sound, good).otherwise(F.when(r["document_id"].isNull(), bad("no document id", nothing, F.to_json(r))).otherwise(bad("unreadable elements", r["document_id"], r["elements"])))
+
+    found = F.concat(F.coalesce(F.transform("r.results", judged), F.array()), F.coalesce(F.transform("r.failed", lambda x: bad("failed in the parser", x, nothing)), F.array()))
+    outcomes = written(read.select("file", F.explode(F.when(broken, F.array(bad("no response", nothing, F.col("raw")))).otherwise(found)).alias("o")).select("file", "o.*"), "responses")
+    good = outcomes.where("reason is null").select("document_id", "result.markdown", F.coalesce("result.elements", F.lit("[]")).alias("payload"), F.coalesce("result.image_s3_keys", F.array().cast("array<string>")).alias("image_keys"))
+    return good, outcomes.where("reason is not null").select("document_id", "file", "reason", "raw")
+
+
+RESULT = "struct<document_id: string, markdown: string, elements: string, image_s3_keys: array<string>>"
+
+
+def with_image_keys(chunks: DataFrame, results: DataFrame) -> DataFrame:
+    """``chunks`` with ``image_keys`` of their documents (document_id, image_keys), in their order; none where there are none."""
+    own = results.select("document_id", F.col("image_keys").alias("own keys")).dropDuplicates(["document_id"])
+    return chunks.drop("image_keys").join(own, "document_id", "left").select(*(c for c in chunks.columns if c != "image_keys"), F.coalesce("own keys", F.array().cast("array<string>")).alias("image_keys"))
+
+
+def image_documents(images: DataFrame, documents: DataFrame) -> DataFrame:
+    """(file, document_id): image files (file) and the document (document_id) whose id their names start with, the longest one.
+
+    Only files with an image's suffix count.  A prefix join by equality: see :func:`affix.prefixed`.
+    """
+    pictures = images.where(F.lower("file").rlike(r"\.(png|jpe?g|webp)$")).select("file")
+    return affix.prefixed(pictures, documents.select("document_id"), "file", "document_id", longest=True).select("file", F.col("prefix").alias("document_id"))
+
+
 def failed_documents(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
     """Inputs (document_id) of a batch without an output: good ones survive a corrupt one."""
     return inputs.join(outputs.select("document_id"), "document_id", "left_anti")

@@ -6,6 +6,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame
@@ -60,23 +61,80 @@ def parse_docx(content: bytes, document_id: str) -> Iterator[tuple]:
         ordinal += 1
 
 
+#: The built-in number formats that are dates or times.
+DATE_FORMATS = frozenset((*range(14, 23), 45, 46, 47))
+
+
+def _kinds(z: zipfile.ZipFile) -> list[str]:
+    """By a cell's style: "date", "span" (a number of hours that may pass a day) or ""."""
+    styles = _xml(z, "xl/styles.xml")
+    if styles is None:
+        return []
+    codes = {int(f.get("numFmtId", "0")): f.get("formatCode", "") for f in styles.iter(f"{_S}numFmt")}
+
+    def kind(number: int) -> str:
+        code = codes.get(number)
+        if code is None:
+            return "span" if number == 46 else "date" if number in DATE_FORMATS else ""
+        first = re.sub(r'"[^"]*"|\\.|[_*].', "", code.split(";")[0])
+        if re.search(r"\[(h+|m+|s+)\]", first, re.IGNORECASE):
+            return "span"
+        return "date" if re.search("[dmhys]", re.sub(r"\[[^\]]*\]", "", first), re.IGNORECASE) else ""
+
+    formats = styles.find(f"{_S}cellXfs")
+    return [kind(int(x.get("numFmtId", "0"))) for x in (formats if formats is not None else ())]
+
+
+def _shown(raw: str, kind: str, epoch: datetime, leap: bool) -> str:
+    """A stored number as its value is written: a whole number, a float, or by its ``kind`` a date, time or span.
+
+    Days count from ``epoch``; the first two months of 1900 are a day late (``leap``).
+    """
+    number = float(raw)
+    if kind == "span":
+        return str(timedelta(milliseconds=round(number * 86_400_000)))
+    if kind == "date":
+        days = number + (1 if leap and 1 <= number < 60 else 0)
+        try:
+            at = epoch + timedelta(milliseconds=round(days * 86_400_000))
+        except OverflowError:
+            return raw
+        return str(at.time()) if 0 <= number < 1 else str(at)
+    return raw if raw.lstrip("-").isdigit() else str(number)
+
+
 def parse_xlsx(content: bytes, document_id: str) -> Iterator[tuple]:
-    """Cells with a stored value, sheet by sheet; a formula counts by its last result."""
+    """Cells with a stored value, sheet by sheet, as their values are: dates, times, True and False, numbers, texts.
+
+    A formula counts by its last result.
+    """
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         shared = _xml(z, "xl/sharedStrings.xml")
         strings = ["".join(t.text or "" for t in s.iter(f"{_S}t")) for s in (shared.findall(f"{_S}si") if shared is not None else ())]
-        book, targets = _xml(z, "xl/workbook.xml"), _targets(z, "xl/workbook.xml")
+        book, targets, kinds = _xml(z, "xl/workbook.xml"), _targets(z, "xl/workbook.xml"), _kinds(z)
+        settings = book.find(f"{_S}workbookPr") if book is not None else None
+        late = settings is not None and settings.get("date1904") in ("1", "true")
+        epoch = datetime(1904, 1, 1) if late else datetime(1899, 12, 30)
         ordinal = 0
         for sheet in book.iter(f"{_S}sheet") if book is not None else ():
             page = _xml(z, targets.get(sheet.get(f"{_R}id", ""), ("", ""))[1])
             for cell in page.iter(f"{_S}c") if page is not None else ():
-                value = cell.find(f"{_S}v")
-                if cell.get("t") == "inlineStr":
+                value, form = cell.find(f"{_S}v"), cell.get("t", "n")
+                if form == "inlineStr":
                     text = "".join(t.text or "" for t in cell.iter(f"{_S}t"))
                 elif value is None or value.text is None:
                     continue
+                elif form == "s":
+                    text = strings[int(value.text)]
+                elif form == "b":
+                    text = str(value.text == "1")
+                elif form == "d":
+                    text = str(datetime.fromisoformat(value.text))
+                elif form == "n":
+                    style = int(cell.get("s", "0"))
+                    text = _shown(value.text, kinds[style] if style < len(kinds) else "", epoch, not late)
                 else:
-                    text = strings[int(value.text)] if cell.get("t") == "s" else value.text
+                    text = value.text
                 if text.strip():
                     name, at = sheet.get("name", ""), cell.get("r", "")
                     yield (f"{document_id}:xlsx:{name}:{at}", document_id, "xlsx", text.strip(), "cell", None, [name], f"Sheet: {name}, Cell: {at}", ordinal)

@@ -115,7 +115,7 @@ def test_arriving_files(spark, tmp_path):
             (tmp_path / "in" / extra).write_bytes(docx())
         ingest.ingest_arriving(spark, str(tmp_path / "in"), "docx", target, str(tmp_path / "check")).awaitTermination(120)
     assert store.load_chunks(spark, target).count() == 8
-    assert [r.path.rsplit("/", 1)[-1] for r in spark.read.parquet(f"{target}.failed").collect()] == ["bad.docx"]
+    assert [(r.path.rsplit("/", 1)[-1], r.receives) for r in ingest.pending(spark, target).collect()] == [("bad.docx", 1)]
 
 
 def test_tables_are_created_once(spark):
