@@ -232,6 +232,24 @@ def test_an_article_is_evidence_and_not_the_rule():
     assert htmltext.text_of(page) == f"Head\n\n{body}\n\nShort."
 
 
+def test_names_nominate_and_the_text_decides():
+    long = [f"{k} " + "long sentences of text " * 15 + "end" for k in range(4)]
+    told, body = "".join(f"<p>{x}</p>" for x in long), "\n\n".join(long)
+    text = htmltext.text_of
+    for frame in ('<div class="layout right-sidebar">', '<div id="page" class="sidebar-left">', '<div class="ad-free-content">', '<form id="aspnetForm">', '<div class="modal">'):
+        assert text(f"<body>{frame}<div class=menu><a>Home</a></div><article>{told}</article><footer>f</footer>") == body, frame
+        assert text(f"<body>{frame}<ul><li><a>Home</a></li></ul><h1>Top</h1>{told}") == "Top\n\n" + body, frame
+    for head in ("post-header", "entry-header"):
+        assert text(f"<article><div class='{head}'><h1>Title</h1></div>{told}</article>") == "Title\n\n" + body
+    assert text(f"<article>{told}<p class='share-price'>Shares rose.</p><p class=modal-verbs>Must, may.</p><p class=share-links><a>Tweet</a></p></article>") == body + "\n\nShares rose.\n\nMust, may."
+    inner = "<figure><img><figcaption>A picture.</figcaption></figure><p>Press the <button>Save</button> button.</p><p>So <math><mi>x</mi></math> grows.</p><p><button>Send</button></p>"
+    assert text(f"<article>{told}{inner}</article>") == body + "\n\nA picture.\n\nPress the Save button.\n\nSo x grows."
+    links = "".join(f"<li><a>Home {k}</a></li>" for k in range(5))
+    assert text(f"<ul>{links}</ul><div>{long[0]}</div><ul>{links}</ul><div>Copyright</div>") == long[0]
+    comments = "<div id=comments>" + "<article class=comment><p>I say so, and so do many others here.</p></article>" * 60 + "</div>"
+    assert text(f"<body><h1>Top</h1>{told}{comments}") == "Top\n\n" + body
+
+
 def test_odd_markup_loses_no_text():
     text = htmltext.text_of
     assert text("<article><p title=it's>Don't lose this.</p></article>") == "Don't lose this."
@@ -277,11 +295,16 @@ class Plain(HTMLParser):
             self.blocks[-1][0] += data
 
 
-def plainly(page, window=3, surge=80):
-    """The distribution over those blocks: from the first surge, and what adjoins it, to the dive after the last."""
+def plainly(page, window=3, surge=80, dive=24):
+    """The distribution over those blocks: from the first surge, and what adjoins it, to the dive after the last.
+
+    A block beside the text that has nine tenths of it is the text.
+    """
     parser = Plain()
     parser.feed(page)
     blocks = [(" ".join(t.split()), beside, inside) for t, beside, inside in parser.blocks]
+    whole = sum(len(t) for t, _, _ in blocks)
+    blocks = [(t, beside and 10 * len(t) <= 9 * whole, inside) for t, beside, inside in blocks]
     sizes = [0 if beside else len(t) for t, beside, _ in blocks]
 
     def surging():
@@ -295,8 +318,11 @@ def plainly(page, window=3, surge=80):
     if not found:
         return [t for (t, _, _), n in zip(blocks, sizes, strict=True) if n]
     start, end = found[0], found[-1]
-    while end < len(sizes) and sum(sizes[end : end + window]):
+    behind = end + max(range(len(sizes[end : end + window])), key=sizes[end : end + window].__getitem__)
+    while end < len(sizes) and (end <= behind or sum(sizes[end : end + window]) >= dive):
         end += 1
+    while not sizes[start]:
+        start += 1
     while start and sizes[start - 1]:
         start -= 1
     return [blocks[k][0] for k in range(start, min(end, len(sizes))) if sizes[k]]
