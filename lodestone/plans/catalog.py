@@ -502,7 +502,7 @@ def parse_llm_json(spark, sf_dir):
 
 
 def _pipeline_rows(spark, sf_dir, config):
-    c = chunks(spark, sf_dir).withColumn("embedding_fast", vectors.hash_embedding(F.col("text"), 384).cast("array<float>"))
+    c = store.with_embeddings(chunks(spark, sf_dir))
     q = asked(spark, sf_dir).unionByName(nation_questions(spark, sf_dir).withColumn("query_id", F.col("query_id") + 1000000))
     graph = pipeline.Knowledge(concepts(spark, sf_dir), part_properties(spark, sf_dir), relations(spark, sf_dir))
     out = pipeline.answers(q, c, config, graph).withColumn("citations", F.array_join("citations", ","))
@@ -519,6 +519,29 @@ def pipeline_scoped(spark, sf_dir):
     return _pipeline_rows(spark, sf_dir, pipeline.SCOPED)
 
 
+@query()
+def cached_flow(spark, sf_dir):
+    """All benchmark items asked of an empty cache, and again, otherwise written, of the entries that came of it."""
+    q = asked(spark, sf_dir).withColumn("document_ids", F.array().cast("array<string>"))
+    c = store.with_embeddings(chunks(spark, sf_dir))
+    out = None
+    entries = spark.createDataFrame([], store.TABLES["cache"])
+    for turn, said in ((1, F.col("query")), (2, F.concat(F.lit("  "), F.upper("query")))):
+        got, new = pipeline.cached_answers(q.withColumn("query", said), c, entries, now())
+        rows = got.select(F.lit(turn).alias("turn"), "query_id", "answer", "confidence", "source")
+        out = rows if out is None else out.unionByName(rows)
+        entries = store.written(store.conformed(new, store.TABLES["cache"]), "entries")
+    return out
+
+
+@query()
+def stage_metrics(spark, sf_dir):
+    """What each stage gave when the benchmark items were answered: rows and mean confidence, observed on the way."""
+    stages = pipeline.Stages()
+    pipeline.answers(asked(spark, sf_dir), store.with_embeddings(chunks(spark, sf_dir)), pipeline.SCOPED, stages=stages).write.format("noop").mode("overwrite").save()
+    return stages.table(spark)
+
+
 # --- knowledge --------------------------------------------------------------------------------------
 
 CONCEPTS = """concepts AS (SELECT 'r' || r_regionkey AS id, r_name AS name, 'LOCATION' AS type FROM region UNION ALL SELECT 'n' || n_nationkey, upper(left(n_name, 1)) || lower(replace(substr(n_name, 2), '_', '')), 'LOCATION' FROM nation
@@ -825,6 +848,19 @@ def synthetic_queries(spark, sf_dir):
     return sampling.synthetic_queries(chunks(spark, sf_dir))
 
 
+SYNTHETIC = f"""n AS (SELECT chunk_id, text, len({pieces("text")}) AS w FROM chunks), s AS (SELECT chunk_id, list_filter(list_transform(string_split(text, '.'), lambda x: trim(x)), lambda x: len({pieces("x")}) > 10) AS s FROM n WHERE w > 30 AND w < 150),
+benchmark AS (SELECT chunk_id AS item_id, s[len(s) // 2 + 1] || '?' AS text FROM s WHERE len(s) > 0)"""
+
+
+@query(f"WITH {BM25.replace(INDEX, SYNTHETIC + ', ' + INDEX)} SELECT query_id AS chunk_id, bool_or(query_id = chunk_id) AS found FROM hits GROUP BY query_id")
+def known_item_synthetic(spark, sf_dir):
+    """Whether the question made of a chunk finds it among the five best of all chunks: every such chunk is asked for."""
+    c = chunks(spark, sf_dir)
+    q = sampling.synthetic_queries(c)
+    hits = bm25.top_k(q.select(F.col("chunk_id").alias("query_id"), "query"), c, built=lexical(spark, sf_dir))
+    return sampling.recovered(hits, q)
+
+
 @query(f"WITH {LIVE}, {CACHE_Q}, hit AS (SELECT DISTINCT query_id FROM cq JOIN live USING (cache_key)) SELECT round((SELECT count(*) FROM hit) / count(*), 6) AS cache_hit_rate FROM cq")
 def cache_hit_rate(spark, sf_dir):
     q = cache_questions(spark, sf_dir)

@@ -232,7 +232,7 @@ def test_metrics(spark):
 @pytest.mark.parametrize("config", [pipeline.FUSED, pipeline.SCOPED])
 def test_pipeline_answers_every_query_once(spark, config):
     texts = ["Refunds are paid within 30 days of the request.", "Battery failure rate is 12% in Model Nine.", "Overheating leads to Battery failure.", "Unrelated words about nothing."]
-    chunks = chunk_rows(spark, texts).withColumn("embedding_fast", vectors.hash_embedding(F.col("text"), 384).cast("array<float>"))
+    chunks = chunk_rows(spark, texts).transform(store.with_embeddings)
     q = asking(spark, "refunds", "Compare Battery failure with Overheating in 2020", "Why did Battery failure result of Overheating", "Compare Unicorns")
     got = {r.query_id: r for r in pipeline.answers(q, chunks, config).collect()}
     assert sorted(got) == [0, 1, 2, 3] and pipeline.answers(q, chunks, config).count() == 4
@@ -263,7 +263,7 @@ def test_context_falls_back_to_raw_chunks(spark):
 
 
 def test_pipeline_without_hits_and_with_a_graph(spark):
-    none = chunk_rows(spark, ["x"]).withColumn("embedding_fast", vectors.hash_embedding(F.col("text"), 384).cast("array<float>")).limit(0)
+    none = chunk_rows(spark, ["x"]).transform(store.with_embeddings).limit(0)
     q = asking(spark, "refunds", "Why did Paris result of Rome", "Compare Paris with Rome in 2020")
     for config in (pipeline.FUSED, pipeline.SCOPED):
         got = pipeline.answers(q, none, config).collect()
@@ -281,7 +281,7 @@ def test_pipeline_without_hits_and_with_a_graph(spark):
 
 def test_cached_answers(spark):
     now = F.lit("2024-01-02 00:00:00").cast("timestamp")
-    chunks = chunk_rows(spark, ["Refunds are paid within 30 days.", "Other words."]).withColumn("embedding_fast", vectors.hash_embedding(F.col("text"), 384).cast("array<float>"))
+    chunks = chunk_rows(spark, ["Refunds are paid within 30 days.", "Other words."]).transform(store.with_embeddings)
     q = spark.createDataFrame([(1, "refunds", []), (2, "Compare Unicorns", [])], "query_id long, query string, document_ids array<string>")
     empty = spark.createDataFrame([], schemas.CACHE)
     out, new = pipeline.cached_answers(q, chunks, empty, now)
@@ -306,3 +306,55 @@ def test_first_similar_cluster(spark):
     place = {"a": [1.0, 0.0], "b": [0.95, 0.3], "c": [0.9, 0.43], "d": [0.0, 1.0]}
     names = spark.createDataFrame([*place.items()], "name string, vector array<double>")
     assert {r.name: r.canonical for r in knowledge.cluster_first(names).collect()} == {"a": "a", "b": "a", "c": "c", "d": "d"}
+
+
+def test_each_path_reads_its_own_vectors(spark):
+    texts = ["first text", "second text", "third text"]
+    chunks = chunk_rows(spark, texts)
+    line = lambda k, n: F.array(*(F.lit(1.0 if j == k else 0.0) for j in range(n)))
+    # the fast vectors favour the first chunk, the full ones the last
+    chunks = chunks.withColumn("embedding_fast", F.when(F.col("document_id") == "d0", line(0, 4)).otherwise(line(1, 4))).withColumn("embedding_full", F.when(F.col("document_id") == "d2", line(0, 8)).otherwise(line(1, 8)))
+    config = pipeline.Config(vector_k=1, embed=lambda t: line(0, 4), embed_full=lambda t: line(0, 8))
+    asked = spark.createDataFrame([(1, "a", True), (2, "b", False)], "query_id long, query string, fast_path boolean")
+    assert {r.query_id: (r.chunk_id, r.score) for r in pipeline.near(asked, chunks, config).collect()} == {1: ("d0:p0", 1.0), 2: ("d2:p0", 1.0)}
+    plans = [pipeline.near(asked.where("fast_path" if fast else "not fast_path"), chunks.drop("embedding_full" if fast else "embedding_fast").withColumn("embedding_full" if fast else "embedding_fast", F.lit(None).cast("array<double>")), config).count() for fast in (True, False)]
+    assert plans == [1, 1]
+
+
+def test_stages_are_observed(spark):
+    chunks = store.with_embeddings(chunk_rows(spark, ["Refunds are paid within 30 days.", "Battery failure rate is 12%.", "Other words."]))
+    q = asking(spark, "refunds", "Compare Battery failure with Overheating in 2020")
+    stages = pipeline.Stages()
+    assert pipeline.answers(q, chunks, pipeline.SCOPED, stages=stages).count() == 2
+    rows = {r.stage: r for r in stages.table(spark).collect()}
+    assert list(rows) == ["planner", "bm25", "page_index", "vector", "fusion", "reranker"]
+    assert rows["planner"].rows == 2 and rows["bm25"].rows == 6 and 0 <= rows["bm25"].confidence <= 1 and rows["fusion"].confidence is None and all(r.ms > 0 for r in rows.values())
+    counters = evaluate.provider_counters(stages.table(spark).withColumnRenamed("stage", "provider"))
+    assert {r.provider: r.calls for r in counters.collect()} == dict.fromkeys(rows, 1)
+
+
+def test_engine(spark, tmp_path):
+    now = F.lit("2024-01-02 00:00:00").cast("timestamp")
+    engine = pipeline.Engine(spark, str(tmp_path / "engine"))
+    assert {r.document_id: r.chunks for r in engine.ingest(chunk_rows(spark, ["Refunds are paid within 30 days.", "Other words."])).collect()} == {"d0": 1, "d1": 1}
+    assert engine.get_document("d1").first().chunks[0].text == "Other words." and engine.get_document("none").count() == 0
+    q = spark.createDataFrame([(1, "refunds", []), (2, "Compare Unicorns", []), (3, "refunds", ["d1"])], "query_id long, query string, document_ids array<string>")
+    first = {r.query_id: r for r in engine.query(q, now).collect()}
+    assert {r.source for r in first.values()} == {"run"} and first[2].answer == "NOT_FOUND" and engine.stages.rows
+    again = {r.query_id: r for r in engine.query(q, now).collect()}
+    assert (again[1].source, again[2].source) == ("exact", "run") and again[1].answer == first[1].answer
+    assert engine.chunks().count() == 2 and len(engine.chunks().first().embedding_full) == 1024
+    engine.ingest(chunk_rows(spark, ["Refunds are never paid."]))
+    assert {r.query_id: r.source for r in engine.query(q, now).collect()}[1] == "run"
+
+
+@pytest.mark.parametrize("wrong", [{"bm25_k": 0}, {"fused_k": 1.5}, {"page_k": 0}, {"provider": "other"}, {"scope_vectors": True}])
+def test_settings_are_checked(wrong):
+    with pytest.raises(ValueError):
+        pipeline.Config(**wrong)
+
+
+def test_the_environment_names_the_provider():
+    assert pipeline.active_provider({}) == "offline" and pipeline.active_provider({"LODESTONE_PROVIDER": " Prod "}) == "prod"
+    with pytest.raises(ValueError, match="provider"):
+        pipeline.active_provider({"LODESTONE_PROVIDER": "somebody"})
