@@ -77,10 +77,6 @@ def without_fence(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"^\s*(?:```(?:json)?)?\s*", ""), r"\s*(?:```)?\s*$", "")
 
 
-def suffix(path: Column) -> Column:
-    return F.regexp_extract(F.lower(path), r"\.([a-z0-9]+)$", 1)
-
-
 def page_of_chunk(chunk_id: Column) -> Column:
     """The page in an id like ``doc:page:3:element:1``, or null."""
     return F.regexp_extract(chunk_id, r":page:(\d+)", 1).try_cast("int")

@@ -17,7 +17,7 @@ from .store import written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Rows (query, term) that go with the tasks at most (some 10 MB), queries in a matrix, and chunks in a batch.
-BROADCAST_ROWS, BLOCK, BATCH = 200_000, 256, 1_000
+BROADCAST_ROWS, BLOCK, BATCH, TERMS = 200_000, 256, 1_000, 4_000
 
 
 @dataclass(frozen=True)
@@ -103,17 +103,29 @@ def corpus_order() -> list:
 
 
 def _matrices(asked: list) -> list[tuple[list, pa.Array, np.ndarray]]:
-    """Blocks of queries: their ids, the terms that they have, and the weights of terms for queries."""
-    names = sorted({r["query_id"] for r in asked})
+    """Blocks of queries: their ids, the terms that they have, and the weights of terms for queries.
+
+    A block has BLOCK queries and TERMS different terms at most, or one query alone, so that a batch's counts, BATCH
+    rows by the block's terms, stay within some 32 MB.
+    """
+    by_query: dict = {}
+    for r in asked:
+        by_query.setdefault(r["query_id"], []).append(r)
+    blocks: list[tuple[list, set]] = []
+    for name in sorted(by_query):
+        own = {r["term"] for r in by_query[name]}
+        if not blocks or len(blocks[-1][0]) == BLOCK or len(blocks[-1][1] | own) > TERMS:
+            blocks.append(([], set()))
+        blocks[-1][0].append(name)
+        blocks[-1][1].update(own)
     out = []
-    for start in range(0, len(names), BLOCK):
-        place = {q: k for k, q in enumerate(names[start : start + BLOCK])}
-        own = [r for r in asked if r["query_id"] in place]
-        column = {t: k for k, t in enumerate(sorted({r["term"] for r in own}))}
-        weights = np.zeros((len(column), len(place)))
-        for r in own:
-            weights[column[r["term"]], place[r["query_id"]]] = r["weight"]
-        out.append((list(place), pa.array(column, pa.string()), weights))
+    for names, terms in blocks:
+        column = {t: k for k, t in enumerate(sorted(terms))}
+        weights = np.zeros((len(column), len(names)))
+        for k, name in enumerate(names):
+            for r in by_query[name]:
+                weights[column[r["term"]], k] = r["weight"]
+        out.append((names, pa.array(column, pa.string()), weights))
     return out
 
 

@@ -44,19 +44,25 @@ def section_paths(paragraphs: DataFrame) -> DataFrame:
     """``section_path`` of paragraphs (document_id, ordinal, level, text): the headings that are open there.
 
     ``level`` is a heading's level, null for other text.  A heading closes those of its level and below;
-    it stands in its own path.  One document's paragraphs are folded at a time, as structs in order.
+    it stands in its own path.  One document's paragraphs are folded at a time, each in the time of its path.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("ordinal", "level", "text")))
-
-    def step(s, p):
-        kept = F.filter(s["open"], lambda h: h["level"] < p["level"])
-        opened = F.when(p["level"].isNull(), s["open"]).otherwise(F.concat(kept, F.array(F.struct(p["level"].alias("level"), p["text"].alias("text")))))
-        row = F.struct(p["ordinal"].alias("ordinal"), p["level"].alias("level"), p["text"].alias("text"), F.transform(opened, lambda h: h["text"]).alias("section_path"))
-        return F.struct(opened.alias("open"), F.concat(s["done"], F.array(row)).alias("done"))
-
-    start = F.struct(F.array().cast("array<struct<level:int,text:string>>").alias("open"), F.array().cast("array<struct<ordinal:int,level:int,text:string,section_path:array<string>>>").alias("done"))
     typed = paragraphs.select("document_id", F.col("ordinal").cast("int").alias("ordinal"), F.col("level").cast("int").alias("level"), "text")
-    return typed.groupBy("document_id").agg(F.aggregate(ordered, start, step, lambda s: s["done"]).alias("rows")).select("document_id", F.inline("rows"))
+    paths = pa.list_(pa.string())
+
+    def folded(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("ordinal", "ascending"), ("level", "ascending"), ("text", "ascending")])
+        open_: list[tuple[int, str]] = []
+        out = []
+        for level, text in zip(rows.column("level").to_pylist(), rows.column("text").to_pylist(), strict=True):
+            if level is not None:
+                while open_ and open_[-1][0] >= level:
+                    open_.pop()
+                open_.append((level, text))
+            out.append([t for _, t in open_])
+        return rows.append_column("section_path", pa.array(out, paths))
+
+    kind = dict(typed.dtypes)["document_id"]
+    return typed.groupBy("document_id").applyInArrow(folded, f"document_id {kind}, ordinal int, level int, text string, section_path array<string>")
 
 
 def split_text(text: str, most: int) -> list[str]:

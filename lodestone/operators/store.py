@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -66,36 +66,37 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def buckets_of(spark: SparkSession, path: str, new: DataFrame) -> int:
-    """How many buckets the table has; for a first writer what its documents ask for, 16 at least, a power of two."""
+def buckets_of(spark: SparkSession, path: str, new: DataFrame, key: str = "document_id") -> int:
+    """How many buckets the table has; for a first writer what its keys ask for, 16 at least, a power of two."""
     try:
         return int(spark.read.text(f"{path.rstrip('/')}.buckets").first()[0])
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
     n = 16
-    documents = new.select("document_id").distinct().count()
-    while n * BUCKET_DOCUMENTS < documents:
+    keys = new.select(key).distinct().count()
+    while n * BUCKET_DOCUMENTS < keys:
         n *= 2
     spark.createDataFrame([(str(n),)], "value string").coalesce(1).write.text(f"{path.rstrip('/')}.buckets")
     return n
 
 
-def save_chunks(chunks: DataFrame, path: str, buckets: int | None = None) -> None:
-    """Replace the documents in ``chunks`` and leave all others.
+def upsert(rows: DataFrame, path: str, key: str, buckets: int | None = None) -> None:
+    """Put ``rows`` in the table at ``path`` in place of all that have the same ``key``; others stay.
 
-    Documents are dealt to hashed buckets, one folder each; only the buckets concerned are rewritten.  A table's
-    first writer fixes their number (``buckets``, or from its documents): it should expect the table's final size.
+    Keys are dealt to hashed buckets, one folder each; only the buckets concerned are rewritten, so writing twice
+    equals once.  A table's first writer fixes their number (``buckets``, or from its keys): it should expect the
+    table's final size.
     """
-    spark = chunks.sparkSession
+    spark = rows.sparkSession
     if buckets:
         spark.createDataFrame([(str(buckets),)], "value string").coalesce(1).write.mode("ignore").text(f"{path.rstrip('/')}.buckets")
-    n = buckets_of(spark, path, chunks)
-    new = conformed(chunks, schemas.CHUNKS).withColumn("bucket", F.pmod(F.xxhash64("document_id"), F.lit(n)).cast("int"))
+    n = buckets_of(spark, path, rows, key)
+    new = rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
     try:
         old = spark.read.schema(new.schema).parquet(path)
         touched = new.select("bucket").distinct()
-        rest = old.join(F.broadcast(touched), "bucket", "left_semi").join(new.select("document_id").distinct(), "document_id", "left_anti").select(*new.columns)  # a row a bucket
+        rest = old.join(F.broadcast(touched), "bucket", "left_semi").join(new.select(key).distinct(), key, "left_anti").select(*new.columns)  # a row a bucket
         new = new.unionByName(rest)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
@@ -106,6 +107,100 @@ def save_chunks(chunks: DataFrame, path: str, buckets: int | None = None) -> Non
     again.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
+def save_chunks(chunks: DataFrame, path: str, buckets: int | None = None) -> None:
+    """Replace the documents in ``chunks`` and leave all others: see :func:`upsert`."""
+    upsert(conformed(chunks, schemas.CHUNKS), path, "document_id", buckets)
+
+
+#: Fixed value: the namespace of object identifiers, in which point ids are named.
+NAMESPACE = "6ba7b8129dad11d180b400c04fd430c8"
+
+
+def uuid5(name: Column, namespace: str = NAMESPACE) -> Column:
+    """The UUID of version 5 of ``name`` in ``namespace`` (32 hex digits)."""
+    h = F.sha1(F.concat(F.unhex(F.lit(namespace)), F.encode(name, "UTF-8")))
+    part = lambda start, n: F.substring(h, start, n)
+    variant = F.translate(part(17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
+    return F.concat_ws("-", part(1, 8), part(9, 4), F.concat(F.lit("5"), part(14, 3)), F.concat(variant, part(18, 3)), part(21, 12))
+
+
+#: The vector columns and their dimensions, each of which has a table of points.
+DIMENSIONS = {"embedding_fast": 384, "embedding_full": 1024}
+
+
+def save_points(chunks: DataFrame, path: str) -> None:
+    """Put the chunks' vectors into the table of their dimension (``path``/384, ``path``/1024), by point id.
+
+    A point has point_id (version 5, from the chunk's id), chunk_id, document_id, page_number and vector.  A chunk without a
+    vector has no point there; a vector of another length than its column's raises.  Chunks saved again replace their points.
+    """
+    for column, dimension in DIMENSIONS.items():
+        size = F.size(column)
+        wrong = F.raise_error(F.format_string(f"{column} of %s has %d places, not {dimension}", "chunk_id", size))
+        own = chunks.where(F.col(column).isNotNull()).select(uuid5(F.col("chunk_id")).alias("point_id"), "chunk_id", "document_id", "page_number", F.when(size == dimension, F.col(column).cast("array<float>")).otherwise(wrong).alias("vector"))
+        upsert(own, f"{path.rstrip('/')}/{dimension}", "point_id")
+
+
+def points(spark: SparkSession, path: str, dimension: int) -> DataFrame:
+    """All points of a dimension."""
+    return spark.read.parquet(f"{path.rstrip('/')}/{dimension}").drop("bucket")
+
+
+def replaced(spark: SparkSession, path: str, change: Callable[[DataFrame], DataFrame]) -> None:
+    """Overwrite the chunk table with ``change`` of all its chunks, whole or not at all.
+
+    The new table is written beside the old one, then two renames exchange them; :func:`recovered` finishes or undoes
+    an exchange that was cut off.
+    """
+    base = path.rstrip("/")
+    recovered(spark, base)
+    n = int(spark.read.text(f"{base}.buckets").first()[0])
+    new = conformed(change(load_chunks(spark, base)), schemas.CHUNKS).withColumn("bucket", F.pmod(F.xxhash64("document_id"), F.lit(n)).cast("int"))
+    new.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{base}.next")
+    _rename(spark, base, f"{base}.before")
+    _rename(spark, f"{base}.next", base)
+    _delete(spark, f"{base}.before")
+
+
+def recovered(spark: SparkSession, path: str) -> str:
+    """The table at ``path`` after an exchange that may have been cut off: "whole", "finished" or "undone"."""
+    base = path.rstrip("/")
+    there, before, done = _exists(spark, base), _exists(spark, f"{base}.before"), _exists(spark, f"{base}.next/_SUCCESS")
+    if there:
+        if before:
+            _delete(spark, f"{base}.before")
+        return "whole"
+    if before and done:
+        _rename(spark, f"{base}.next", base)
+        _delete(spark, f"{base}.before")
+        return "finished"
+    if before:
+        _rename(spark, f"{base}.before", base)
+        return "undone"
+    return "whole"
+
+
+def _place(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    system, place = _place(spark, path)
+    return system.exists(place)
+
+
+def _rename(spark: SparkSession, path: str, to: str) -> None:
+    system, place = _place(spark, path)
+    if not system.rename(place, _place(spark, to)[1]):
+        raise OSError(f"cannot rename {path} to {to}")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    system, place = _place(spark, path)
+    system.delete(place, True)
+
+
 def load_chunks(spark: SparkSession, path: str, document_ids: list[str] | None = None) -> DataFrame:
     """All chunks, or those of some documents; the filter reaches the scan."""
     chunks = spark.read.parquet(path).drop("bucket")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scores, text, vectors
-from ..operators import affix, answer, bm25, cache, chunking, evaluate, fusion, knowledge, page_index, sampling, store, vector, vector_index
+from ..operators import affix, answer, bm25, cache, chunking, evaluate, fusion, knowledge, page_index, pooling, sampling, store, vector, vector_index
 from ..schemas import CONCEPT_TYPES
 from ..sources import elements
 from . import pipeline, planner
@@ -284,6 +284,32 @@ def vector_topk(spark, sf_dir):
     return neighbours(spark, sf_dir)
 
 
+@query(
+    """WITH t AS (SELECT label, vec_id, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings QUALIFY k <= 512),
+    p AS (SELECT label, i, avg(embedding[i]) AS x FROM t, range(1, 65) r(i) WHERE vec_id % 3 <> 0 GROUP BY label, i), n AS (SELECT label, sqrt(sum(x * x)) AS size FROM p GROUP BY label)
+    SELECT label, round(sum(x / size), 6) AS total, round(max(CASE WHEN i = 1 THEN x / size END), 6) AS first, count(*) AS dim FROM p JOIN n USING (label) GROUP BY label"""
+)
+def pooled_labels(spark, sf_dir):
+    """A label's first 512 vectors as the tokens of a text, pooled; those whose id is divisible by 3 are masked."""
+    first = Window.partitionBy("label").orderBy("vec_id")
+    t = table(spark, sf_dir, "embeddings").withColumn("k", F.row_number().over(first)).where(F.col("k") <= pooling.TOKENS)
+    rows = t.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("k", "vec_id", "embedding"))).alias("t"))
+    pooled = pooling.masked_mean(rows.select("label", F.col("t.embedding").alias("vectors"), F.transform("t", lambda x: (x["vec_id"] % 3 != 0).cast("int")).alias("mask")))
+    total = F.aggregate("pooled", F.lit(0.0), lambda a, x: a + x)
+    return pooled.select("label", F.round(total, 6).alias("total"), F.round(F.col("pooled")[0], 6).alias("first"), F.size("pooled").cast("long").alias("dim"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS chunk_id, length(text) AS chars FROM documents WHERE text IS NOT NULL")
+def points_upsert(spark, sf_dir):
+    """Points of all documents written twice, the second time over the first: each is there once."""
+    d = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("doc_id").cast("string").alias("document_id"), F.length("text").cast("int").alias("page_number"), "text")
+    path = store.fresh(spark, "points")
+    c = store.with_embeddings(d).withColumn("embedding_full", F.lit(None).cast("array<float>"))
+    for _ in range(2):
+        store.save_points(c, path)
+    return store.points(spark, path, 384).select("chunk_id", F.col("page_number").cast("long").alias("chars"))
+
+
 def vector_questions(spark, sf_dir):
     """Every vector whose id is divisible by 100, asked against all."""
     return table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
