@@ -160,13 +160,20 @@ def merge_split_chunks(spark, sf_dir):
     return chunking.resize_chunks(chunks(spark, sf_dir))
 
 
-@query()
+@query(
+    f"""WITH {CHUNKS}, counted AS (SELECT document_id, ordinal, text, element_type, len({pieces("text")}) AS n FROM chunks),
+    p AS (SELECT document_id, ordinal, text, CAST(CASE WHEN element_type <> 'paragraph' THEN CASE WHEN n <= 1 THEN 1 WHEN n <= 3 THEN 2 ELSE 3 END END AS INTEGER) AS level FROM counted),
+    w AS (SELECT *, {", ".join(f"max(CASE WHEN level = {k} THEN ordinal END) OVER (PARTITION BY document_id ORDER BY ordinal) AS h{k}" for k in (1, 2, 3))} FROM p),
+    open AS (SELECT document_id, ordinal, level, text, h1, CASE WHEN h2 > coalesce(h1, -1) THEN h2 END AS h2, CASE WHEN h3 > greatest(coalesce(h1, -1), coalesce(h2, -1)) THEN h3 END AS h3 FROM w)
+    SELECT o.document_id, o.ordinal, o.level, o.text, concat_ws(' > ', a.text, b.text, c.text) AS section_path FROM open o
+    {" ".join(f"LEFT JOIN p {t} ON {t}.document_id = o.document_id AND {t}.ordinal = o.h{k}" for k, t in ((1, "a"), (2, "b"), (3, "c")))}"""
+)
 def section_path_fold(spark, sf_dir):
     """Headings nest by their words: one word is level 1, two or three level 2, more level 3."""
     c = chunks(spark, sf_dir)
     n = text.word_count(F.col("text"))
     level = F.when(F.col("element_type") != "paragraph", F.when(n <= 1, 1).when(n <= 3, 2).otherwise(3))
-    return chunking.section_paths(c.select("document_id", "ordinal", level.alias("level"), "text"))
+    return chunking.section_paths(c.select("document_id", "ordinal", level.alias("level"), "text")).withColumn("section_path", F.array_join("section_path", " > "))
 
 
 @query(
