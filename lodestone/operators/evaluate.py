@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import EVAL_STOP_WORDS, tokens
+from . import affix
 
 
 #: Stretches to a unit of a measured value, a power of two: what one task puts in order.
@@ -22,10 +23,21 @@ def hit(same_document: Column, page: Column, expected_page: Column, wanted: Colu
     return (F.coalesce(same_document, F.lit(False)) & F.coalesce(F.abs(page - expected_page) <= 3, F.lit(False))) | (overlap > 0.20)
 
 
-def expected_documents(queries: DataFrame, documents: DataFrame) -> DataFrame:
-    """(query_id, document_id): the document with the query's expected file name, or null where there is none."""
+def expected_documents(queries: DataFrame, documents: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
+    """(query_id, document_id): the document with the query's expected file name, or null where there is none.
+
+    With ``chunks`` (document_id, source_format) a name that no document has is looked for within the chunks' source
+    formats, which often hold one; of several documents the least is taken.
+    """
     named = documents.select("document_id", F.col("filename").alias("document_filename"))
-    return queries.join(named, "document_filename", "left").select("query_id", "document_id")
+    found = queries.join(named, "document_filename", "left").select("query_id", "document_filename", "document_id")
+    if chunks is None:
+        return found.select("query_id", "document_id")
+    missed = found.where("document_id is null").select("document_filename")
+    formats = chunks.select("document_id", "source_format").distinct()
+    inside = affix.containing(missed, formats, "document_filename", "source_format", "document_id")
+    least = inside.groupBy(F.col("needle").alias("document_filename")).agg(F.min("id").alias("inside"))
+    return found.join(least, "document_filename", "left").select("query_id", F.coalesce("document_id", "inside").alias("document_id"))
 
 
 def candidate_reduction(kept: Column, candidates: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,3 +27,11 @@ def recovered(hits: DataFrame, queries: DataFrame) -> DataFrame:
     """(chunk_id, found): whether the hits (query_id, chunk_id) of a chunk's question hold the chunk; query_id is the chunk's."""
     own = hits.where(F.col("query_id") == F.col("chunk_id")).select(F.col("query_id").alias("chunk_id"), F.lit(True).alias("found")).distinct()
     return queries.select("chunk_id").join(own, "chunk_id", "left").select("chunk_id", F.coalesce("found", F.lit(False)).alias("found"))
+
+
+def first(queries: DataFrame, limit: int | None, order: str = "query_id") -> DataFrame:
+    """The first ``limit`` queries by ``order``, with a warning that what is measured on them is partial; all without a limit."""
+    if limit is None:
+        return queries
+    warnings.warn(f"a partial run: at most {limit} queries", stacklevel=2)
+    return queries.orderBy(order).limit(limit)

@@ -33,6 +33,28 @@ def conformed(df: DataFrame, schema: StructType) -> DataFrame:
     return df.select(*map(column, schema.fields))
 
 
+def decoded(rows: DataFrame, prefix: str = "CHUNK#") -> DataFrame:
+    """Chunks of a key-value store's rows: strings in JSON become arrays, maps and boxes, numbers in text numbers.
+
+    ``rows`` has ``sort_key`` and the chunk columns as strings, as far as there are any; only rows whose key starts with
+    ``prefix`` are chunks.  What is missing or unreadable is null, or the default where null is not allowed; a missing weight is 1.
+    """
+    own = rows.where(F.startswith("sort_key", F.lit(prefix)))
+    for f in schemas.CHUNKS.fields:
+        if f.name in own.columns and own.schema[f.name].dataType.typeName() == "string":
+            if f.dataType.typeName() in ("array", "map", "struct"):
+                own = own.withColumn(f.name, F.from_json(f.name, f.dataType))
+            elif f.dataType.typeName() != "string":
+                own = own.withColumn(f.name, F.col(f.name).try_cast(f.dataType))
+    weight = F.col("structural_weight") if "structural_weight" in own.columns else F.lit(None).cast("double")
+    return conformed(own.withColumn("structural_weight", F.coalesce(weight, F.lit(1.0))), schemas.CHUNKS)
+
+
+def as_json(df: DataFrame) -> DataFrame:
+    """(json): each row as a JSON object without its nulls, nested columns included."""
+    return df.select(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns))).alias("json"))
+
+
 def initialize(spark: SparkSession, database: str) -> None:
     """Create what is missing."""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
@@ -81,12 +103,12 @@ def buckets_of(spark: SparkSession, path: str, new: DataFrame, key: str = "docum
     return n
 
 
-def upsert(rows: DataFrame, path: str, key: str, buckets: int | None = None) -> None:
+def upsert(rows: DataFrame, path: str, key: str, buckets: int | None = None, order: tuple[str, ...] = ()) -> None:
     """Put ``rows`` in the table at ``path`` in place of all that have the same ``key``; others stay.
 
     Keys are dealt to hashed buckets, one folder each; only the buckets concerned are rewritten, so writing twice
     equals once.  A table's first writer fixes their number (``buckets``, or from its keys): it should expect the
-    table's final size.
+    table's final size.  Rows lie in ``order`` within a bucket, so that a filter on it skips parts of files.
     """
     spark = rows.sparkSession
     if buckets:
@@ -104,7 +126,7 @@ def upsert(rows: DataFrame, path: str, key: str, buckets: int | None = None) ->
     staged = f"{path.rstrip('/')}.staged"
     new.write.mode("overwrite").parquet(staged)
     again = spark.read.schema(new.schema).parquet(staged)
-    again.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    again.repartition("bucket").sortWithinPartitions("bucket", *order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
 def save_chunks(chunks: DataFrame, path: str, buckets: int | None = None) -> None:
@@ -138,7 +160,7 @@ def save_points(chunks: DataFrame, path: str) -> None:
         size = F.size(column)
         wrong = F.raise_error(F.format_string(f"{column} of %s has %d places, not {dimension}", "chunk_id", size))
         own = chunks.where(F.col(column).isNotNull()).select(uuid5(F.col("chunk_id")).alias("point_id"), "chunk_id", "document_id", "page_number", F.when(size == dimension, F.col(column).cast("array<float>")).otherwise(wrong).alias("vector"))
-        upsert(own, f"{path.rstrip('/')}/{dimension}", "point_id")
+        upsert(own, f"{path.rstrip('/')}/{dimension}", "point_id", order=("document_id", "page_number"))
 
 
 def points(spark: SparkSession, path: str, dimension: int) -> DataFrame:

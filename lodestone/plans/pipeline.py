@@ -24,8 +24,14 @@ PROVIDERS = ("offline", "dev", "prod")
 
 
 def active_provider(environment: dict[str, str] | None = None) -> str:
-    """The provider that LODESTONE_PROVIDER names, offline without it; any but PROVIDERS raises."""
-    name = (os.environ if environment is None else environment).get("LODESTONE_PROVIDER", "").strip().lower() or "offline"
+    """The provider that LODESTONE_PROVIDER names, offline without it.
+
+    Any but PROVIDERS raises, and so does the development account where LODESTONE_ENV is production.
+    """
+    told = os.environ if environment is None else environment
+    name = told.get("LODESTONE_PROVIDER", "").strip().lower() or "offline"
+    if name == "dev" and told.get("LODESTONE_ENV", "").strip().lower() == "production":
+        raise ValueError("the development provider must not answer in production")
     if name not in PROVIDERS:
         raise ValueError(f"provider must be one of {', '.join(PROVIDERS)}, not {name!r}")
     return name

@@ -356,5 +356,7 @@ def test_settings_are_checked(wrong):
 
 def test_the_environment_names_the_provider():
     assert pipeline.active_provider({}) == "offline" and pipeline.active_provider({"LODESTONE_PROVIDER": " Prod "}) == "prod"
-    with pytest.raises(ValueError, match="provider"):
-        pipeline.active_provider({"LODESTONE_PROVIDER": "somebody"})
+    for wrong in ({"LODESTONE_PROVIDER": "somebody"}, {"LODESTONE_PROVIDER": "dev", "LODESTONE_ENV": "Production"}):
+        with pytest.raises(ValueError, match="provider"):
+            pipeline.active_provider(wrong)
+    assert pipeline.active_provider({"LODESTONE_PROVIDER": "dev", "LODESTONE_ENV": "test"}) == "dev"

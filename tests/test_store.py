@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import text, vectors
-from lodestone.operators import answer, evaluate, pooling, store
+from lodestone.operators import answer, evaluate, pooling, sampling, store
 from lodestone.sources import elements
 from tests.test_operators import chunk_rows, one
 
@@ -70,6 +70,9 @@ def test_small_functions(spark, tmp_path):
     asked = elements.eval_queries(spark, str(tmp_path / "set.json"))
     documents = spark.createDataFrame([("d1", "x.pdf"), ("d2", "y.pdf")], "document_id string, filename string")
     assert [r.document_id for r in evaluate.expected_documents(asked.withColumn("query_id", F.lit(1)), documents).collect()] == ["d1"]
+    chunks = spark.createDataFrame([("d3", "pdf of z.pdf"), ("d4", "in z.pdf, too")], "document_id string, source_format string")
+    names = spark.createDataFrame([(1, "x.pdf"), (2, "z.pdf"), (3, "w.pdf")], "query_id int, document_filename string")
+    assert {r.query_id: r.document_id for r in evaluate.expected_documents(names, documents, chunks).collect()} == {1: "d1", 2: "d3", 3: None}
     store.write_json(spark.createDataFrame([(1, None)], "a int, b string"), str(tmp_path / "out"))
     assert spark.read.text(str(tmp_path / "out")).first()[0] == '{"a":1}'
     chunks = store.with_embeddings(chunk_rows(spark, ["x", "y"]))
@@ -78,3 +81,22 @@ def test_small_functions(spark, tmp_path):
     ranked = chunk_rows(spark, ["x", "y"]).select(F.lit(1).alias("query_id"), "chunk_id", (F.substring("document_id", 2, 1).cast("int") + 1).alias("rerank_rank"))
     said = spark.createDataFrame([(1, [2, 7])], "query_id int, citations array<int>")
     assert [r.chunk_id for r in answer.cited(said, ranked).collect()] == ["d1:p0"]
+
+
+def test_rows_of_a_key_value_store(spark):
+    rows = [("CHUNK#1", "c1", "d", "text", '["A", "B"]', '{"x1": 1.5, "y2": 2}', "3", "[0.5, 1]", '{"k": "v"}'), ("CHUNK#2", "c2", "d", None, "no json", None, "x", None, None), ("META", "d", "d", None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "sort_key string, chunk_id string, document_id string, text string, section_path string, bounding_box string, page_number string, embedding_fast string, metadata string")
+    got = {r.chunk_id: r for r in store.decoded(df).collect()}
+    assert list(got) == ["c1", "c2"]
+    a, b = got["c1"], got["c2"]
+    assert (a.section_path, a.bounding_box.x1, a.page_number, a.embedding_fast, a.metadata) == (["A", "B"], 1.5, 3, [0.5, 1.0], {"k": "v"})
+    assert (b.text, b.section_path, b.bounding_box, b.page_number, b.structural_weight) == ("", [], None, None, 1.0)
+    told = json.loads(store.as_json(store.decoded(df).where("chunk_id = 'c2'")).first().json)
+    assert told["chunk_id"] == "c2" and "page_number" not in told and told["section_path"] == []
+
+
+def test_a_limit_warns(spark):
+    queries = spark.createDataFrame([(k,) for k in (3, 1, 2)], "query_id int")
+    with pytest.warns(UserWarning, match="partial"):
+        assert sorted(r.query_id for r in sampling.first(queries, 2).collect()) == [1, 2]
+    assert sampling.first(queries, None).count() == 3
