@@ -31,7 +31,10 @@ def cosine(a: Column, b: Column) -> Column:
 def hash_embedding(text: Column, dim: int, normalize: bool = True) -> Column:
     """A vector from the SHA-256 of ``text``, its 32 bytes repeated to ``dim``: byte / 127.5 - 1."""
     hexed = F.sha2(F.coalesce(text, F.lit("")), 256)
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.conv(F.substr(hexed, i % 32 * 2 + 1, F.lit(2)), 16, 10).cast("double") / 127.5 - 1.0)
+    byte = lambda h, i: F.conv(F.substr(h, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 127.5 - 1.0
+    repeated = lambda v: F.slice(F.flatten(F.array_repeat(v, -(-dim // 32))), 1, dim)
+    # one digest a text: inside the lambda of a higher-order function it would be taken again for each place
+    raw = F.element_at(F.transform(F.array(hexed), lambda h: repeated(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: byte(h, i)))), 1)
     if not normalize:
         return raw
     return F.element_at(F.transform(F.array(raw), lambda v: l2_normalized(v)), 1)

@@ -33,10 +33,11 @@ def semantic_hits(queries: DataFrame, cache: DataFrame, now: Column, least: floa
     ones, are no single task's work.
     """
     entries = live(cache, now).select(F.struct("cache_key", F.col("payload")).alias("entry"), "doc_scope_hash", "provider", F.col("query_embedding").alias("embedding"))
-    entries = entries.withColumn("id", F.concat("entry.cache_key", F.lit("\x00"), F.coalesce("entry.payload", F.lit(""))))
+    # a null payload comes before all others and stays null
+    entries = entries.withColumn("id", F.concat("entry.cache_key", F.coalesce(F.concat(F.lit("\x00"), "entry.payload"), F.lit(""))))
     asked = keyed(queries).select("query_id", F.col("query_vector").alias("vector"), "doc_scope_hash", "provider")
     best = vector.top_k(asked, entries, 1, "embedding", "id", scope=("doc_scope_hash", "provider"), last=True)
-    return best.where(F.col("score") >= least).select("query_id", F.split("id", "\x00", 2)[1].alias("payload"), F.col("score").alias("similarity"))
+    return best.where(F.col("score") >= least).select("query_id", F.get(F.split("id", "\x00", 2), F.lit(1)).alias("payload"), F.col("score").alias("similarity"))
 
 
 def misses(queries: DataFrame, *hits: DataFrame) -> DataFrame:

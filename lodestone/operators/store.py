@@ -108,25 +108,26 @@ def upsert(rows: DataFrame, path: str, key: str, buckets: int | None = None, ord
 
     Keys are dealt to hashed buckets, one folder each; only the buckets concerned are rewritten, so writing twice
     equals once.  A table's first writer fixes their number (``buckets``, or from its keys): it should expect the
-    table's final size.  Rows lie in ``order`` within a bucket, so that a filter on it skips parts of files.
+    table's final size.  Rows lie in ``order`` within a bucket, so that a filter on it skips parts of files.  ``rows`` is
+    computed once, to be staged beside the table; keys and buckets are then read from there.
     """
-    spark = rows.sparkSession
+    spark, base = rows.sparkSession, path.rstrip("/")
     if buckets:
-        spark.createDataFrame([(str(buckets),)], "value string").coalesce(1).write.mode("ignore").text(f"{path.rstrip('/')}.buckets")
-    n = buckets_of(spark, path, rows, key)
-    new = rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
+        spark.createDataFrame([(str(buckets),)], "value string").coalesce(1).write.mode("ignore").text(f"{base}.buckets")
+    rows.write.mode("overwrite").parquet(f"{base}.staged")
+    new = spark.read.schema(rows.schema).parquet(f"{base}.staged")
+    n = buckets_of(spark, path, new, key)
+    new = new.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
     try:
         old = spark.read.schema(new.schema).parquet(path)
         touched = new.select("bucket").distinct()
-        rest = old.join(F.broadcast(touched), "bucket", "left_semi").join(new.select(key).distinct(), key, "left_anti").select(*new.columns)  # a row a bucket
-        new = new.unionByName(rest)
+        rest = old.join(F.broadcast(touched), "bucket", "left_semi").join(new.select(key).distinct(), key, "left_anti")  # a row a bucket
+        rest.select(*new.columns).write.mode("overwrite").parquet(f"{base}.kept")
+        new = new.unionByName(spark.read.schema(new.schema).parquet(f"{base}.kept"))
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-    staged = f"{path.rstrip('/')}.staged"
-    new.write.mode("overwrite").parquet(staged)
-    again = spark.read.schema(new.schema).parquet(staged)
-    again.repartition("bucket").sortWithinPartitions("bucket", *order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    new.repartition("bucket").sortWithinPartitions("bucket", *order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
 def save_chunks(chunks: DataFrame, path: str, buckets: int | None = None) -> None:

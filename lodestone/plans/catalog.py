@@ -69,6 +69,11 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return saved(spark, sf_dir, "chunks", lambda: chunking.paragraph_chunks(table(spark, sf_dir, "documents").repartition("doc_id")))
 
 
+def embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunk table with both vector columns, as an ingest leaves it."""
+    return saved(spark, sf_dir, "embedded", lambda: store.with_embeddings(chunks(spark, sf_dir)))
+
+
 def lexical(spark: SparkSession, sf_dir: str) -> bm25.Index:
     """The index of all chunks; its statistics are a saved table."""
     c = chunks(spark, sf_dir)
@@ -535,7 +540,7 @@ def parse_llm_json(spark, sf_dir):
 
 
 def _pipeline_rows(spark, sf_dir, config):
-    c = store.with_embeddings(chunks(spark, sf_dir))
+    c = embedded(spark, sf_dir)
     q = asked(spark, sf_dir).unionByName(nation_questions(spark, sf_dir).withColumn("query_id", F.col("query_id") + 1000000))
     graph = pipeline.Knowledge(concepts(spark, sf_dir), part_properties(spark, sf_dir), relations(spark, sf_dir))
     out = pipeline.answers(q, c, config, graph).withColumn("citations", F.array_join("citations", ","))
@@ -556,7 +561,7 @@ def pipeline_scoped(spark, sf_dir):
 def cached_flow(spark, sf_dir):
     """All benchmark items asked of an empty cache, and again, otherwise written, of the entries that came of it."""
     q = asked(spark, sf_dir).withColumn("document_ids", F.array().cast("array<string>"))
-    c = store.with_embeddings(chunks(spark, sf_dir))
+    c = embedded(spark, sf_dir)
     out = None
     entries = spark.createDataFrame([], store.TABLES["cache"])
     for turn, said in ((1, F.col("query")), (2, F.concat(F.lit("  "), F.upper("query")))):
@@ -571,7 +576,7 @@ def cached_flow(spark, sf_dir):
 def stage_metrics(spark, sf_dir):
     """What each stage gave when the benchmark items were answered: rows and mean confidence, observed on the way."""
     stages = pipeline.Stages()
-    pipeline.answers(asked(spark, sf_dir), store.with_embeddings(chunks(spark, sf_dir)), pipeline.SCOPED, stages=stages).write.format("noop").mode("overwrite").save()
+    pipeline.answers(asked(spark, sf_dir), embedded(spark, sf_dir), pipeline.SCOPED, stages=stages).write.format("noop").mode("overwrite").save()
     return stages.table(spark)
 
 

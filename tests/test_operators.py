@@ -219,6 +219,28 @@ def test_cache_life(spark):
     assert cache.invalidated(kept, again).count() == 0
 
 
+def test_null_payloads_stay_null_and_come_before_others(spark):
+    now = F.lit("2024-01-02 00:00:00").cast("timestamp")
+    later = (now + F.make_interval(hours=F.lit(1))).alias("expires_at")
+    rows = [("k1", [1.0, 0.0], None), ("k2", [0.0, 1.0], None), ("k2", [0.0, 1.0], "")]
+    kept = spark.createDataFrame(rows, "cache_key string, query_embedding array<double>, payload string").select("*", F.lit("").alias("doc_scope_hash"), F.lit("p").alias("provider"), later)
+    ask = spark.createDataFrame([(1, "a", [], [1.0, 0.0], "p"), (2, "b", [], [0.0, 1.0], "p")], "query_id long, query string, document_ids array<string>, query_vector array<double>, provider string")
+    assert {r.query_id: r.payload for r in cache.semantic_hits(ask, kept, now).collect()} == {1: None, 2: ""}
+
+
+@pytest.mark.parametrize("dim", [7, 32, 100, 384])
+def test_hash_vectors_are_the_digests_bytes(spark, dim):
+    from hashlib import sha256
+
+    from lodestone.functions.vectors import hash_embedding
+
+    texts = ["", "a", "é" * 50, None]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", hash_embedding(F.col("t"), dim, normalize=False).alias("v")).collect()
+    for r in got:
+        digest = sha256((r.t or "").encode()).digest()
+        assert r.v == [digest[i % 32] / 127.5 - 1.0 for i in range(dim)]
+
+
 def test_metrics(spark):
     hits = spark.createDataFrame([(0, k + 1, h) for k, h in enumerate([True, False, True, False, False])] + [(1, k + 1, False) for k in range(5)], "query_id long, rank int, hit boolean")
     got = {r.query_id: r for r in evaluate.per_query(hits).collect()}

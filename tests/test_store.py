@@ -34,6 +34,22 @@ def test_points_are_written_once(spark, tmp_path):
         store.save_points(chunks.withColumn("embedding_fast", F.array(F.lit(1.0))), path)
 
 
+def test_an_upsert_computes_its_rows_once(spark, tmp_path):
+    ran = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            ran.add(b.num_rows)
+            yield b
+
+    path = str(tmp_path / "table")
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "key string, n long")
+    for more in (0, 10):
+        store.upsert(rows.select("key", (F.col("n") + more).alias("n")).mapInArrow(counted, rows.schema), path, "key")
+    assert ran.value == 4
+    assert sorted((r.key, r.n) for r in spark.read.parquet(path).collect()) == [("a", 11), ("b", 12)]
+
+
 def test_tables_are_exchanged_whole(spark, tmp_path):
     path = str(tmp_path / "chunks")
     store.save_chunks(chunk_rows(spark, ["one", "two", "three"]), path)
