@@ -28,16 +28,23 @@ def exact_hits(queries: DataFrame, cache: DataFrame, now: Column) -> DataFrame:
 def semantic_hits(queries: DataFrame, cache: DataFrame, now: Column, least: float = LEAST_SIMILAR) -> DataFrame:
     """(query_id, payload, similarity): the most similar live entry of the same scope and provider, if similar enough.
 
-    ``queries`` has query_vector and provider; ties go to the greatest key, then payload.  Vectors of a scope
-    and provider meet in blocks (:func:`vector.top_k`), so that questions without a scope, mostly the usual
-    ones, are no single task's work.
+    ``queries`` has query_vector and provider; ties go to the greatest key, then payload.  Equal vectors of a scope
+    and provider are compared once: of its entries the one that ties prefer stands for all, and questions share
+    their answer.  The different ones meet in blocks (:func:`vector.top_k`), so that questions without a scope, mostly
+    the usual ones, are no single task's work.
     """
-    entries = live(cache, now).select(F.struct("cache_key", F.col("payload")).alias("entry"), "doc_scope_hash", "provider", F.col("query_embedding").alias("embedding"))
+    scope = ("doc_scope_hash", "provider")
+    entries = live(cache, now).where(F.col("query_embedding").isNotNull())
     # a null payload comes before all others and stays null
-    entries = entries.withColumn("id", F.concat("entry.cache_key", F.coalesce(F.concat(F.lit("\x00"), "entry.payload"), F.lit(""))))
-    asked = keyed(queries).select("query_id", F.col("query_vector").alias("vector"), "doc_scope_hash", "provider")
-    best = vector.top_k(asked, entries, 1, "embedding", "id", scope=("doc_scope_hash", "provider"), last=True)
-    return best.where(F.col("score") >= least).select("query_id", F.get(F.split("id", "\x00", 2), F.lit(1)).alias("payload"), F.col("score").alias("similarity"))
+    name = F.concat("cache_key", F.coalesce(F.concat(F.lit("\x00"), "payload"), F.lit("")))
+    entries = entries.groupBy(*scope, F.col("query_embedding").alias("embedding")).agg(F.max(name).alias("id"))
+    same = F.sha2(F.to_json(F.struct(*scope, F.col("query_vector").cast("string").alias("v"))), 256)
+    asked = keyed(queries).where(F.col("query_vector").isNotNull()).select("query_id", F.col("query_vector").alias("vector"), *scope, same.alias("same"))
+    distinct = asked.groupBy(*scope, "same").agg(F.first("vector").alias("vector")).withColumnRenamed("same", "query_id")
+    best = vector.top_k(distinct, entries, 1, "embedding", "id", scope=scope, last=True).where(F.col("score") >= least)
+    own = asked.select("query_id", "same").join(best.select(F.col("query_id").alias("same"), "score", "id"), "same")
+    found = own.groupBy("query_id").agg(F.max(F.struct("score", "id")).alias("best"))
+    return found.select("query_id", F.get(F.split("best.id", "\x00", 2), F.lit(1)).alias("payload"), F.col("best.score").alias("similarity"))
 
 
 def misses(queries: DataFrame, *hits: DataFrame) -> DataFrame:

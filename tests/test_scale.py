@@ -4,8 +4,9 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from lodestone.operators import bm25
+from lodestone.operators import bm25, cache, vector
 
 
 def test_scoring_holds_shared_terms_only():
@@ -22,3 +23,21 @@ def test_scoring_holds_shared_terms_only():
     tracemalloc.stop()
     assert peak < 40_000_000 and got.num_rows == 5
     assert got.column("chunk_id").to_pylist() == ["d0:p0", "d1:p0", "d10:p0", "d100:p0", "d101:p0"] and np.allclose(got.column("score"), 0.4)
+
+
+def test_equal_vectors_are_compared_once(spark, monkeypatch):
+    """600 entries with 3 vectors and 40 questions with 2 of them: 3 meet 2, and each question gets the tied entry of the greatest key."""
+    seen = {}
+
+    def top_k(queries, vectors, *args, **kwargs):
+        seen.update(queries=queries.count(), vectors=vectors.count())
+        return plain(queries, vectors, *args, **kwargs)
+
+    plain = vector.top_k
+    monkeypatch.setattr(vector, "top_k", top_k)
+    now = F.lit("2024-01-02 00:00:00").cast("timestamp")
+    angle = F.array(F.col("id") % 3 * 1.0, F.lit(1.0))
+    entries = spark.range(600).select(F.format_string("k%03d", "id").alias("cache_key"), angle.alias("query_embedding"), F.lit("").alias("doc_scope_hash"), F.lit("p").alias("provider"), F.col("id").cast("string").alias("payload"), (now + F.expr("interval 1 day")).alias("expires_at"))
+    asked = spark.range(40).select(F.col("id").alias("query_id"), F.lit("a").alias("query"), F.array().cast("array<string>").alias("document_ids"), F.array(F.col("id") % 2 * 1.0, F.lit(1.0)).alias("query_vector"), F.lit("p").alias("provider"))
+    got = {r.query_id: (r.payload, r.similarity) for r in cache.semantic_hits(asked, entries, now).collect()}
+    assert got == {k: (("597", "598")[k % 2], 1.0) for k in range(40)} and seen == {"queries": 2, "vectors": 3}
