@@ -5,8 +5,9 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
-from lodestone.operators import bm25, cache, vector
+from lodestone.operators import bm25, cache, chunking, vector
 
 
 def test_scoring_holds_shared_terms_only():
@@ -41,3 +42,38 @@ def test_equal_vectors_are_compared_once(spark, monkeypatch):
     asked = spark.range(40).select(F.col("id").alias("query_id"), F.lit("a").alias("query"), F.array().cast("array<string>").alias("document_ids"), F.array(F.col("id") % 2 * 1.0, F.lit(1.0)).alias("query_vector"), F.lit("p").alias("provider"))
     got = {r.query_id: (r.payload, r.similarity) for r in cache.semantic_hits(asked, entries, now).collect()}
     assert got == {k: (("597", "598")[k % 2], 1.0) for k in range(40)} and seen == {"queries": 2, "vectors": 3}
+
+
+def test_few_questions_go_to_the_vectors(spark, monkeypatch):
+    """The vectors of a table are not shuffled for them; the other way gives the same."""
+    rng = np.random.default_rng(5)
+    rows = [(k, [float(x) for x in rng.integers(0, 4, 3)] if k % 11 else None) for k in range(300)]
+    df = spark.createDataFrame(rows, "chunk_id long, embedding_full array<float>").repartition(3)
+    q = df.where("chunk_id % 50 = 1").select(F.col("chunk_id").alias("query_id"), F.col("embedding_full").alias("vector"))
+    for last in (False, True):
+        few = vector.top_k(q, df, 4, exclude_self=True, last=last)
+        assert "CoGroup" not in few._jdf.queryExecution().toString()
+        with monkeypatch.context() as m:
+            m.setattr(vector, "FEW", 0)
+            assert sorted(few.collect()) == sorted(vector.top_k(q, df, 4, exclude_self=True, last=last).collect()) and few.count() == 24
+
+
+def test_candidates_alone_are_joined(spark):
+    """Vectors that are no candidates are left out by id before the join that brings their places along."""
+    df = spark.range(100).select(F.col("id").alias("chunk_id"), F.when(F.col("id") != 7, F.array(F.col("id") + 1.0, F.lit(1.0))).alias("embedding_full"))
+    q = spark.createDataFrame([(1, [0.0, 1.0])], "query_id long, vector array<double>")
+    got = vector.top_k(q, df, 3, candidates=spark.createDataFrame([(1, 10), (1, 20), (1, 7)], "query_id long, chunk_id long"))
+    assert [r.chunk_id for r in got.orderBy("rank").collect()] == [10, 20]
+    assert "LeftSemi" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_resizing_holds_few_documents():
+    """4000 documents of 20 chunks in one batch: only some of them are Python objects at a time."""
+    rows = pa.array([[{"ordinal": k, "chunk_id": f"{d}:p{k}", "text": "word " * 30, "element_type": "paragraph", "own": None} for k in range(20)] for d in range(4000)])
+    batch = pa.RecordBatch.from_arrays([pa.array([str(d) for d in range(4000)]), rows], ["document_id", "rows"])
+    schema = from_arrow_schema(pa.schema([("document_id", pa.string()), ("ordinal", pa.int32()), ("chunk_id", pa.string()), ("text", pa.string()), ("element_type", pa.string()), ("n_words", pa.int32())]))
+    tracemalloc.start()
+    n = sum(b.num_rows for b in chunking._resizer(100, 500, schema)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 4000 * 5 and peak < 10_000_000
