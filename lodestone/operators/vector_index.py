@@ -18,9 +18,11 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.window import Window
 
 from ..functions.vectors import doubles, l2_normalized
 from . import vector
+from .store import written
 
 #: The centroids see a sample of at most so many vectors, whatever the table's size; there are at most MOST_CELLS,
 #: so that their matrix (32 MB at 1024 dimensions) fits every task.
@@ -156,6 +158,34 @@ def recall(found: DataFrame, exact: DataFrame, id_col: str = "chunk_id") -> Data
     return pairs.groupBy("query_id").agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("recall")).agg(F.avg("recall").alias("recall"))
 
 
+def recall_curve(queries: DataFrame, index: Index, k: int = 5, column: str = "embedding_full", id_col: str = "chunk_id", exclude_self: bool = False) -> DataFrame:
+    """(probes, recall, share) for 1, 2, 4, ... and all cells: as :func:`top_k`, :func:`recall` and :func:`scanned_share` give them.
+
+    Every cell is searched once, by all queries: a search with few probes is the best of what the nearest cells gave.
+    """
+    cells = index.centroids.count()
+    levels = [1 << j for j in range(cells.bit_length()) if 1 << j < cells] + [cells]
+    every = F.array(*map(F.lit, levels))
+    asked = queries.where(F.col("vector").isNotNull()).select("query_id", doubles(F.col("vector")).alias("vector"))
+    near = written(_nearest(asked, _matrix(index.centroids), "vector", cells).select("query_id", "vector", F.posexplode("cells").alias("place", "cell")), "probed")
+    own = near.select(F.struct("query_id", "place").alias("query_id"), "vector", "cell")
+    found = vector.top_k(own, index.vectors, k + exclude_self, column, id_col, scope=("cell",)).select("query_id.query_id", "query_id.place", F.col(id_col).alias("id"), "score")
+    if exclude_self:
+        found = found.where(F.col("query_id") != F.col("id"))
+    order = Window.partitionBy("probes", "query_id").orderBy(F.col("score").desc(), "id")
+    each = found.withColumn("probes", F.explode(F.filter(every, lambda p: p > F.col("place")))).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    each = written(each.select("probes", "query_id", "id"), "found")
+    exact = each.where(F.col("probes") == cells).select("query_id", "id", F.explode(every).alias("probes"))
+    pairs = exact.join(each.withColumn("hit", F.lit(1.0)), ["probes", "query_id", "id"], "left")
+    recalls = pairs.groupBy("probes", "query_id").agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("recall")).groupBy("probes").agg(F.avg("recall").alias("recall"))
+    sizes = written(index.sizes, "sizes")
+    met = near.groupBy("place", "cell").agg(F.count("*").alias("queries")).join(F.broadcast(sizes), "cell")  # MOST_CELLS rows
+    met = met.withColumn("probes", F.explode(F.filter(every, lambda p: p > F.col("place")))).groupBy("probes").agg(F.sum(F.col("rows") * F.col("queries")).alias("met"))
+    total = asked.agg(F.count("*").alias("asked")).join(sizes.agg(F.sum("rows").alias("all")))  # one row each
+    shares = met.join(F.broadcast(total)).select("probes", (F.col("met") / (F.col("asked") * F.col("all"))).alias("share"))
+    return recalls.join(shares, "probes")
+
+
 def calibrated(queries: DataFrame, index: Index, k: int = 5, least: float = 0.95, column: str = "embedding_full", id_col: str = "chunk_id", exclude_self: bool = False) -> int:
     """The first number of probes (1, 2, 3, 5, 8, each half as many again) with which these queries reach the recall ``least``.
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from lodestone.operators import bm25, cache, chunking, vector
+from lodestone.operators import bm25, cache, chunking, vector, vector_index
 
 
 def test_scoring_holds_shared_terms_only():
@@ -77,3 +77,17 @@ def test_resizing_holds_few_documents():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert n == 4000 * 5 and peak < 10_000_000
+
+
+def test_recall_curve_searches_once(spark, monkeypatch, tmp_path):
+    """Each level is what a search with so many probes gives, but all cells are searched one time."""
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(k, [float(x) for x in rng.normal(size=4)]) for k in range(300)], "chunk_id long, embedding_full array<float>")
+    index = vector_index.build(df, str(tmp_path / "i"), cells=6)
+    q = df.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding_full").alias("vector"))
+    exact = vector_index.top_k(q, index, 5, 6, exclude_self=True)
+    want = [(p, vector_index.recall(vector_index.top_k(q, index, 5, p, exclude_self=True), exact).first()[0], vector_index.scanned_share(q, index, p).first()[0]) for p in (1, 2, 4, 6)]
+    calls, plain = [], vector.top_k
+    monkeypatch.setattr(vector, "top_k", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    got = [tuple(r) for r in vector_index.recall_curve(q, index, 5, exclude_self=True).orderBy("probes").collect()]
+    assert np.allclose(got, want) and len(calls) == 1
