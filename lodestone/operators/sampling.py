@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import word_count
@@ -15,12 +15,17 @@ def sample(chunks: DataFrame, n: int = 10, seed: int = 42) -> DataFrame:
     return chunks.orderBy(F.xxhash64("chunk_id", F.lit(seed)), "chunk_id").limit(n)
 
 
+def question(text: Column, least: int = 30, most: int = 150, sentence_words: int = 10) -> Column:
+    """Of a text with more than ``least`` and less than ``most`` words the middle one of its sentences (cut at full
+    stops) with over ``sentence_words`` words, as a question; null without such a sentence."""
+    long = F.filter(F.transform(F.split(text, r"\."), lambda s: F.trim(s)), lambda s: word_count(s) > sentence_words)
+    middle = F.element_at(F.transform(F.array(long), lambda s: F.get(s, F.floor(F.size(s) / 2).cast("int"))), 1)
+    return F.when((word_count(text) > least) & (word_count(text) < most), F.concat(middle, F.lit("?")))
+
+
 def synthetic_queries(chunks: DataFrame, least: int = 30, most: int = 150, sentence_words: int = 10) -> DataFrame:
-    """(chunk_id, query): of each chunk with more than ``least`` and less than ``most`` words the middle one of its
-    sentences (cut at full stops) with over ``sentence_words`` words, as a question; none without such a sentence."""
-    long = F.filter(F.transform(F.split("text", r"\."), lambda s: F.trim(s)), lambda s: word_count(s) > sentence_words)
-    eligible = chunks.where((word_count(F.col("text")) > least) & (word_count(F.col("text")) < most)).select("chunk_id", long.alias("s"))
-    return eligible.where(F.size("s") > 0).select("chunk_id", F.concat(F.element_at("s", (F.floor(F.size("s") / 2) + 1).cast("int")), F.lit("?")).alias("query"))
+    """(chunk_id, query): the :func:`question` of each chunk that has one."""
+    return chunks.select("chunk_id", question(F.col("text"), least, most, sentence_words).alias("query")).where("query is not null")
 
 
 def recovered(hits: DataFrame, queries: DataFrame) -> DataFrame:
