@@ -1,6 +1,9 @@
-"""What the pipelines hold and compute: facts by their number."""
+"""What the pipelines hold and compute: candidates' vectors alone, and facts by their number."""
 
-from lodestone.operators import chunking, knowledge, store
+from pyspark.sql import functions as F
+
+from lodestone.functions.vectors import hash_embedding
+from lodestone.operators import chunking, knowledge
 from lodestone.plans import pipeline
 
 
@@ -23,10 +26,21 @@ def graph(spark):
     return pipeline.Knowledge(concepts, properties, relations)
 
 
+def test_scoped_vectors_are_computed_of_candidates_alone(spark):
+    """A text that is no candidate is not embedded; answers are those over chunks that have their vectors."""
+    def embed(width):
+        return lambda t: F.when(t.startswith("never"), F.raise_error(F.lit("embedded")).cast("array<double>")).otherwise(hash_embedding(t, width, normalize=False))
+
+    config = pipeline.Config(**{**pipeline.SCOPED.__dict__, "embed": embed(384), "embed_full": embed(1024)})
+    plain = pipeline.Config(**{**pipeline.SCOPED.__dict__, "embed": lambda t: hash_embedding(t, 384, normalize=False)})
+    got = sorted(map(str, pipeline.answers(asked(spark), chunked(spark), config).collect()))
+    assert got == sorted(map(str, pipeline.answers(asked(spark), pipeline.vectored(chunked(spark), plain), plain).collect())) and len(got) == 3
+
+
 def test_facts_by_their_number(spark):
     """As many as there are in the columns of facts, of which no query's are held together."""
     for config in (pipeline.FUSED, pipeline.SCOPED):
-        whole, numbers = ({r.query_id: r for r in pipeline.answers(asked(spark), chunked(spark).transform(store.with_embeddings), config, graph(spark), counted=c).collect()} for c in (False, True))
+        whole, numbers = ({r.query_id: r for r in pipeline.answers(asked(spark), chunked(spark), config, graph(spark), counted=c).collect()} for c in (False, True))
         for k, row in whole.items():
             assert (numbers[k].properties, numbers[k].graph) == tuple(None if x is None else len(x) for x in (row.properties, row.graph))
             assert numbers[k].answer == row.answer
